@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialize, words_of
 
 SEED = 20240607
+#: Hex digits of the shuffle ticket that name a bucket of a source's queue: 16**4 buckets a source.
+SLOT_DIGITS = 4
 #: Bins per unit of virtual time in the search for the cut.
 TIME_BINS = 1 << 16
 
@@ -49,11 +51,11 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0
     return per.select("source", "source_size", F.least(F.col("_cap").cast("double"), share).alias("target"))
 
 
-def finish_times(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, budget: int | None = None, buckets: int = 4096, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
+def finish_times(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, budget: int | None = None, seed: int = SEED) -> tuple[DataFrame, DataFrame]:
     """docs(id, source, size) -> (a row per document with its place in its source's queue, targets)."""
     targets = materialize(source_targets(docs, weights, max_repeats, budget), "targets")
-    ticket = F.xxhash64(F.col("id").cast("string"), F.lit(seed))
-    queue = docs.withColumn("_ticket", ticket).withColumn("_slot", F.pmod(F.shiftright("_ticket", 20), F.lit(buckets)).cast("int"))
+    ticket = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("id").cast("string"), F.lit(""))))
+    queue = docs.withColumn("_ticket", ticket).withColumn("_slot", F.substring("_ticket", 1, SLOT_DIGITS))
     source = F.coalesce(F.concat(F.lit("s"), "source"), F.lit("n"))  # null-safe join key
     queue = queue.withColumn("_source", source)
     sums = queue.groupBy("_source", "_slot").agg(F.sum("size").alias("_sum"))
