@@ -562,7 +562,7 @@ def compile_template(source: str) -> Callable[[dict], tuple[str, list[tuple[int,
 
 # -- reading back -----------------------------------------------------------------------------
 
-_TURN = re.compile(r"### ((?:[^\\:]|\\.)*): ((?:[^\\<]|\\.|<(?!/turn>))*)</turn>\n", re.S)
+_TURN = re.compile(r"### ((?:[^\\:]++|\\.)*+): ((?:[^\\<]++|\\.|<(?!/turn>))*+)</turn>\n", re.S)
 
 
 def parse(formatted: str) -> list[tuple[str, str]]:
