@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import materialize, words_of
 
 SEED = 20240607
-#: Hex digits of the shuffle ticket that name a bucket of a source's queue: 16**4 buckets a source.
-SLOT_DIGITS = 4
+#: Hex digits of the shuffle ticket that name a bucket of a source's queue: 16**3 buckets a source.
+SLOT_DIGITS = 3
 #: Bins per unit of virtual time in the search for the cut.
 TIME_BINS = 1 << 16
 
