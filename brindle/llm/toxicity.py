@@ -46,6 +46,7 @@ COVER = 3
 PURE = 0.9
 #: A clean document counts this much in the sigmoid: they are rarer among the training rows than among documents.
 CLEAN_COST = 4.0
+SLICE = 1 << 20
 _TRIPLES = LETTERS**3
 _OFFSETS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 
@@ -116,14 +117,18 @@ def window_values(code: np.ndarray, left: np.ndarray, weights: np.ndarray) -> np
 
 def worst(code: np.ndarray, left: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(largest window value, where) of each document; 0 and -1 without any."""
-    value = window_values(code, left, weights)
     n = len(offsets) - 1
     best, where = np.zeros(n), np.full(n, -1)
-    full = np.flatnonzero(offsets[1:] > offsets[:-1])
-    if len(full):
-        best[full] = np.maximum.reduceat(value, offsets[full])
-        for d in full:
-            where[d] = offsets[d] + int(np.argmax(value[offsets[d] : offsets[d + 1]]))
+    first = 0
+    while first < n:  # about SLICE characters at a time
+        last = max(first + 1, int(np.searchsorted(offsets, offsets[first] + SLICE, side="right")) - 1)
+        at = offsets[first]
+        value = window_values(code[at : offsets[last]], left[at : offsets[last]], weights)
+        for d in range(first, last):
+            if offsets[d + 1] > offsets[d]:
+                where[d] = offsets[d] + int(np.argmax(value[offsets[d] - at : offsets[d + 1] - at]))
+                best[d] = value[where[d] - at]
+        first = last
     return best, where
 
 
@@ -232,6 +237,11 @@ def _apart(texts: list[bytes], hashes: int = 8, alike: int = 3) -> list[int]:
     return out
 
 
+def _grams(word: bytes) -> set[bytes]:
+    """A word and its parts of 4 to 6 bytes."""
+    return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)} | {word}
+
+
 def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: int = 6) -> Model:
     """Fit on labelled texts."""
     seen: dict[bytes, int] = {}
@@ -245,17 +255,18 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     keep = _apart(texts)
     texts, toxic = [texts[i] for i in keep], toxic[keep]
     words = [{w for x in t.lower().split() if 3 <= len(w := x.strip(_EDGES)) <= 40} for t in texts]
-    grams: dict[bytes, set[bytes]] = {}
-    for w in set().union(*words):
-        grams[w] = {w[i : i + n] for n in (4, 5, 6) for i in range(len(w) - n + 1)} | {w}
+    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
+    # counts of documents by the strings in their words; only strings of several toxic documents are kept
     in_toxic, in_clean, clean_words_in = Counter(), Counter(), Counter()
-    bags = [set().union(*(grams[w] for w in ws)) if ws else set() for ws in words]
-    for bag, ws, bad in zip(bags, words, toxic):
-        (in_toxic if bad else in_clean).update(bag)
+    for ws, bad in zip(words, toxic):
+        if bad:
+            in_toxic.update(set().union(*map(_grams, ws)))
+    in_toxic = Counter({g: k for g, k in in_toxic.items() if k >= max(2, n_toxic // 500)})
+    for ws, bad in zip(words, toxic):
         if not bad:
             clean_words_in.update(ws)
-    n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
-    gain = {w: np.sqrt(k) * (np.log((k + 0.5) / (n_toxic + 1)) - np.log((in_clean[w] + 0.5) / (n_clean + 1))) for w, k in in_toxic.items() if k >= max(2, n_toxic // 500)}
+            in_clean.update({g for w in ws for g in _grams(w) if g in in_toxic})
+    gain = {w: np.sqrt(k) * (np.log((k + 0.5) / (n_toxic + 1)) - np.log((in_clean[w] + 0.5) / (n_clean + 1))) for w, k in in_toxic.items()}
     # only what toxic documents hold more often than chance explains, given how many strings are tried
     rate, bar = n_toxic / (n_toxic + n_clean), np.log(len(in_toxic) + 1) + 3
 
@@ -266,13 +277,13 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     gain = {w: g for w, g in gain.items() if g > 0 and surprise(in_toxic[w], in_clean[w]) > bar and in_toxic[w] >= PURE * (in_toxic[w] + in_clean[w])} or gain
     # strings that cover the toxic documents: a greedy cover, so that what only keeps company with insults adds little;
     # a document stays open until COVER strings from different words explain it
-    need = {i: COVER for i in range(len(bags)) if toxic[i]}
+    need = {i: COVER for i in range(len(words)) if toxic[i]}
     ranked = sorted((w for w in gain if gain[w] > 0), key=lambda w: (-gain[w], w))[:3000]
     holders: dict[bytes, set[int]] = {w: set() for w in ranked}
     within: dict[bytes, Counter] = {w: Counter() for w in ranked}  # the words that a string is part of
     for i in need:
         for word in words[i]:
-            for w in grams[word] & holders.keys():
+            for w in _grams(word) & holders.keys():
                 holders[w].add(i)
                 within[w][word] += 1
     cover: list[bytes] = []
@@ -291,7 +302,7 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     if not cover:
         cover = sorted(in_toxic, key=lambda w: (-in_toxic[w], w))[:1] or [b"###"]
     # the words of toxic documents that hold them, as they are written there
-    around = Counter(w for ws, bad in zip(words, toxic) if bad for w in ws if any(g in grams[w] for g in cover) and w not in clean_words_in)
+    around = Counter(w for ws, bad in zip(words, toxic) if bad for w in ws if w not in clean_words_in and any(g in w for g in cover))
     picked = list(dict.fromkeys([*cover, *(w for w, _ in sorted(around.items(), key=lambda x: (-x[1], x[0]))[: 2 * landmarks])]))
     in_clean = clean_words_in
     common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:2000]]
@@ -309,8 +320,16 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     whiten = vectors[:, some] / np.sqrt(values[some])  # K_LL^(-1/2) on its range
     basis = matrix @ whiten  # letter triple -> Nyström feature
 
-    data = np.frombuffer(b"".join(texts), dtype=np.uint8)
-    code, left, offsets = letters_of(data, np.concatenate([[0], np.cumsum([len(t) for t in texts])]))
+    parts, at = [], 0
+    for i in range(0, len(texts), 200):
+        some = texts[i : i + 200]
+        parts.append(letters_of(np.frombuffer(b"".join(some), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])])))
+    code, left = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
+    starts = []
+    for _, _, o in parts:
+        starts.append(o[:-1] + at)
+        at += o[-1]
+    offsets = np.append(np.concatenate(starts), at)
 
     def windows(where: np.ndarray) -> np.ndarray:
         rows = np.zeros((len(where), basis.shape[1]))
