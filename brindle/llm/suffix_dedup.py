@@ -40,6 +40,7 @@ LENGTH = 50
 KMER = 16
 REACH = LENGTH - KMER  # a window that holds the k-mer begins this many bytes before it at most
 SEGMENT = REACH + LENGTH
+HALF = REACH // 2
 NULL_ID = 2**63 - 1
 BLOCK = 1 << 21
 #: Distinct segments of a numpy pass over a bucket's suffixes.
@@ -51,7 +52,7 @@ _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 def _dense(keys: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     s = keys[order]
     rank = np.zeros(len(keys), dtype=np.uint64)
     rank[order] = np.concatenate([[0], np.cumsum(s[1:] != s[:-1])]).astype(np.uint64) if len(keys) else []
@@ -378,6 +379,21 @@ def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _resolve_bucket(records)
 
 
+def _shares_side(segment: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """1 for segments that share the HALF bytes on one side of the k-mer with another segment of their group, else 0."""
+    out = np.zeros(len(segment), dtype=np.int64)
+    for a in (REACH - HALF, REACH + KMER):
+        side = np.zeros((len(segment), -(-HALF // 8) * 8), dtype=np.uint8)
+        side[:, :HALF] = segment[:, a : a + HALF]
+        h = group.astype(np.uint64)
+        for w in side.view("<u8").T:
+            h = mix64(h * _M1 + w)
+        order = np.argsort(h)
+        runs = run_starts(h[order])
+        out[order[np.repeat(np.diff(runs) > 1, np.diff(runs))]] = 1
+    return out
+
+
 def _resolve_bucket(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     wide = np.zeros((len(records), 88), dtype=np.uint8)
     wide[:, :SEGMENT] = records["segment"]
@@ -395,7 +411,10 @@ def _resolve_bucket(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     groups = run_starts(k[:, 0], k[:, 1])
     size = np.diff(groups)
     least = np.repeat(first[:, None], REACH + 1, axis=1)
-    busy = np.flatnonzero(size > 1)
+    # a window reaches HALF bytes to the left of the k-mer or to the right of it: segments that share neither side with
+    # another one of their k-mer only share the k-mer, and no window
+    maybe = _shares_side(records["segment"][heads], np.repeat(np.arange(len(size)), size))
+    busy = np.flatnonzero(np.add.reduceat(maybe, groups[:-1]) > 1)
     i = 0
     while i < len(busy):  # whole k-mers, about CHUNK segments at a time
         j, total = i, 0
@@ -403,6 +422,7 @@ def _resolve_bucket(records: np.ndarray) -> Iterator[pa.RecordBatch]:
             total += size[busy[j]]
             j += 1
         rows = np.concatenate([np.arange(groups[g], groups[g + 1]) for g in busy[i:j]])
+        rows = rows[maybe[rows] > 0]
         some = records[heads[rows]]
         least[rows] = repeated_windows(np.ascontiguousarray(some["segment"]), some["left"], some["right"], first[rows])
         i = j
