@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, embed_dedup, mixing, simhash, suffix_dedup, topk, toxicity, warc
+from . import chat, embed_dedup, mixing, sentencepiece_sampling, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -28,6 +28,11 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
+    return sentencepiece_sampling.round_trip(docs, sentencepiece_sampling.load_pieces(spark))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.where(toxicity.fold(F.col("doc_id")) != 0))
@@ -60,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_near_vectors": op2_near_vectors,
         "op3_mix_sources": op3_mix_sources,
+        "op4_sentencepiece": op4_sentencepiece,
         "op5_toxicity": op5_toxicity,
         "op7_simhash": op7_simhash,
         "op8_suffix_dedup": op8_suffix_dedup,
