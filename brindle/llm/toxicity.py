@@ -425,10 +425,11 @@ def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """docs without the rows that score threshold or more. All columns stay."""
+    columns = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "_text"):
             clean = model.score(data, offsets) < threshold
-            yield rows.select(docs.columns).filter(pa.array(clean))
+            yield rows.select(columns).filter(pa.array(clean))
 
     return docs.withColumn("_text", F.coalesce(F.col(text).cast("binary"), F.lit(b""))).mapInArrow(run, docs.schema)
