@@ -364,8 +364,19 @@ def _replay(section: Section, bucket: int, rates: Rates, record: list[np.ndarray
 
 
 def _sum_arrays(rows: DataFrame, column: str) -> np.ndarray:
-    """Element-wise sum of an array column (a fixed number of elements)."""
-    got = rows.where(F.col(column).isNotNull()).select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    """Element-wise sum of an array column (a fixed number of elements); a task sends one array of its own."""
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: np.ndarray | None = None
+        for b in batches:
+            for x in b.column(0):
+                part = x.values.to_numpy(zero_copy_only=False)
+                total = part.copy() if total is None else total + part
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
+
+    parts = rows.where(F.col(column).isNotNull()).select(column).mapInArrow(own, "total array<double>")
+    got = parts.select(F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(CONTEXTS + 7 + CONTEXTS + 2 * CLASSES + 1)
     for r in got:
         out[r["i"]] = r["x"]
