@@ -310,26 +310,28 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     clean_words = common + [rare[i] for i in rng.permutation(len(rare))[:4000]]
     marks = picked[: landmarks // 2]
     marks = list(dict.fromkeys(marks + clean_words[: landmarks - len(marks)]))
-    matrix = np.array([_profile(w) for w in marks]).T
-    norm = np.sqrt((matrix**2).sum(axis=0))
-    matrix = matrix[:, norm > 0] / norm[norm > 0]
+    del words, in_toxic, in_clean, clean_words_in, gain, holders, within, around  # the driver's memory is small
+    profiles = [p for p in map(_profile, marks) if p.any()]
+    matrix = np.empty((_TRIPLES, len(profiles)))
+    for i in range(len(profiles)):
+        matrix[:, i] = profiles[i] / np.sqrt((profiles[i] ** 2).sum())
+        profiles[i] = None
     if not matrix.shape[1]:
         return Model(np.zeros(_TRIPLES), 0.0, 1.0, 0.0, n_toxic / (n_toxic + n_clean))
     values, vectors = np.linalg.eigh(matrix.T @ matrix)
     some = values > 1e-6 * values.max()
     whiten = vectors[:, some] / np.sqrt(values[some])  # K_LL^(-1/2) on its range
     basis = matrix @ whiten  # letter triple -> Nyström feature
+    del matrix
 
-    parts, at = [], 0
+    room = sum(map(len, texts))
+    code, left, offsets, at = np.empty(room, dtype=np.uint8), np.empty(room, dtype=np.int32), np.zeros(len(texts) + 1, dtype=np.int64), 0
     for i in range(0, len(texts), 200):
         some = texts[i : i + 200]
-        parts.append(letters_of(np.frombuffer(b"".join(some), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])])))
-    code, left = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
-    starts = []
-    for _, _, o in parts:
-        starts.append(o[:-1] + at)
-        at += o[-1]
-    offsets = np.append(np.concatenate(starts), at)
+        c, rest, o = letters_of(np.frombuffer(b"".join(some), dtype=np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in some])]))
+        code[at : at + len(c)], left[at : at + len(c)], offsets[i + 1 : i + 1 + len(some)] = c, rest, o[1:] + at
+        at += len(c)
+    code, left = code[:at], left[:at]
 
     def windows(where: np.ndarray) -> np.ndarray:
         rows = np.zeros((len(where), basis.shape[1]))
@@ -406,7 +408,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     chosen = rows.where("_y = 0").orderBy(ticket, "_id").limit(max_labelled).union(rows.where("_y = 1").orderBy(ticket, "_id").limit(max_labelled))
     # at most 2 * max_labelled rows are broadcast
     found = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= MAX_TRAINING_CHARS))
-    found = found.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).select("_id", "_y", "_text")
+    # of rows that repeat an id one is taken, so that what comes to the driver is bounded too
+    found = found.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
     got = sorted(found.collect(), key=lambda r: (r["_id"], r["_y"], r["_text"]))
     return train([r["_text"].encode() for r in got], np.array([r["_y"] for r in got], dtype=int))
 
