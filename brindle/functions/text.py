@@ -106,13 +106,17 @@ def _ordered(enc: Encoding, some: Collection[str] | None) -> list[str]:
     return [s for s, _ in enc.special_items if some is None or s in some]
 
 
+def _segment(piece: Column, special: Column) -> Column:
+    return F.struct(piece.alias("piece"), special.alias("special"))
+
+
 def special_segments(text: Column | str, strings: Collection[str]) -> Column:
     """array<struct<piece, special>>: the text cut at the special strings, in order; empty ordinary segments are left out."""
     text = _col(text)
     pattern = _alternation(strings)
     between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    plain = F.transform(between, lambda s: F.struct(s.alias("piece"), F.lit(False).alias("special")))
-    marked = F.transform(found, lambda s: F.struct(s.alias("piece"), F.lit(True).alias("special")))
+    plain = F.transform(between, lambda s: _segment(s, F.lit(False)))
+    marked = F.transform(found, lambda s: _segment(s, F.lit(True)))
     pairs = F.flatten(F.transform(F.arrays_zip(plain.alias("a"), marked.alias("b")), lambda z: F.array(z["a"], z["b"])))
     return F.filter(pairs, lambda s: s.isNotNull() & (s["piece"] != ""))
 
@@ -126,15 +130,15 @@ def encode_with_special(text: Column | str, enc: Encoding, allowed: Collection[s
     segments = special_segments(text, strings)
     if enc.nfc:  # between special tokens
         clean = _nfc_each(F.transform(segments, lambda s: s["piece"]))
-        segments = F.zip_with(segments, clean, lambda s, c: F.struct(F.when(s["special"], s["piece"]).otherwise(c).alias("piece"), s["special"].alias("special")))
-    one = lambda p, special: F.struct(p.alias("piece"), F.lit(special).alias("special"))
-    cut = F.flatten(F.transform(segments, lambda s: F.when(s["special"], F.array(one(s["piece"], True))).otherwise(F.transform(F.regexp_extract_all(s["piece"], F.lit(pattern), F.lit(0)), lambda p: one(p, False)))))
+        segments = F.zip_with(segments, clean, lambda s, c: _segment(F.when(s["special"], s["piece"]).otherwise(c), s["special"]))
+    cut = F.flatten(F.transform(segments, lambda s: F.when(s["special"], F.array(_segment(s["piece"], F.lit(True)))).otherwise(F.transform(F.regexp_extract_all(s["piece"], F.lit(pattern), F.lit(0)), lambda p: _segment(p, F.lit(False))))))
 
     @F.arrow_udf("array<int>")
     def merged(pieces: pa.Array, special: pa.Array) -> pa.Array:
         return worker().encode(pieces, special)
 
-    return merged(F.transform(cut, lambda p: p["piece"]), F.transform(cut, lambda p: p["special"]))
+    # named here, since Spark can't make up a name for a function over structs
+    return merged(F.transform(cut, lambda p: p["piece"]), F.transform(cut, lambda p: p["special"])).alias("ids")
 
 
 def disallowed_strings(enc: Encoding, allowed_special: Collection[str] | str = (), disallowed_special: Collection[str] | str = "all") -> list[str]:
