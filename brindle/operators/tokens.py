@@ -18,6 +18,13 @@ from ..encoding import Encoding
 from ..functions import text as T
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt out evenly if it lies in fewer files than there are cores: a small file is often one row group, which one
+    task reads, while encoding is bound by CPU. A table of many files is left as it is, so nothing is shuffled at scale."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 @F.arrow_udf(StructType([StructField("starts", ArrayType(LongType())), StructField("ends", ArrayType(LongType()))]))
 def _byte_spans(pieces: pa.Array) -> pa.Array:
     import numpy as np

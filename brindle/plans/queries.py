@@ -41,7 +41,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "documents")
+    return ops.spread(_read(spark, sf_dir, "documents"))
 
 
 def _shared(spark: SparkSession, label: str) -> str:

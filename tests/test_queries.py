@@ -3,6 +3,7 @@ import os
 import duckdb
 import pytest
 
+from brindle.functions import text as T
 from brindle.plans import queries as Q
 
 SOME = ["pretok_cl100k", "pretok_tekken", "piece_spans", "encode_docs", "encode_conversations", "count_tokens", "token_budget_cube", "token_counts", "offsets_char", "csr_offsets", "encode_with_special", "guard_rejects", "decode_rows", "binary_roundtrip", "flat_roundtrip", "shorter_prefixes", "nfc_docs", "encode_nfc", "stream_encode", "windowed_token_counts", "sql_functions"]
@@ -33,7 +34,8 @@ def test_every_sql_has_a_query():
 
 
 def test_scans_read_only_what_they_need(spark, sf_dir):
-    plan = Q.queries()["count_tokens"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    plan = docs.select("doc_id", T.count_tokens("text", Q.encoding()))._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema: struct<doc_id:bigint,text:string>" in plan and "Exchange" not in plan
 
 
