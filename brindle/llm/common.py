@@ -57,6 +57,14 @@ def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def own_prefix(df: DataFrame) -> str:
+    """A prefix that no column of df has, for an operator's own columns beside them."""
+    prefix = "_"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
 def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, words_of
+from .common import materialize, own_prefix, words_of
 
 SEED = 20240607
 #: Hex digits of the shuffle ticket that name a bucket of a source's queue: 16**3 buckets a source.
@@ -110,9 +110,10 @@ def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sour
     sizes = materialize(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size")), "sizes")
     queue, targets = finish_times(sizes, weights, max_repeats, budget)
     sent = sent_copies(materialize(queue, "queue"), targets, max_repeats)
-    per = sent.groupBy("id").agg(F.sort_array(F.collect_set("finish")).alias("_finish"))
-    rows = docs.join(per.withColumnRenamed("id", "_id"), F.col(id_col).eqNullSafe(F.col("_id")))
-    rows = rows.withColumn("_finish", F.explode("_finish"))
+    own = own_prefix(docs)
+    per = sent.groupBy("id").agg(F.sort_array(F.collect_set("finish")).alias(own + "finish"))
+    rows = docs.join(per.withColumnRenamed("id", own + "id"), F.col(id_col).eqNullSafe(F.col(own + "id")))
+    rows = rows.withColumn(own + "finish", F.explode(own + "finish"))
     if ordered:
-        rows = rows.repartitionByRange("_finish").sortWithinPartitions("_finish")
+        rows = rows.repartitionByRange(own + "finish").sortWithinPartitions(own + "finish")
     return rows.select(*docs.columns)

@@ -28,8 +28,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
-from .common import mix64
+from .common import mix64, own_prefix
 
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -262,7 +263,7 @@ class Table:
         target = source + length
         start = ends - sizes
         level = (begin + length - start[which[begin]]) if n else begin
-        order = np.argsort((level << 40) | target)  # all edges of a level together, and there by node
+        order = np.argsort((level << 40) | target, kind="stable")  # all edges of a level together, and there by node; a node's by length
         source, target, piece, spelled, weight, level = (x[order] for x in (source, target, piece, spelled, weight, level))
         logs = np.zeros(n + len(chunks))
         chance = np.empty(len(source))
@@ -277,10 +278,14 @@ class Table:
             e = np.exp(v - np.repeat(peak, per))
             total = np.add.reduceat(e, groups)
             logs[target[cuts[c:d]]] = peak + np.log(total)
-            # cumulative within each node; divided first, so that sums stay near 1 a node
-            e /= np.repeat(total, per)
-            run = np.cumsum(e)
-            chance[a:b] = run - np.repeat(run[groups] - e[groups], per)
+            chance[a:b] = e / np.repeat(total, per)
+        # cumulative within each node, edge by edge: a sum over several nodes would round by what else is in the block
+        nth = np.arange(len(target)) - np.repeat(cuts, np.diff(np.append(cuts, len(target))))
+        rest, k = np.flatnonzero(nth), 1
+        while len(rest):
+            turn = nth[rest] == k
+            chance[rest[turn]] += chance[rest[turn] - 1]
+            rest, k = rest[~turn], k + 1
         self.source, self.piece, self.spelled, self.chance = source, piece, spelled, chance
         self.begin = np.zeros(n + len(chunks), dtype=np.int64)  # a node's first edge and its last one
         self.begin[target[cuts]] = cuts
@@ -396,49 +401,49 @@ def load_pieces(spark, path: str = MODEL_PATH) -> Pieces:
 
 
 def encode_documents(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", alpha: float = 0.5, seed: int | None = SEED, name: str = "ids") -> DataFrame:
-    """docs with the sampled piece ids in column name (array<int>). The model (32,000 pieces) travels with the function."""
-    columns = docs.columns
+    """docs with the sampled piece ids in column name (array<int>; one of that name is replaced). The model (32,000 pieces) travels with the function."""
+    columns, own = [c for c in docs.columns if c != name], own_prefix(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, alpha, seed)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                found = encoder.encode(part.column("_text").to_pylist(), part.column("_key").to_pylist())
+                found = encoder.encode(part.column(own + "text").to_pylist(), part.column(own + "key").to_pylist())
                 ends = np.concatenate([[0], np.cumsum([0 if x is None else len(x) for x in found])])
                 flat = np.concatenate([x for x in found if x is not None] or [np.zeros(0, np.int32)]).astype(np.int32)
                 missing = pa.array([x is None for x in found] + [False])
                 offsets = pa.array(ends.astype(np.int32), mask=missing.to_numpy(zero_copy_only=False))
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(columns))), pa.ListArray.from_arrays(offsets, pa.array(flat))], names=[*columns, name])
 
-    source = docs.select("*", F.col(text).alias("_text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"))
-    return source.mapInArrow(run, docs.schema.add(name, "array<int>") if name not in columns else docs.schema)
+    source = docs.select(*columns, F.col(text).alias(own + "text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias(own + "key"))
+    return source.mapInArrow(run, docs.select(*columns).schema.add(name, ArrayType(IntegerType())))
 
 
 def decode_documents(encoded: DataFrame, pieces: Pieces, ids: str = "ids", name: str = "decoded") -> DataFrame:
     """encoded with the text of its ids in column name."""
-    columns = encoded.columns
+    columns = [c for c in encoded.columns if c != name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [None if x is None else decode(x, pieces) for x in b.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], names=[*columns, name])
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in columns), pa.array(texts, pa.string())], names=[*columns, name])
 
-    return encoded.mapInArrow(run, type(encoded.schema)([*encoded.schema.fields]).add(name, "string"))
+    return encoded.mapInArrow(run, encoded.select(*columns).schema.add(name, "string"))
 
 
 def round_trip(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str = "text", alpha: float = 0.5, seed: int | None = SEED) -> DataFrame:
     """docs without its text, with n_pieces, ids_sha256 (of the ids as little-endian 32-bit numbers), decoded_sha256 and lossless: what the
     ids decode to, worked out where they are made, so that they need not travel twice."""
-    rest = [c for c in docs.columns if c != text]
+    rest, own = [c for c in docs.columns if c not in (text, "n_pieces", "ids_sha256", "decoded_sha256", "lossless")], own_prefix(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(pieces, alpha, seed)
         for b in batches:
             for at in range(0, b.num_rows, ROWS):
                 part = b.slice(at, ROWS)
-                texts = part.column("_text").to_pylist()
-                found = encoder.encode(texts, part.column("_key").to_pylist())
+                texts = part.column(own + "text").to_pylist()
+                found = encoder.encode(texts, part.column(own + "key").to_pylist())
                 back = [None if x is None else decode(x.tolist(), pieces) for x in found]
                 sha = lambda raw: hashlib.sha256(raw).hexdigest()
                 arrays = [
@@ -449,6 +454,6 @@ def round_trip(docs: DataFrame, pieces: Pieces, key: str = "doc_id", text: str =
                 ]
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in rest), *arrays], names=[*rest, "n_pieces", "ids_sha256", "decoded_sha256", "lossless"])
 
-    source = docs.select(*rest, F.col(text).alias("_text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_key"))
+    source = docs.select(*rest, F.col(text).alias(own + "text"), F.coalesce(F.col(key).cast("string"), F.lit("")).alias(own + "key"))
     schema = docs.select(*rest).schema.add("n_pieces", "long").add("ids_sha256", "string").add("decoded_sha256", "string").add("lossless", "boolean")
     return source.mapInArrow(run, schema)

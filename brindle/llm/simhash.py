@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_cells, connected_components, local_roots, materialize, pairs_in_runs, partitions, run_starts
+from .common import bucket_cells, connected_components, local_roots, materialize, own_prefix, pairs_in_runs, partitions, run_starts
 
 SEED = 42
 #: Members of a bucket from which on it is cut into a grid of cells.
@@ -54,14 +54,14 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", shingle: int = 3, name: str = "_fp") -> DataFrame:
     """docs without its text, with the fingerprint as a signed long in column name."""
-    rest = [c for c in docs.columns if c != text]
+    rest, body = [c for c in docs.columns if c not in (text, name)], own_prefix(docs) + "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column("_text")), dtype=np.uint64, count=batch.num_rows)
+            values = np.fromiter((fingerprint(t.as_buffer().to_pybytes(), shingle) for t in batch.column(body)), dtype=np.uint64, count=batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(values.view(np.int64))], names=[*rest, name])
 
-    source = docs.select(*rest, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
+    source = docs.select(*rest, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(body))
     schema = docs.select(*rest).schema.add(name, "long")
     return source.mapInArrow(run, schema)
 
@@ -175,5 +175,6 @@ def fingerprint_hex(column) -> "F.Column":
 
 def keep_one(docs: DataFrame, components: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """docs without those that are not the first of their group; rows that repeat an id stay or go together, null ids stay."""
-    gone = components.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    own = own_prefix(docs) + "gone"
+    gone = components.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct()
+    return docs.join(gone, F.col(id_col) == F.col(own), "left_anti")

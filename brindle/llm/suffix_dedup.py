@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, mix64, new_folder, partitions, run_starts
+from .common import materialize, own_prefix, mix64, new_folder, partitions, run_starts
 
 LENGTH = 50
 KMER = 16
@@ -531,21 +531,21 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with the repeated bytes gone from their texts (a null text stays null). All columns and rows are kept."""
-    rows, cuts = repeats(docs, id_col, text)
+    own, (rows, cuts) = own_prefix(docs), repeats(docs, id_col, text)
     sha = F.sha2(F.coalesce(F.col(text).cast("binary"), F.lit(b"")), 256)
     half = lambda i: F.conv(F.substring(sha, i, 16), 16, -10).cast("long")
     copies = rows.where((F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)).select("id", "r1", "r2").distinct()
-    whole = copies.select(F.col("r1").alias("_r1"), F.col("r2").alias("_r2"), F.col("id").alias("_id"), F.lit(True).alias("_copy"))
-    keyed = docs.withColumn("_k1", half(1)).withColumn("_k2", half(17)).withColumn("_kid", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
-    keyed = keyed.join(whole, (F.col("_k1") == F.col("_r1")) & (F.col("_k2") == F.col("_r2")) & (F.col("_kid") == F.col("_id")), "left")
-    found = cuts.select(F.col("r1").alias("_c1"), F.col("r2").alias("_c2"), F.col("starts").alias("_starts"), F.col("ends").alias("_ends"))
-    keyed = keyed.join(found, (F.col("_k1") == F.col("_c1")) & (F.col("_k2") == F.col("_c2")), "left")
+    whole = copies.select(F.col("r1").alias(own + "r1"), F.col("r2").alias(own + "r2"), F.col("id").alias(own + "id"), F.lit(True).alias(own + "copy"))
+    keyed = docs.withColumn(own + "k1", half(1)).withColumn(own + "k2", half(17)).withColumn(own + "kid", F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)))
+    keyed = keyed.join(whole, (F.col(own + "k1") == F.col(own + "r1")) & (F.col(own + "k2") == F.col(own + "r2")) & (F.col(own + "kid") == F.col(own + "id")), "left")
+    found = cuts.select(F.col("r1").alias(own + "c1"), F.col("r2").alias(own + "c2"), F.col("starts").alias(own + "starts"), F.col("ends").alias(own + "ends"))
+    keyed = keyed.join(found, (F.col(own + "k1") == F.col(own + "c1")) & (F.col(own + "k2") == F.col(own + "c2")), "left")
     columns, at = docs.columns, docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             new = b.column(at).to_pylist()
-            for i, (copy, starts, ends) in enumerate(zip(*(b.column(n).to_pylist() for n in ("_copy", "_starts", "_ends")))):
+            for i, (copy, starts, ends) in enumerate(zip(*(b.column(n).to_pylist() for n in (own + "copy", own + "starts", own + "ends")))):
                 if new[i] is None:
                     continue
                 if copy:
@@ -555,4 +555,4 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
                     new[i] = b"".join(raw[a:z] for a, z in zip([0, *ends], [*starts, len(raw)])).decode("utf-8", "ignore")
             yield pa.RecordBatch.from_arrays([pa.array(new, b.column(at).type) if i == at else b.column(i) for i in range(len(columns))], names=columns)
 
-    return keyed.select(*columns, "_copy", "_starts", "_ends").mapInArrow(run, docs.schema)
+    return keyed.select(*columns, own + "copy", own + "starts", own + "ends").mapInArrow(run, docs.schema)

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix64, text_blocks
+from .common import SPACE, mix64, own_prefix, text_blocks
 
 DECAY = 0.75
 SPAN = 6
@@ -415,24 +415,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
-    """docs without its text, with a score between 0 and 1; each whole text is read."""
-    rest = [c for c in docs.columns if c != text]
+    """docs without its text, with a score between 0 and 1 in column name (one of that name is replaced); each whole text is read."""
+    rest, body = [c for c in docs.columns if c not in (text, name)], own_prefix(docs) + "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches, "_text"):
+        for rows, data, offsets in text_blocks(batches, body):
             yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), pa.array(model.score(data, offsets))], names=[*rest, name])
 
-    source = docs.select(*rest, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("_text"))
+    source = docs.select(*rest, F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias(body))
     return source.mapInArrow(run, docs.select(*rest).schema.add(name, "double"))
 
 
 def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.5, text: str = "text") -> DataFrame:
     """docs without the rows that score threshold or more. All columns stay."""
-    columns = docs.columns
+    columns, body = docs.columns, own_prefix(docs) + "text"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, data, offsets in text_blocks(batches, "_text"):
+        for rows, data, offsets in text_blocks(batches, body):
             clean = model.score(data, offsets) < threshold
             yield rows.select(columns).filter(pa.array(clean))
 
-    return docs.withColumn("_text", F.coalesce(F.col(text).cast("binary"), F.lit(b""))).mapInArrow(run, docs.schema)
+    return docs.withColumn(body, F.coalesce(F.col(text).cast("binary"), F.lit(b""))).mapInArrow(run, docs.schema)
