@@ -363,36 +363,39 @@ def _replay(section: Section, bucket: int, rates: Rates, record: list[np.ndarray
         yield k
 
 
-def _sum_arrays(rows: DataFrame, column: str) -> np.ndarray:
-    """Element-wise sum of an array column (a fixed number of elements); a task sends one array of its own."""
-
-    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: np.ndarray | None = None
-        for b in batches:
-            for x in b.column(0):
-                part = x.values.to_numpy(zero_copy_only=False)
-                total = part.copy() if total is None else total + part
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["total"])
-
-    parts = rows.where(F.col(column).isNotNull()).select(column).mapInArrow(own, "total array<double>")
-    got = parts.select(F.posexplode("total").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+def _sum_arrays(parts: DataFrame, column: str) -> np.ndarray:
+    """Element-wise sum of an array column (a fixed number of elements), of which a task sends one array."""
+    got = parts.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
     out = np.zeros(CONTEXTS + 7 + CONTEXTS + 2 * CLASSES + 1)
     for r in got:
         out[r["i"]] = r["x"]
     return out
 
 
+def _task_total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    total: np.ndarray | None = None
+    for x in arrays:
+        total = np.array(x, dtype=np.float64) if total is None else total + x
+    if total is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["totals"])
+
+
+def _task_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return _task_total(x.values.to_numpy(zero_copy_only=False) for b in batches for x in b.column(0))
+
+
 def _swept(rates: Rates, record: list[np.ndarray]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: a task's sections to the sum of their totals after as many sweeps as are on record."""
+
+    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
         for b in batches:
             for i in range(b.num_rows):
                 section = _section(b.column("model")[i], b.column("rows")[i].as_py())
                 for _ in _replay(section, b.column("bucket")[i].as_py(), rates, record, len(record)):
                     pass
-                yield pa.RecordBatch.from_arrays([pa.array([section.totals()], pa.list_(pa.float64()))], names=["totals"])
+                yield section.totals()
 
-    return run
+    return lambda batches: _task_total(totals(batches))
 
 
 def _mean_log(section: Section, bucket: int, rates: Rates, record: list[np.ndarray], word: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -501,7 +504,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     # a block is named by its first row's number: unique, and the same again if a task is run again
     gathered = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_gather(hot, 2 * n), _MAP)
     kept = materialize(gathered.repartition(n, "kind", "bucket").mapInArrow(_organise, _KEPT), "dishes")
-    stats = _sum_arrays(kept, "stats")
+    stats = _sum_arrays(kept.where("stats is not null").select("stats").mapInArrow(_task_stats, "totals array<double>"), "totals")
     rates = Rates.of(stats)
     record = [stats[CONTEXTS + 7 :]]
     sections = kept.where(F.col("kind") != _DOCS).select("bucket", "rows", "model")
