@@ -412,8 +412,11 @@ def _pattern(grammar: str) -> str:
 
 
 def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    schema = _read(spark, sf_dir, table).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)
+    reader = spark.readStream.schema(_read(spark, sf_dir, table).schema)
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{table}.parquet")
+    if path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).getFileStatus(path).isDirectory():
+        return reader.parquet(f"{sf_dir}/{table}.parquet")
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(sf_dir)  # streams read folders, not files
 
 
 @_query("stream_encode", _encoded("select c.conv_id, c.turn, count(enc.id)::int as n_tokens from conversations c left join enc using (conv_id, turn) group by all", "llama3", "select conv_id, turn, text from conversations", "conv_id, turn"))

@@ -29,6 +29,14 @@ def test_query_equals_its_sql(spark, duck, sf_dir, name):
     assert rows(df.columns, [tuple(r) for r in df.collect()]) == rows([d[0] for d in got.description], got.fetchall())
 
 
+@pytest.mark.parametrize("name", ["stream_encode", "stream_detokenize"])
+def test_streams_read_tables_of_several_files(spark, sf_dir, tmp_path, name):
+    spark.read.parquet(f"{sf_dir}/conversations.parquet").repartition(3).write.parquet(f"{tmp_path}/conversations.parquet")
+    run = Q.queries()[name]
+    got, one = (sorted(map(tuple, run(spark, str(d)).collect())) for d in (tmp_path, sf_dir))
+    assert got == one and got
+
+
 def test_every_sql_has_a_query():
     assert set(Q.oracle_sql()) <= set(Q.queries())
 
