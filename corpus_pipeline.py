@@ -4,9 +4,8 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir), docs bein
 Parquet and read again), and returns the documents that go on. All but the last return the columns of documents.
 
 1. toxicity: trained on the labels of training rows; documents that score 0.5 or more go.
-2. simhash: near-duplicates by SimHash of five-word shingles; of each group the document with the least id stays. Two
-   fingerprints link at RADIUS or fewer differing bits of 64, an estimated angle of RADIUS * 180 / 64 degrees, which is a cosine of
-   0.94 or a Jaccard similarity of about 0.89, above the 0.8 that near-duplicates need at least.
+2. near copies: documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked on the
+   whole sets (an exact join, brindle.llm.near_copies); of each group the document with the least id stays.
 3. suffix arrays: bytes that lie in a string of 50 bytes that also starts in an earlier document go from the texts.
 4. mixing: documents repeat as often as the mix of sources to weights 1, 2, 3 takes them (0 to 3 times).
 5. SentencePiece: sampled piece ids of each text and their decoding; rows that repeat get one row each.
@@ -19,11 +18,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.llm import mixing, sentencepiece_sampling, simhash, suffix_dedup, toxicity
+from brindle.llm import mixing, near_copies, sentencepiece_sampling, simhash, suffix_dedup, toxicity
 from brindle.llm.common import drop_scratch, shared_folder
 
-RADIUS, SEGMENTS, KEY_SEGMENTS = 7, 8, 2
-
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -33,8 +30,7 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     drop_scratch(spark)  # docs has been written and read again, so nothing reads a former stage's folders
-    groups = simhash.simhash_components(docs, shingle=5, radius=RADIUS, segments=SEGMENTS, key_segments=KEY_SEGMENTS)
-    return simhash.keep_one(docs, groups)
+    return simhash.keep_one(docs, near_copies.near_copy_components(docs))
 
 
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
