@@ -159,13 +159,14 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "tex
         raise ValueError("segments must exceed radius, and key_segments be 1..segments")
     spark = docs.sparkSession
     rows = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), shingle=shingle, name="fp"), "fp")
-    reps = rows.groupBy("fp").agg(F.min("id").alias("rep"))
-    named = reps.where("rep is not null")
-    cells = bucket_cells(bucket_rows(named, radius, segments, key_segments), ["slot", "key"], "fp", CELL_CAP)
+    # a fingerprint is its own node, so that those of null ids link too; the least id names a component afterwards
+    nodes = rows.select("fp").distinct().withColumn("rep", F.col("fp"))
+    cells = bucket_cells(bucket_rows(nodes, radius, segments, key_segments), ["slot", "key"], "fp", CELL_CAP)
     links = cells.repartition(partitions(spark), "slot", "key", "cx", "cy").mapInArrow(chain_links(radius, segments), "a long, b long")
-    roots = connected_components(links)
-    # only fingerprints of linked groups move their documents to another root
-    found = reps.join(roots, reps["rep"] == roots["node"], "left").select("fp", F.coalesce("root", "rep").alias("component_id"))
+    roots = connected_components(links).withColumnRenamed("node", "fp")
+    reps = rows.groupBy("fp").agg(F.min("id").alias("rep")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    named = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
+    found = reps.join(named, "root").select("fp", "component_id")
     return rows.join(found, "fp").select(F.col("id").alias(id_col), "fp", "component_id")
 
 
