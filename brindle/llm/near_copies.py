@@ -1,13 +1,16 @@
 """Groups of near copies: texts whose sets of word shingles have a Jaccard similarity of 4/5 or more, and what these link.
 
-The join is exact, for sets of 64-bit shingle hashes: no pair is missed and every link is verified on the whole sets.
-Candidates come from the prefix filter: with all sets in one global order, two similar sets of sizes n and m share one of
-the first n - ceil(4n/5) + 1 of the one and as many of the other. Any order is right; the shingles of a bounded sample go
-last, the most frequent at the very end, so that common passages make few candidates. Pairs that meet must also have sizes in
-proportion and parities (BITS counts modulo 2) that differ in at most (n + m) / 9 bits, which all similar pairs do.
-
-Equal sets collapse first. Then every member of a bucket meets the bucket's least node, and what these links join meets no
-more: only pairs of different groups are looked at in a bucket, in a grid of cells where it is large.
+SimHash comes first: the groups that pigeonring chains find among the fingerprints of the sets (simhash.linked_fingerprints,
+at a small radius, where unrelated texts hardly ever meet) are links to be, each of which is verified on the whole sets. What
+lies further apart, which no fingerprint radius finds without drowning in chance pairs, is completed by an exact join: with
+all sets in one global order, two similar sets of sizes n and m share one of the first n - ceil(4n/5) + 1 of the one and as
+many of the other. Any order is right; the shingles of a bounded sample go last, the most frequent at the very end, so that
+common passages make few candidates. Only pairs of different groups are looked at: each member of a bucket with the bucket's
+least node, then, where groups still differ in a bucket, all pairs of it in a grid of cells.
+
+No pair is missed, and no pair links unverified (on sets of 64-bit shingle hashes). Before whole sets travel, a pair must pass
+its sketches: counts of members by SLOTS hash slots, whose differences add up to no more than the sets' difference, which is
+at most (n + m) / 9 for similar sets.
 
 Defined cases: a null text counts as empty; texts without words are one group; fewer words than a shingle make one shingle of
 all words; a null id joins its group and never names it; an empty table gives an empty result.
@@ -24,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_cells, connected_components, materialize, pairs_in_runs, partitions, run_starts
+from .simhash import linked_fingerprints, majority
 
 SEED = 42
-BITS = 128
+SLOTS, BITS = 256, 128
 CELL_CAP = 2048
 SAMPLE_DOCS, COMMON = 4000, 1 << 16
-_PREFIX = "s long, node long, n int, p0 long, p1 long"
 
 
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
@@ -51,12 +54,27 @@ def similar(both, n, m):
     return 9 * both >= 4 * (n + m)
 
 
+def slot_counts(s: np.ndarray) -> np.ndarray:
+    """Members of a set by hash slot, modulo 256."""
+    return np.bincount((s >> np.uint64(20)).astype(np.int64) % SLOTS, minlength=SLOTS).astype(np.uint8)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """What the sets of two arrays of slot counts differ in at least."""
+    d = x - y
+    return np.minimum(d, -d).sum(axis=-1, dtype=np.int64)
+
+
+_SETS = (("node", "long"), ("n", "integer"), ("fp", "long"), ("p0", "long"), ("p1", "long"), ("sketch", "binary"), ("prefix", "binary"), ("text", "binary"))
+
+
 def _sets(shingle: int, common: np.ndarray):
-    """mapInArrow function: (id, text) with the set's name, size and parities, and the prefix; the set itself can be had from the text."""
+    """mapInArrow function: (id, text) with the set's name, size, fingerprint, parities, sketch and prefix; the set itself can be had from the text."""
     known = np.argsort(common)
     table = common[known]
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
-    def one(text: bytes) -> tuple[int, int, int, int, bytes]:
+    def one(text: bytes) -> tuple:
         s = shingle_set(text, shingle)
         n = len(s)
         p0, p1 = np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).view("<i8").tolist()
@@ -65,13 +83,13 @@ def _sets(shingle: int, common: np.ndarray):
             at = np.minimum(np.searchsorted(table, s), len(table) - 1)
             rank = np.where(table[at] == s, known[at] + 1, 0)
         first = s[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
-        return int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), SEED)).view(np.int64)), n, p0, p1, first.tobytes()
+        node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), SEED)).view(np.int64))
+        return node, n, int(np.uint64(majority(s)).view(np.int64)), p0, p1, slot_counts(s).tobytes(), first.tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            node, n, p0, p1, prefix = zip(*(one(t.as_buffer().to_pybytes()) for t in b.column("text"))) if b.num_rows else ((),) * 5
-            arrays = [pa.array(node, pa.int64()), pa.array(n, pa.int32()), pa.array(p0, pa.int64()), pa.array(p1, pa.int64()), pa.array(prefix, pa.binary())]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *arrays, b.column("text")], names=["id", "node", "n", "p0", "p1", "prefix", "text"])
+            columns = list(zip(*(one(t.as_buffer().to_pybytes()) for t in b.column("text")))) if b.num_rows else [()] * len(types)
+            yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(columns, types)), b.column("text")], names=["id", *(name for name, _ in _SETS)])
 
     return run
 
@@ -91,55 +109,60 @@ def _common(source: DataFrame, shingle: int) -> np.ndarray:
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sets to a row for each member of their prefixes."""
+    """Sets to a row (s, node, n) for each member of their prefixes; equal sets of a batch give one."""
     for b in batches:
-        out = []
-        for *rest, prefix in zip(*(b.column(c).to_numpy() for c in ("node", "n", "p0", "p1")), b.column("prefix")):
+        seen, out, size = set(), [], 0
+        for node, n, prefix in zip(b.column("node").to_pylist(), b.column("n").to_pylist(), b.column("prefix")):
+            if node in seen:
+                continue
+            seen.add(node)
             first = np.frombuffer(prefix.as_buffer(), "<i8")
-            out.append((first, *(np.full(len(first), x) for x in rest)))
-            if len(out) >= 512 or len(first) > 4096:
+            out.append((first, np.full(len(first), node), np.full(len(first), n, dtype=np.int32)))
+            size += len(first)
+            if size > 1 << 16:
                 yield _batch(out)
-                out = []
+                out, size = [], 0
         if out:
             yield _batch(out)
 
 
-def _members(shingle: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            members = [shingle_set(t.as_buffer().to_pybytes(), shingle).tobytes() for t in b.column("text")]
-            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(members, pa.binary())], names=["node", "members"])
-
-    return run
-
-
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    s, node, n, p0, p1 = (np.concatenate(c) for c in zip(*rows))
-    return pa.RecordBatch.from_arrays([pa.array(s), pa.array(node), pa.array(n.astype(np.int32)), pa.array(p0), pa.array(p1)], names=["s", "node", "n", "p0", "p1"])
+    s, node, n = (np.concatenate(c) for c in zip(*rows))
+    return pa.RecordBatch.from_arrays([pa.array(s), pa.array(node), pa.array(n)], names=["s", "node", "n"])
 
 
-def _may_be_similar(c: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    n, m = c["n"][i].astype(np.int64), c["n"][j].astype(np.int64)
-    apart = sum(np.bitwise_count((c[p][i] ^ c[p][j]).view(np.uint64)).astype(np.int64) for p in ("p0", "p1"))
-    return (5 * np.minimum(n, m) >= 4 * np.maximum(n, m)) & (9 * apart <= n + m)
+def _close(n: np.ndarray, m: np.ndarray) -> np.ndarray:
+    """Whether sets of such sizes can be similar."""
+    n, m = n.astype(np.int64), m.astype(np.int64)
+    return 5 * np.minimum(n, m) >= 4 * np.maximum(n, m)
 
 
 def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets to those of two nodes or more, with the least node (hub) and whether it may be similar."""
-    if not (batches := [b for b in batches if b.num_rows]):
-        return
-    table = pa.Table.from_batches(batches)
-    c = {k: table.column(k).to_numpy() for k in table.column_names}
-    order = np.lexsort((c["node"], c["s"]))
-    c = {k: v[order] for k, v in c.items()}
-    c = {k: v[run_starts(c["s"], c["node"])[:-1]] for k, v in c.items()}
-    runs = run_starts(c["s"])
-    size = np.diff(runs)
-    hub = np.repeat(runs[:-1], size)
-    rows = np.flatnonzero(np.repeat(size, size) > 1)
-    met = _may_be_similar(c, hub[rows], rows) & (rows != hub[rows])
-    arrays = [pa.array(c[k][rows]) for k in ("s", "node", "n", "p0", "p1")]
-    yield from pa.Table.from_arrays([*arrays, pa.array(c["node"][hub[rows]]), pa.array(met)], names=["s", "node", "n", "p0", "p1", "hub", "met"]).to_batches(1 << 17)
+    """Rows in order of s and node to those of buckets of two nodes or more, with the least node (hub) and whether the sizes fit it.
+
+    A bucket may go over any number of batches: of the open one the hub and the last row are carried on.
+    """
+    carried = None  # rows that stand before the next batch, and whether they have been given
+    for b in batches:
+        c = {k: b.column(k).to_numpy() for k in ("s", "node", "n")}
+        given = np.zeros(b.num_rows, dtype=bool)
+        if carried is not None:
+            c = {k: np.concatenate([carried[0][k], v]) for k, v in c.items()}
+            given = np.concatenate([carried[1], given])
+        keep = run_starts(c["s"], c["node"])[:-1]
+        c, given = {k: v[keep] for k, v in c.items()}, given[keep]
+        if not len(given):
+            continue
+        runs = run_starts(c["s"])
+        size = np.diff(runs)
+        hub = np.repeat(runs[:-1], size)
+        many = np.repeat(size, size) > 1
+        rows = np.flatnonzero(many & ~given)
+        if len(rows):
+            met = _close(c["n"][hub[rows]], c["n"][rows]) & (rows != hub[rows])
+            yield pa.RecordBatch.from_arrays([*(pa.array(c[k][rows]) for k in ("s", "node", "n")), pa.array(c["node"][hub[rows]]), pa.array(met)], names=["s", "node", "n", "hub", "met"])
+        last = np.unique([runs[-2], len(given) - 1])
+        carried = {k: v[last] for k, v in c.items()}, np.full(len(last), size[-1] > 1)
 
 
 def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,30 +176,75 @@ def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for i, j in pairs_in_runs(run_starts(c["s"], c["cx"], c["cy"])):
         meet = (c["root"][i] != c["root"][j]) & ((c["cx"][i] == c["cy"][i]) | (c["chunk"][i] != c["chunk"][j])) & (c["node"][i] != c["hub"][i]) & (c["node"][j] != c["hub"][j])
         i, j = i[meet], j[meet]
-        keep = _may_be_similar(c, i, j)
+        apart = sum(np.bitwise_count((c[p][i] ^ c[p][j]).view(np.uint64)).astype(np.int64) for p in ("p0", "p1"))
+        keep = _close(c["n"][i], c["n"][j]) & (9 * apart <= c["n"][i].astype(np.int64) + c["n"][j])
         a, b = c["node"][i[keep]], c["node"][j[keep]]
         if len(a):
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
             yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
 
 
-def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with sizes and sketches of both to those that may be similar."""
+    for b in batches:
+        n, m = b.column("xn").to_numpy(), b.column("yn").to_numpy()
+        x, y = (np.frombuffer(b"".join(v.as_buffer() for v in b.column(k)), np.uint8).reshape(-1, SLOTS) for k in ("x", "y"))
+        yield b.select(["a", "b"]).filter(pa.array(_close(n, m) & (9 * least_difference(x, y) <= n.astype(np.int64) + m)))
+
+
+def _verified(shingle: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        name, x = None, None
+        for b in batches:
+            keep = []
+            for a, tx, ty in zip(b.column("a").to_pylist(), b.column("x"), b.column("y")):
+                if a != name:  # pairs of one node often follow each other
+                    name, x = a, shingle_set(_unpacked(tx), shingle)
+                y = shingle_set(_unpacked(ty), shingle)
+                keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
+            yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return run
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed, behind their lengths."""
     for b in batches:
-        keep = []
-        for x, y in zip(b.column("x"), b.column("y")):
-            x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
-            keep.append(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y)))
-        yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        z = [len(t.as_buffer()).to_bytes(8, "little") + pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in b.column("text")]
+        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(z, pa.binary())], names=["node", "z"])
+
+
+def _unpacked(value: pa.Scalar) -> bytes:
+    raw = value.as_buffer()
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8].to_pybytes(), "little"), codec="zstd", asbytes=True)
+
+
+def _two(pairs: DataFrame, facts: DataFrame, **columns: str) -> DataFrame:
+    """pairs with columns of facts for a (named x...) and for b (named y...)."""
+    for side, v in (("a", "x"), ("b", "y")):
+        pairs = pairs.join(facts.select(F.col("node").alias(side), *(F.col(c).alias(v + end) for end, c in columns.items())), side)
+    return pairs
 
 
 def _links(pairs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets are similar."""
+
+    def of(pairs: DataFrame, *columns: str) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+        return sets.select("node", *columns).join(nodes, "node", "left_semi")
+
     pairs = materialize(pairs.distinct(), "pairs")
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = sets.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
-    wanted = materialize(wanted.mapInArrow(_members(shingle), "node long, members binary"), "members")
-    x, y = (wanted.select(F.col("node").alias(k), F.col("members").alias(v)) for k, v in (("a", "x"), ("b", "y")))
-    return materialize(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(_verified, "a long, b long"), "links")
+    facts = of(pairs, "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    left = materialize(_two(pairs, facts, n="n", **{"": "sketch"}).mapInArrow(_passes, "a long, b long"), "passes")
+    texts = of(left, "text").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_packed, "node long, z binary")
+    return materialize(_two(left, texts, **{"": "z"}).select("a", "b", "x", "y").mapInArrow(_verified(shingle), "a long, b long"), "links")
+
+
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose nodes are of different groups."""
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("node").alias(side), F.col("root").alias("r" + side)), side, "left")
+    return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
@@ -184,16 +252,25 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     n = partitions(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     schema = source.select("id").schema
-    for name, kind in (("node", "long"), ("n", "integer"), ("p0", "long"), ("p1", "long"), ("prefix", "binary"), ("text", "binary")):
+    for name, kind in _SETS:
         schema = schema.add(name, kind)
-    sets = materialize(source.mapInArrow(_sets(shingle, _common(source, shingle)), schema), "sets")
-    prefixes = sets.where("n > 0").select("node", "n", "p0", "p1", "prefix").mapInArrow(_prefixes, _PREFIX)
-    buckets = materialize(prefixes.repartition(n, "s").mapInArrow(_buckets, f"{_PREFIX}, hub long, met boolean"), "buckets")
-    links = _links(buckets.where("met").select(F.col("hub").alias("a"), F.col("node").alias("b")), sets, shingle)
+    sets = materialize(source.mapInArrow(_sets(shingle, _common(source, shingle)), schema), "sets", compression="zstd")
+    # groups of fingerprints: each set with the least of its group
+    nodes = sets.where("n > 0").select("node", "fp").distinct()
+    grouped = nodes.join(linked_fingerprints(nodes.select("fp").distinct()), "fp", "left").select("node", F.coalesce("root", "fp").alias("g"))
+    hubs = grouped.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a < _z").select("g", "a")
+    links = _links(grouped.join(hubs, "g").where("a < node").select("a", F.col("node").alias("b")), sets, shingle)
+    roots = connected_components(links)
+    # the others, by the prefix filter
+    prefixes = sets.where("n > 0").select("node", "n", "prefix").mapInArrow(_prefixes, "s long, node long, n int")
+    buckets = materialize(prefixes.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_buckets, "s long, node long, n int, hub long, met boolean"), "buckets")
+    pairs = buckets.where("met").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    links = links.union(_links(_rooted(pairs, roots), sets, shingle))
     roots = connected_components(links)
-    rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = buckets.select("s", "node", "n", "hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     mixed = rows.groupBy("s").agg((F.min("root") < F.max("root")).alias("_mixed"), F.count(F.lit(1)).alias("_size")).where("_mixed and _size > 2").select("s")
-    cells = bucket_cells(rows.join(mixed, "s", "left_semi"), ["s"], "node", CELL_CAP)
+    parities = sets.groupBy("node").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1"))
+    cells = bucket_cells(rows.join(mixed, "s", "left_semi").join(parities, "node"), ["s"], "node", CELL_CAP)
     more = _links(cells.repartition(n, "s", "cx", "cy").mapInArrow(_cross_pairs, "a long, b long"), sets, shingle)
     roots = connected_components(links.union(more))
     ids = sets.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))

@@ -44,8 +44,12 @@ def fingerprint(text: bytes, shingle: int = 3) -> int:
     k = min(shingle, len(words))
     digest, n = xxhash.xxh64_intdigest, len(words) - k + 1
     spans = zip(starts[:n].tolist(), ends[k - 1 :].tolist())
-    hashes = np.fromiter((digest(flat[s:e], SEED) for s, e in spans), dtype="<u8", count=n)
-    ones = np.zeros(64, dtype=np.int64)
+    return majority(np.fromiter((digest(flat[s:e], SEED) for s, e in spans), dtype="<u8", count=n))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half the hashes have."""
+    n, ones = len(hashes), np.zeros(64, dtype=np.int64)
     for i in range(0, n, _SLICE):
         part = hashes[i : i + _SLICE]
         ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint32)
@@ -150,20 +154,23 @@ def chain_links(radius: int, segments: int):
     return run
 
 
+def linked_fingerprints(fps: DataFrame, radius: int = 2, segments: int = 5, key_segments: int = 2) -> DataFrame:
+    """(fp, root): distinct fingerprints that differ in radius or fewer bits from another one, with the least of their component."""
+    if radius < 0 or segments <= radius or not 0 < key_segments <= segments:
+        raise ValueError("segments must exceed radius, and key_segments be 1..segments")
+    cells = bucket_cells(bucket_rows(fps.withColumn("rep", F.col("fp")), radius, segments, key_segments), ["slot", "key"], "fp", CELL_CAP)
+    links = cells.repartition(partitions(fps.sparkSession), "slot", "key", "cx", "cy").mapInArrow(chain_links(radius, segments), "a long, b long")
+    return connected_components(links).withColumnRenamed("node", "fp")
+
+
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 3, radius: int = 2, segments: int = 5, key_segments: int = 2) -> DataFrame:
     """(id_col, fp long, component_id long): a row per document. Fingerprints link at radius or fewer differing bits.
 
     Equal fingerprints collapse before the search, so copies cost a partial minimum; only distinct fingerprints meet.
     """
-    if radius < 0 or segments <= radius or not 0 < key_segments <= segments:
-        raise ValueError("segments must exceed radius, and key_segments be 1..segments")
-    spark = docs.sparkSession
     rows = materialize(fingerprints(docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")), shingle=shingle, name="fp"), "fp")
     # a fingerprint is its own node, so that those of null ids link too; the least id names a component afterwards
-    nodes = rows.select("fp").distinct().withColumn("rep", F.col("fp"))
-    cells = bucket_cells(bucket_rows(nodes, radius, segments, key_segments), ["slot", "key"], "fp", CELL_CAP)
-    links = cells.repartition(partitions(spark), "slot", "key", "cx", "cy").mapInArrow(chain_links(radius, segments), "a long, b long")
-    roots = connected_components(links).withColumnRenamed("node", "fp")
+    roots = linked_fingerprints(rows.select("fp").distinct(), radius, segments, key_segments)
     reps = rows.groupBy("fp").agg(F.min("id").alias("rep")).join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     named = reps.groupBy("root").agg(F.min("rep").alias("component_id"))
     found = reps.join(named, "root").select("fp", "component_id")

@@ -2,9 +2,9 @@ import os
 
 import duckdb
 import pytest
-from helpers import components
 from pyspark.sql import functions as F
-from test_documents import brute_fingerprint, brute_removed
+from test_documents import brute_removed
+from test_near_copies import brute_roots
 
 import corpus_pipeline
 from brindle.llm import oracle, queries, sentencepiece_sampling
@@ -19,9 +19,8 @@ def test_stages_equal_brute_force(spark, sf_dir):
     clean = toxic(spark, docs, sf_dir).cache()
     assert clean.columns == COLUMNS and 0.8 * len(given) < clean.count() <= len(given)
     rows = {r.doc_id: r.text for r in clean.collect()}
-    fps = {i: brute_fingerprint(t, 5) for i, t in rows.items()}
-    ids = sorted(fps)
-    root = components(ids, [(a, b) for k, a in enumerate(ids) for b in ids[k + 1 :] if (fps[a] ^ fps[b]).bit_count() <= corpus_pipeline.RADIUS])
+    root = brute_roots(rows.items())
+    ids = sorted(root)
     single = near(spark, clean, sf_dir).cache()
     kept = {r.doc_id: r.text for r in single.collect()}
     assert single.columns == COLUMNS and set(kept) == {i for i in ids if root[i] == i}
