@@ -4,8 +4,9 @@ STAGES lists (name, function); a function takes (spark, docs, sf_dir), docs bein
 Parquet and read again), and returns the documents that go on. All but the last return the columns of documents.
 
 1. toxicity: trained on the labels of training rows; documents that score 0.5 or more go.
-2. near copies: documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more, checked on the
-   whole sets (an exact join, brindle.llm.near_copies); of each group the document with the least id stays.
+2. near copies: documents link if their sets of five-word shingles have a Jaccard similarity of 0.8 or more. SimHash groups
+   found by pigeonring chains come first, an exact join completes them, and every link is verified on the whole sets
+   (brindle.llm.near_copies); of each group the document with the least id stays.
 3. suffix arrays: bytes that lie in a string of 50 bytes that also starts in an earlier document go from the texts.
 4. mixing: documents repeat as often as the mix of sources to weights 1, 2, 3 takes them (0 to 3 times).
 5. SentencePiece: sampled piece ids of each text and their decoding; rows that repeat get one row each.
