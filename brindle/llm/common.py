@@ -6,6 +6,7 @@ the driver that grows with the input.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator, Sequence
@@ -59,6 +60,37 @@ def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def drop_folders(spark: SparkSession, *folders: str) -> None:
+    """Delete folders of new_folder() that nothing reads any more."""
+    conf = spark._jsparkSession.sessionState().newHadoopConf()
+    for folder in folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(conf).delete(path, True)
+        if folder in _SCRATCH:
+            _SCRATCH.remove(folder)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Have Spark's cleaner delete the shuffle files of finished jobs now: it does so when the driver collects its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def own_names(spark: SparkSession, n: int, each: int) -> np.ndarray:
+    """n * each numbers of which a partitioning by hash into n partitions gives each partition the same number."""
+    found = np.zeros(0, dtype=np.int32)
+    size = 4 * n * each
+    while len(found) < n * each:
+        rows = spark.range(size).select(F.col("id").cast("int").alias("b")).select("b", F.pmod(F.hash("b"), F.lit(n)).alias("p")).toArrow()
+        b, p = rows.column("b").to_numpy(), rows.column("p").to_numpy()
+        order = np.lexsort((b, p))
+        cuts = run_starts(p[order])
+        place = np.arange(len(b)) - np.repeat(cuts[:-1], np.diff(cuts))
+        found = np.sort(b[order][place < each])
+        size *= 2
+    return found.astype(np.int32)
+
+
 def own_prefix(df: DataFrame) -> str:
     """A prefix that no column of df has, for an operator's own columns beside them."""
     prefix = "_"

@@ -1,29 +1,37 @@
-"""Language-model scoring by a hierarchical Pitman-Yor model.
-
-Restaurants form three levels. A token's context is the pair of classes of the two tokens before it (CLASSES classes of the
-previous one, BACK of the one before, both by word hash); its restaurant's parent is that of the previous class alone, and
-all of these share the root restaurant of single tokens, whose base measure is diffuse: a new table at the root is a new
-word, so all unknown words share the root's chance of a new table. Contexts are bounded in number, so that the
-restaurants' totals are small, while the dishes are all words of the corpus.
-
-Seating is sampled by Gibbs: the tables of a dish in a restaurant are drawn from their conditional distribution given the
-restaurant's other tables and the parent's predictive probability (generalised Stirling numbers count the seatings; beyond
-EXACT customers the further ones are seated one after another, as a Poisson number of new tables). A sweep goes over all
-restaurants; totals of the sweep before stand for the other partitions' tables. Predictive probabilities are averaged over
-the last KEPT sweeps. Sweeps are replayed from the totals on record and seeds, so no seating is ever stored.
-
-Distribution: texts are read once. Words among the `hot` most frequent of a bounded sample only choose a faster way (their
-counts are added up where they are read, and their probabilities come back as one table of fixed size, HOT * contexts); all
-others are dealt by hash, so no word with a large share of the tokens meets in one task. All counts are exact and cover the
-whole corpus. What is shuffled is packed; what each document's words got comes back summed by block.
+"""Language-model scoring by a hierarchical Pitman-Yor model over word contexts.
+
+Restaurants form three levels. A token's context is the two words before it (fewer at a document's start); the parent of that
+restaurant is the one of the single word before the token, which all contexts ending in that word share, and all of those
+share the root restaurant, whose base measure is uniform over the known words and one unknown word. Every context that the
+training texts hold has its own restaurant; none are merged or left out.
+
+Seating is sampled by Gibbs sweeps from one table per dish: in a restaurant, the tables of a dish are taken away and its
+customers seated again by the Chinese-restaurant rule, given the restaurant's other tables and the parent's predictive
+probability. Customers come one by one until there are GROUP, then in groups of 1/GROUP of those seated, each group at the
+rates at which it comes in (frozen within the group). Every draw is a hash of its dish, sweep and customer, so scores don't
+depend on how tables are dealt out. Dishes of a sweep see the other dishes' tables as the sweep before left them. A pass over
+the lower levels makes SWEEPS sweeps; after the first pass the root (and what is seated with it) is sampled given the tables
+below, and the second pass averages predictive probabilities over its last KEPT sweeps.
+
+Distribution: a word's restaurant and those of all contexts that end in it are dealt to one bucket by that word, so the lower
+levels need nothing but the root's numbers for the words in the bucket. Those go up to the words' own partitions, summed per
+bucket, and come back. Words with a share of 1/VERY or more of the tokens (by a sample drawn by hash) are split: their contexts
+are dealt by both words, and their own restaurant is seated with the root; pairs of such a share are dealt by pair and dish,
+and only their totals, at most VERY numbers, are summed on the driver (a pass takes those of the pass before). Words among the most frequent travel as two bytes.
+Counts are 64-bit and exact. What each document's tokens got comes back summed by bucket and document.
+
+Memory: a task holds a bucket at a time (about BUCKET_BYTES of the input, whatever its size). One trigram's tokens always meet
+in one bucket, as an entry each.
 
 Defined cases: a null text is empty and has the one token `end`; a null id counts as the empty string in the fold hash;
-repeated rows are separate documents; without training documents every token is new and has probability 1, and the base
+repeated rows are separate documents; without training documents every token is unknown and has probability 1, and the base
 score is 0; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import struct
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,460 +40,526 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, materialize, partitions, prefix_hashes, run_starts, span_hashes, text_blocks, word_bounds
+from .common import LOWER, drop_folders, free_shuffles, materialize, mix64, new_folder, own_names, partitions, prefix_hashes, run_starts, span_hashes, text_blocks, word_bounds
 
-CLASSES, BACK = 64, 8
-CONTEXTS = CLASSES * BACK
-HOT = 8192
-SAMPLE_DOCS = 2000
-SWEEPS, KEPT = 3, 2
-STRENGTH = (1.0, 1.0, 1.0)  # theta of the root, the class restaurants and the context restaurants
-EXACT = 256
+CODES = 60_000
+SAMPLE_DOCS = 4000
+VERY = 256
+SWEEPS, KEPT = 5, 3
+STRENGTH = (1.0, 1.0, 1.0)  # theta of the root, the one-word and the two-word contexts
+GROUP = 32
 SEED = 3
-END = np.uint64(0x5EED0E4D5EED0E4D)
+END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x5EED57A75EED57A7)
 BLOCK = 1 << 22
-_TAIL, _HOT, _DOCS = 0, 1, 2
-_PARTS = 1 << 19
+BUCKET_BYTES = 4 << 20
+TAIL = 0xFFFF
+_A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
+_FIXED = float(1 << 32)
+
 
+# -- tokens -----------------------------------------------------------------------------------
 
-def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each token, context of each token, tokens before each document): words and the end of every document."""
+
+def _tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each token, tokens before each document): words and the end of every document."""
     starts, ends, first = word_bounds(data, offsets)
     words = span_hashes(prefix_hashes(LOWER[data]), starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
     docs = len(offsets) - 1
     bounds = first + np.arange(docs + 1)  # one more token a document
     h = np.empty(len(words) + docs, dtype=np.uint64)
-    last = bounds[1:] - 1
     is_word = np.ones(len(h), dtype=bool)
-    is_word[last] = False
+    is_word[bounds[1:] - 1] = False
     h[is_word] = words
-    h[last] = END
-    one, two = np.zeros(len(h), dtype=np.uint64), np.zeros(len(h), dtype=np.uint64)
-    one[1:], two[2:] = h[:-1], h[:-2]
-    begin = bounds[:-1]
-    one[begin] = two[begin] = 0
-    two[np.minimum(begin + 1, len(h) - 1)] = 0
-    context = (one >> np.uint64(58)) * np.uint64(BACK) + ((two >> np.uint64(55)) & np.uint64(BACK - 1))
-    return h, context.astype(np.int64), bounds
+    h[bounds[1:] - 1] = END
+    return h, bounds
 
 
-def _hot_words(docs: DataFrame) -> np.ndarray:
-    """Sorted hashes of the most frequent words of SAMPLE_DOCS documents. They decide how words travel, not what is counted."""
+def _before(x: np.ndarray, bounds: np.ndarray, start) -> np.ndarray:
+    """What stands before each token of its document."""
+    out = np.empty_like(x)
+    out[1:] = x[:-1]
+    out[bounds[:-1]] = start
+    return out
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, data, offsets in text_blocks(batches, "text"):
-            words, counts = np.unique(_tokens(data, offsets)[0], return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts)], names=["h", "n"])
 
-    chosen = docs.select("text").where(F.length("text") < 200_000).limit(SAMPLE_DOCS)
-    top = chosen.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "h").limit(HOT - 1)
-    got = np.array([r["h"] for r in top.collect()], dtype=np.int64).view(np.uint64)
-    return np.unique(np.append(got, END))
+def pair_hash(one: np.ndarray, two: np.ndarray) -> np.ndarray:
+    """Of a context: the word before the last and the last."""
+    return mix64(mix64(one * _A) + two * _B)
 
 
-def _zip(array: np.ndarray) -> bytes:
-    return pa.compress(np.ascontiguousarray(array).tobytes(), codec="zstd", asbytes=True)
+def dish_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix64(mix64(context * _C) + word * _A)
 
 
-def _unzip(value: pa.Scalar, n: int, kind: str) -> np.ndarray:
-    raw = pa.decompress(value.as_buffer(), n * np.dtype(kind).itemsize, codec="zstd", asbytes=True)
-    return np.frombuffer(raw, dtype=kind)
+# -- packed columns ---------------------------------------------------------------------------
 
 
-_ENTRY = np.dtype([("h", "u1", (6,)), ("context", "<u2"), ("doc", "<u2"), ("n", "u1")])
-_MAP = "kind int, bucket long, block long, n long, data binary, extra binary"
-_MAP_TYPES = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays behind each other, each by byte planes, compressed."""
+    arrays = [np.ascontiguousarray(a) for a in arrays]
+    head = b"".join(struct.pack("<2sq", a.dtype.str[1:].encode(), len(a)) for a in arrays)
+    body = b"".join(a.view(np.uint8).reshape(len(a), a.itemsize).T.tobytes() for a in arrays)
+    return struct.pack("<iq", len(arrays), len(body)) + head + pa.compress(body, codec="zstd", asbytes=True)
 
 
-def _rows(rows: list[tuple], types: tuple, names: list[str]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), type=t) for c, t in zip(zip(*rows), types)], names=names)
+def _unpack(raw: pa.Buffer) -> list[np.ndarray]:
+    count, size = struct.unpack("<iq", raw[:12].to_pybytes())
+    kinds = [struct.unpack("<2sq", raw[12 + 10 * i : 22 + 10 * i].to_pybytes()) for i in range(count)]
+    body = np.frombuffer(pa.decompress(raw[12 + 10 * count :], size, codec="zstd"), np.uint8)
+    out, at = [], 0
+    for kind, n in kinds:
+        dtype = np.dtype("<" + kind.decode())
+        out.append(np.ascontiguousarray(body[at : at + n * dtype.itemsize].reshape(dtype.itemsize, n).T).view(dtype).reshape(n))
+        at += n * dtype.itemsize
+    return out
 
 
-def _columns(entry: np.ndarray) -> bytes:
-    """An entry array column by column, which compresses better."""
-    return _zip(np.frombuffer(b"".join(np.ascontiguousarray(entry[f]).tobytes() for f in entry.dtype.names), dtype=np.uint8))
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<struct<g:int,z:binary>>": pa.list_(pa.struct([("g", pa.int32()), ("z", pa.binary())]))}
+    names, types = zip(*(x.split() for x in schema.split(", ")))
+    return pa.RecordBatch.from_arrays([pa.array(list(c), type=kinds[t]) for c, t in zip(zip(*rows), types)], names=list(names))
 
 
-def _entry_array(value: pa.Scalar, n: int) -> np.ndarray:
-    raw = _unzip(value, n * _ENTRY.itemsize, "u1")
-    out, at = np.empty(n, dtype=_ENTRY), 0
-    for f in _ENTRY.names:
-        size = n * _ENTRY[f].itemsize
-        out[f] = np.frombuffer(raw[at : at + size].tobytes(), dtype=_ENTRY[f].base).reshape((n, *_ENTRY[f].shape))
-        at += size
-    return out
+# -- what is frequent -------------------------------------------------------------------------
 
 
-def _gather(hot: np.ndarray, buckets: int):
-    """(id, held, text) to packed rows: tail entries by bucket, hot counts by bucket, and each block's documents with their hot tokens."""
-    names = [x.split()[0] for x in _MAP.split(", ")]
+@dataclass(frozen=True)
+class Frequent:
+    """Words that travel as codes (sorted hashes), and the words and pairs that are split (sorted hashes)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(len(hot) * CONTEXTS, dtype=np.int32)
-        read = False
-        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
-            for lo in range(0, rows.num_rows, 60_000):  # documents of a block are numbered in 16 bits
-                part = rows.slice(lo, 60_000)
-                o = offsets[lo : lo + part.num_rows + 1]
-                h, context, bounds = _tokens(data[o[0] : o[-1]], o - o[0])
-                held = part.column("held").to_numpy(zero_copy_only=False)
-                name = part.column("row")[0].as_py()
-                read = True
-                doc = np.repeat(np.arange(part.num_rows), np.diff(bounds))
-                place = np.minimum(np.searchsorted(hot, h), len(hot) - 1)
-                is_hot = hot[place] == h
-                code = (place * CONTEXTS + context)[is_hot]
-                trained = ~held[doc]
-                counts += np.bincount(code[trained[is_hot]], minlength=len(counts)).astype(np.int32)
-                per = np.bincount(doc[is_hot], minlength=part.num_rows).astype("<u4")
-                out = [(_DOCS, name, name, part.num_rows, _zip(code.astype("<u4").view("u1").reshape(-1, 4).T), _zip(np.concatenate([part.column("id").fill_null(0).to_numpy().astype("<i8").view("u1"), part.column("id").is_null().to_numpy(zero_copy_only=False).view("u1"), held.view("u1"), np.diff(bounds).astype("<u4").view("u1"), per.view("u1")])))]
-                h, context, doc = h[~is_hot], context[~is_hot], doc[~is_hot]
-                bucket = (h % np.uint64(buckets)).astype(np.int64)
-                short = (h // np.uint64(buckets)) & np.uint64(2**48 - 1)
-                order = np.lexsort((doc, context, short, bucket))
-                bucket, short, context, doc = bucket[order], short[order], context[order], doc[order]
-                runs = run_starts(bucket, short, context, doc)
-                head, size = runs[:-1], np.diff(runs)
-                times = -(-size // 255)  # counts go in one byte; a larger one is several entries
-                head, size = np.repeat(head, times), np.repeat(size, times)
-                again = np.arange(len(head)) - np.repeat(np.cumsum(times) - times, times)
-                entry = np.zeros(len(head), dtype=_ENTRY)
-                entry["h"] = short[head].view("u1").reshape(-1, 8)[:, :6]
-                entry["context"], entry["doc"], entry["n"] = context[head], doc[head], np.minimum(size - 255 * again, 255)
-                cuts = run_starts(bucket[head])
-                flags = np.packbits(held)
-                for a, b in zip(cuts, cuts[1:]):
-                    out.append((_TAIL, int(bucket[head[a]]), name, int(b - a), _columns(entry[a:b]), flags.tobytes()))
-                yield _rows(out, _MAP_TYPES, names)
-        if read:
-            for a in range(0, len(hot), 256):
-                part = counts[a * CONTEXTS : (a + 256) * CONTEXTS]
-                some = np.flatnonzero(part)
-                if len(some):
-                    both = np.concatenate([np.diff(some, prepend=0).astype("<u4"), part[some].astype("<u4")])
-                    yield _rows([(_HOT, -1 - a // 256, 0, len(some), _zip(both.view("u1").reshape(-1, 4).T), b"")], _MAP_TYPES, names)
+    codes: np.ndarray
+    words: np.ndarray
+    pairs: np.ndarray
 
-    return run
 
+def _rank(table: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each hash in a sorted table, -1 if it has none."""
+    if not len(table):
+        return np.full(len(wanted), -1)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return np.where(table[at] == wanted, at, -1)
 
-_KEPT = "kind int, bucket long, block long, n long, data binary, extra binary, rows long, model binary, stats array<double>"
-_KEPT_TYPES = (*_MAP_TYPES, pa.int64(), pa.binary(), pa.list_(pa.float64()))
-
-
-def _planes(value: pa.Scalar, n: int) -> np.ndarray:
-    """32-bit numbers that were stored byte plane by byte plane."""
-    return np.ascontiguousarray(_unzip(value, 4 * n, "u1").reshape(4, n).T).view("<u4").ravel()
-
-
-def _organise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Whole buckets to one row each: entries in order of word, model rows (word, context, n), and statistics."""
-    names = [x.split()[0] for x in _KEPT.split(", ")]
-    tail: dict[int, list] = {}
-    hot: dict[int, np.ndarray] = {}
-    for b in batches:
-        for i in range(b.num_rows):
-            kind, bucket, block, n = (b.column(k)[i].as_py() for k in range(4))
-            if kind == _DOCS:
-                yield _rows([(kind, bucket, block, n, b.column(4)[i].as_py(), b.column(5)[i].as_py(), 0, b"", None)], _KEPT_TYPES, names)
-            elif kind == _TAIL:
-                tail.setdefault(bucket, []).append((block, n, b.column(4)[i], b.column(5)[i]))
-            else:
-                both = _planes(b.column(4)[i], 2 * n)
-                hot.setdefault(bucket, np.zeros(256 * CONTEXTS, dtype=np.int64))[np.cumsum(both[:n])] += both[n:]
-    for bucket, counts in hot.items():
-        some = np.flatnonzero(counts)
-        model = np.concatenate([(some // CONTEXTS), some % CONTEXTS, counts[some]]).astype("<u4")
-        yield _rows([(_HOT, bucket, 0, 0, b"", b"", len(some), _zip(model.view("u1").reshape(-1, 4).T), _stats(some // CONTEXTS, some % CONTEXTS, counts[some]))], _KEPT_TYPES, names)
-    for bucket in list(tail):
-        parts = tail.pop(bucket)
-        entry = np.concatenate([_entry_array(d, n) for _, n, d, _ in parts])
-        which = np.repeat(np.arange(len(parts)), [n for _, n, _, _ in parts])
-        held = [np.unpackbits(np.frombuffer(e.as_buffer(), "u1")).astype(bool) for *_, e in parts]
-        base = np.cumsum([0] + [len(x) for x in held])
-        held = np.concatenate(held)
-        h = np.zeros((len(entry), 8), dtype="u1")
-        h[:, :6] = entry["h"]
-        h = h.view("<u8").ravel()
-        order = np.lexsort((entry["context"], h))
-        entry, which, h = entry[order], which[order], h[order]
-        word = np.cumsum(np.append(False, h[1:] != h[:-1]))
-        context = entry["context"].astype(np.int64)
-        trained = ~held[base[which] + entry["doc"]]
-        key = word * CONTEXTS + context
-        runs = run_starts(key)
-        n = np.add.reduceat(np.where(trained, entry["n"], 0).astype(np.int64), runs[:-1])
-        seen = n > 0
-        rows = key[runs[:-1]][seen]
-        n = n[seen]
-        model = np.concatenate([rows // CONTEXTS, rows % CONTEXTS, n]).astype("<u4")
-        blocks = np.array([p[0] for p in parts], dtype="<i8")
-        packed = np.concatenate([np.diff(word, prepend=0).astype("<u4"), context.astype("<u4") << 8 | entry["n"], which.astype("<u4") << 16 | entry["doc"]]) if len(parts) < 65536 else None
-        if packed is None:
-            raise ValueError("a bucket holds more than 65536 blocks: raise spark.sql.shuffle.partitions")
-        yield _rows([(_TAIL, bucket, 0, len(entry), _zip(packed.view("u1").reshape(-1, 4).T), blocks.tobytes(), len(rows), _zip(model.view("u1").reshape(-1, 4).T), _stats(rows // CONTEXTS, rows % CONTEXTS, n))], _KEPT_TYPES, names)
-
-
-def _stats(word: np.ndarray, context: np.ndarray, n: np.ndarray) -> list[float]:
-    """Customers of each context, words, rows with 1 and 2 customers at each level, then the first totals (see Section.totals)."""
-    s = Section(word, context, n)
-    ones = [x for level in (s.n0(n), s.n1(n), n) for x in ((level == 1).sum(), (level == 2).sum())]
-    return [*np.bincount(context, weights=n, minlength=CONTEXTS), len(s.words), *map(float, ones), *s.totals()]
 
+def _frequent(source: DataFrame) -> Frequent:
+    """By about SAMPLE_DOCS training documents, drawn by hash. Codes decide how words travel; what is split is seated with the root."""
 
-@dataclass(frozen=True)
-class Rates:
-    """Fixed numbers of the model: customers of each context, words, discounts of the three levels."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, data, offsets in text_blocks(batches, "text"):
+            h, bounds = _tokens(data, offsets)
+            two = _before(h, bounds, START)
+            for kind, x in ((0, h), (1, pair_hash(_before(two, bounds, START), two))):
+                keys, counts = np.unique(x, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), kind, np.int32)), pa.array(keys.view(np.int64)), pa.array(counts)], names=["kind", "h", "n"])
 
-    customers: np.ndarray
-    words: int
-    discount: tuple[float, float, float]
+    step = max(1, source.count() // SAMPLE_DOCS)
+    chosen = source.where(F.pmod(F.xxhash64("id", "text"), F.lit(step)) == 0).select("text")
+    counted = materialize(chosen.mapInArrow(run, "kind int, h long, n long").groupBy("kind", "h").agg(F.sum("n").alias("n")).where("n > 1"), "sample")
+    total = counted.where("kind = 0").agg(F.sum("n")).first()[0] or 0
 
-    @property
-    def tokens(self) -> int:
-        return int(self.customers.sum())
-
-    @staticmethod
-    def of(stats: np.ndarray) -> "Rates":
-        ones = stats[CONTEXTS + 1 : CONTEXTS + 7]
-        discount = tuple(float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a + b else 0.5 for a, b in ones.reshape(3, 2))
-        return Rates(stats[:CONTEXTS], int(stats[CONTEXTS]), discount)
-
-
-def log_stirling(d: float, top: int = EXACT) -> np.ndarray:
-    """Logarithms of the generalised Stirling numbers: [n, t] counts the seatings of n customers at t tables, discounted."""
-    out = np.full((top + 1, top + 1), -np.inf)
-    out[0, 0] = 0.0
-    t = np.arange(top + 1)
-    for n in range(top):
-        with np.errstate(divide="ignore", invalid="ignore"):
-            stay = np.where(t <= n, np.log(np.maximum(n - d * t, 0)) + out[n], -np.inf)
-        stay[np.isnan(stay)] = -np.inf
-        out[n + 1] = stay
-        out[n + 1, 1:] = np.logaddexp(out[n + 1, 1:], out[n, :-1])
-    return out
+    def top(kind: int, most: int, least: float) -> np.ndarray:
+        got = counted.where((F.col("kind") == kind) & (F.col("n") >= least)).orderBy(F.desc("n"), "h").limit(most).select("h").collect()
+        return np.array([r["h"] for r in got], dtype=np.int64).view(np.uint64)
 
+    words = np.append(top(0, VERY - 2, max(2, total / VERY)), [START, END])
+    return Frequent(np.unique(np.append(top(0, CODES, 2), [START, END])), np.unique(words), np.unique(np.append(top(1, VERY - 1, max(2, total / VERY)), pair_hash(*np.array([[START], [START]])))))
 
-def sample_tables(n: np.ndarray, a: np.ndarray, stirling: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-    """Tables of dishes with n customers, where a new table weighs a."""
-    t = np.ones(len(n), dtype=np.int64)
-    u = rng.random(len(n))
-    many = np.flatnonzero(n > 1)
-    size = np.minimum(n[many], EXACT)
-    order = np.argsort(size, kind="stable")
-    many, size = many[order], size[order]
-    cuts = run_starts(size)
-    loga = np.log(np.maximum(a, 1e-300))
-    for x, y in zip(cuts, cuts[1:]):
-        k = int(size[x])
-        step = max(1, _PARTS // k)
-        for lo in range(x, y, step):
-            rows = many[lo : min(y, lo + step)]
-            logit = stirling[k, 1 : k + 1] + loga[rows][:, None] * np.arange(1, k + 1)
-            p = np.exp(logit - logit.max(axis=1, keepdims=True))
-            run = np.cumsum(p, axis=1)
-            t[rows] = 1 + (run < u[rows][:, None] * run[:, -1:]).sum(axis=1)
-    large = np.flatnonzero(n > EXACT)
-    t[large] += np.minimum(rng.poisson(np.minimum(a[large] * np.log((n[large] + a[large]) / (EXACT + a[large])), 1e9)), n[large] - EXACT)
-    return np.minimum(t, n)
 
+# -- gathering --------------------------------------------------------------------------------
 
-class Section:
-    """The restaurants' parts for some words: rows (word, context, customers), sorted by word and context."""
-
-    def __init__(self, word: np.ndarray, context: np.ndarray, n: np.ndarray) -> None:
-        self.context, self.n2 = context.astype(np.int64), n.astype(np.int64)
-        self.key2 = word.astype(np.int64) * CONTEXTS + self.context
-        self.key1, self.up1 = np.unique(self.key2 // BACK, return_inverse=True)
-        self.words, self.up0 = np.unique(self.key1 // CLASSES, return_inverse=True)
-        self.group = self.key1 % CLASSES
-        self.t2 = np.ones(len(n), dtype=np.int64)
-        self.t1 = np.ones(len(self.key1), dtype=np.int64)
-
-    def n1(self, t2: np.ndarray) -> np.ndarray:
-        return np.bincount(self.up1, weights=t2, minlength=len(self.key1)).astype(np.int64)
-
-    def n0(self, n2: np.ndarray) -> np.ndarray:
-        return np.bincount(self.up0, weights=self.n1(n2), minlength=len(self.words)).astype(np.int64)
-
-    def root(self) -> np.ndarray:
-        return np.bincount(self.up0, weights=self.t1, minlength=len(self.words)).astype(np.int64)
-
-    def totals(self) -> list[float]:
-        """Tables of each context, customers and tables of each class, customers of the root."""
-        n1 = self.n1(self.t2)
-        return [*np.bincount(self.context, weights=self.t2, minlength=CONTEXTS), *np.bincount(self.group, weights=n1, minlength=CLASSES), *np.bincount(self.group, weights=self.t1, minlength=CLASSES), float(self.t1.sum())]
-
-    def sweep(self, rates: Rates, totals: np.ndarray, rng: np.random.Generator, stirling: tuple[np.ndarray, np.ndarray]) -> None:
-        t2, n1, t1, n0 = split_totals(totals)
-        d0, d1, d2 = rates.discount
-        p0 = (self.root() - d0) / (STRENGTH[0] + n0)
-        mine1 = self.n1(self.t2)
-        p1 = (mine1 - d1 * self.t1 + (STRENGTH[1] + d1 * t1[self.group]) * p0[self.up0]) / (STRENGTH[1] + n1[self.group])
-        self.t2 = sample_tables(self.n2, (STRENGTH[2] + d2 * t2[self.context]) * p1[self.up1], stirling[1], rng)
-        self.t1 = sample_tables(self.n1(self.t2), (STRENGTH[1] + d1 * t1[self.group]) * p0[self.up0], stirling[0], rng)
-
-    def predict(self, rates: Rates, totals: np.ndarray, word: np.ndarray, context: np.ndarray) -> np.ndarray:
-        """Predictive probability of (word, context) pairs; a word that isn't among the section's is new."""
-        t2, n1, t1, n0 = split_totals(totals)
-        d0, d1, d2 = rates.discount
-
-        def find(keys: np.ndarray, wanted: np.ndarray, *values: np.ndarray) -> list[np.ndarray]:
-            if not len(keys):
-                return [np.zeros(len(wanted))] * len(values)
-            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-            hit = keys[at] == wanted
-            return [np.where(hit, v[at], 0) for v in values]
-
-        (root,) = find(self.words, word, self.root())
-        p = np.where(root > 0, root - d0, STRENGTH[0] + d0 * rates.words) / (STRENGTH[0] + n0)
-        group = context // BACK
-        mine, tables = find(self.key1, word * CLASSES + group, self.n1(self.t2), self.t1)
-        p = (mine - d1 * tables + (STRENGTH[1] + d1 * t1[group]) * p) / (STRENGTH[1] + n1[group])
-        mine, tables = find(self.key2, word * CONTEXTS + context, self.n2, self.t2)
-        return (mine - d2 * tables + (STRENGTH[2] + d2 * t2[context]) * p) / (STRENGTH[2] + rates.customers[context])
-
-
-def split_totals(totals: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    a, b, c = CONTEXTS, CONTEXTS + CLASSES, CONTEXTS + 2 * CLASSES
-    return totals[:a], totals[a:b], totals[b:c], float(totals[c])
-
-
-def _section(value: pa.Scalar, rows: int) -> Section:
-    model = _planes(value, 3 * rows).astype(np.int64).reshape(3, rows)
-    return Section(*model)
-
-
-def _replay(section: Section, bucket: int, rates: Rates, record: list[np.ndarray], sweeps: int) -> Iterator[int]:
-    """Run the first sweeps again, each from the totals before it; yields after each."""
-    stirling = log_stirling(rates.discount[1]), log_stirling(rates.discount[2])
-    for k in range(sweeps):
-        section.sweep(rates, record[k], np.random.default_rng([SEED, bucket % 2**63, k]), stirling)
-        yield k
-
-
-def _sum_arrays(parts: DataFrame, column: str) -> np.ndarray:
-    """Element-wise sum of an array column (a fixed number of elements), of which a task sends one array."""
-    got = parts.select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros(CONTEXTS + 7 + CONTEXTS + 2 * CLASSES + 1)
-    for r in got:
-        out[r["i"]] = r["x"]
-    return out
+_MESSAGE = "bucket int, block long, n long, data binary, extra binary"
 
 
-def _task_total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
-    total: np.ndarray | None = None
-    for x in arrays:
-        total = np.array(x, dtype=np.float64) if total is None else total + x
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["totals"])
+def _gather(f: Frequent, names: np.ndarray):
+    """(id, held, text) to messages: each block's tokens by bucket (data: codes, tail hashes; extra: held documents), and its documents (bucket < 0)."""
+    buckets = np.uint64(len(names))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, data, offsets in text_blocks(batches, "text", BLOCK):
+            for lo in range(0, rows.num_rows, 60_000):  # documents of a block are numbered in 16 bits
+                part = rows.slice(lo, 60_000)
+                o = offsets[lo : lo + part.num_rows + 1]
+                h, bounds = _tokens(data[o[0] : o[-1]], o - o[0])
+                held = part.column("held").to_numpy(zero_copy_only=False)
+                block = part.column("row")[0].as_py()
+                doc = np.repeat(np.arange(part.num_rows, dtype=np.uint16), np.diff(bounds))
+                known, w = np.unique(np.append(h, START), return_inverse=True)
+                w, start = w[:-1].astype(np.int32), w[-1]
+                two = _before(w, bounds, start)
+                one = _before(two, bounds, start)
+                code = _rank(f.codes, known)
+                code = np.where(code < 0, TAIL, code).astype(np.uint16)
+                route = mix64(known)[two]
+                very = np.flatnonzero((_rank(f.words, known) >= 0)[two])
+                pair = pair_hash(known[one[very]], known[two[very]])
+                often = _rank(f.pairs, pair) >= 0
+                route[very] = np.where(often, dish_key(pair, known[w[very]]), pair)
+                route = (route % buckets).astype(np.uint32)
+                order = np.argsort(route.astype(np.uint16) if buckets < 1 << 16 else route, kind="stable")
+                cuts = run_starts(route[order])
+                ids = part.column("id")
+                out = [(-1 - block % len(names), block, part.num_rows, _pack(ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False), held, np.diff(bounds).astype("<u4")), b"")]
+                flags = held.tobytes()
+                for a, b in zip(cuts, cuts[1:]):
+                    at = order[a:b]
+                    three = [two[at], one[at], w[at]]
+                    coded = [code[x] for x in three]
+                    tails = [known[x[c == TAIL]] for x, c in zip(three, coded)]
+                    out.append((int(names[route[at[0]]]), block, b - a, _pack(*coded, doc[at], *tails), flags))
+                yield _batch(out, _MESSAGE)
 
-def _task_stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return _task_total(x.values.to_numpy(zero_copy_only=False) for b in batches for x in b.column(0))
+    return run
+
+
+# -- buckets ----------------------------------------------------------------------------------
+
+_UP = "array<struct<g:int,z:binary>>"
+_KEPT = f"bucket int, block long, n long, data binary, extra binary, up {_UP}, stats array<double>"
 
 
-def _swept(rates: Rates, record: list[np.ndarray]):
-    """mapInArrow function: a task's sections to the sum of their totals after as many sweeps as are on record."""
+def _organise(f: Frequent, uppers: int):
+    """Messages to a row a bucket: its tokens in order of context and word, what goes up at first, and statistics. Documents' rows pass."""
 
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
         for b in batches:
-            for i in range(b.num_rows):
-                section = _section(b.column("model")[i], b.column("rows")[i].as_py())
-                for _ in _replay(section, b.column("bucket")[i].as_py(), rates, record, len(record)):
-                    pass
-                yield section.totals()
+            for bucket, block, n, data, extra in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), b.column(4)):
+                if bucket < 0:
+                    yield _batch([(bucket, block, n, data.as_py(), b"", [], None)], _KEPT)
+                else:
+                    parts.setdefault(bucket, []).append((block, n, data.as_py(), extra.as_py()))
+        for bucket in sorted(parts):
+            data, extra = _sorted_bucket(f.codes, parts.pop(bucket))
+            s = Section(f, pa.py_buffer(data), pa.py_buffer(extra))
+            yield _batch([(bucket, 0, len(s.doc), data, extra, s.up(uppers, first=True), s.stats())], _KEPT)
+
+    return run
 
-    return lambda batches: _task_total(totals(batches))
 
+def _sorted_bucket(codes: np.ndarray, parts: list[tuple]) -> tuple[bytes, bytes]:
+    arrays = [_unpack(pa.py_buffer(p[2])) for p in parts]
+    coded = [np.concatenate([a[k] for a in arrays]) for k in range(3)]
+    doc = np.concatenate([a[3] for a in arrays])
+    tails = [np.concatenate([a[4 + k] for a in arrays]) for k in range(3)]
+    used = np.zeros(1 << 16, dtype=bool)
+    for c in coded:
+        used[c] = True
+    used[TAIL] = False
+    known = np.unique(np.concatenate([codes[np.flatnonzero(used)], *tails]))
+    dense = np.zeros(1 << 16, dtype=np.int64)
+    dense[np.flatnonzero(used)] = np.searchsorted(known, codes[np.flatnonzero(used)])
+    ids = []
+    for c, t in zip(coded, tails):
+        x = dense[c]
+        x[c == TAIL] = np.searchsorted(known, t)
+        ids.append(x)
+    two, one, word = ids
+    order = np.argsort(two << 42 | one << 21 | word) if len(known) < 1 << 21 else np.lexsort((word, one, two))
+    two, one, word = two[order], one[order], word[order]
+    heads = run_starts(two, one, word)
+    which = np.repeat(np.arange(len(parts)), [p[1] for p in parts])[order]
+    step = lambda x: np.diff(x[heads[:-1]], prepend=0).astype("<i4")
+    data = _pack(np.diff(known, prepend=np.uint64(0)), step(two), step(one), word[heads[:-1]].astype("<u4"), np.diff(heads).astype("<u4"), which.astype("<u4"), doc[order])
+    return data, _pack(np.array([p[0] for p in parts], dtype="<i8"), np.array([len(p[3]) for p in parts], dtype="<i8"), np.frombuffer(b"".join(p[3] for p in parts), np.uint8))
+
+
+@dataclass
+class Totals:
+    """Fixed numbers of the model and totals of the restaurants that are not in one bucket."""
 
-def _mean_log(section: Section, bucket: int, rates: Rates, record: list[np.ndarray], word: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """log10 of the predictive probability, averaged over the kept sweeps."""
-    total = np.zeros(len(word))
-    for k in _replay(section, bucket, rates, record, SWEEPS):
-        if k >= SWEEPS - KEPT:
-            total += section.predict(rates, record[k + 1], word, context)
-    return np.log10(total / KEPT)
+    discount: tuple[float, float, float]
+    tokens: float
+    words: float
+    root: np.ndarray  # customers and tables
+    split: np.ndarray  # customers and tables of the split words' restaurants
+    pairs: np.ndarray  # of the split pairs'
+
+
+def discounts(ones_and_twos: np.ndarray) -> tuple[float, float, float]:
+    return tuple(float(np.clip(a / (a + 2 * b), 0.05, 0.95)) if a + b else 0.5 for a, b in ones_and_twos.reshape(3, 2))
+
+
+def uniform(key: np.ndarray, sweep: int, customer: np.ndarray) -> np.ndarray:
+    return (mix64(mix64(key + np.uint64(SEED) + np.uint64(sweep) * _B) + customer.astype(np.uint64) * _A) >> np.uint64(11)) * 2.0**-53
+
+
+def seat(n: np.ndarray, others: np.ndarray, p: np.ndarray, theta: float, d: float, key: np.ndarray, sweep: int) -> np.ndarray:
+    """Tables of dishes with n customers in restaurants with so many other tables, p being the parent's probability."""
+    t = np.minimum(n, 1).astype(np.int64)
+    alive = np.flatnonzero(n > 1)
+    alive = alive[np.argsort(-n[alive], kind="stable")]
+    size, others, p, key = n[alive], others[alive], p[alive], key[alive]
+    tables, seated = np.ones(len(alive), dtype=np.int64), 1
+    while True:
+        m = int(np.searchsorted(-size, -seated, side="left"))  # those with more customers than are seated
+        if not m:
+            break
+        group = max(1, seated // GROUP)
+        now = tables[:m]
+        new = (theta + d * (others[:m] + now)) * p[:m]
+        rate = new / (new + seated - d * now)
+        if group == 1:
+            now += uniform(key[:m], sweep, np.full(m, seated)) < rate
+        else:
+            count = np.minimum(size[:m] - seated, group)
+            who = np.repeat(np.arange(m), count)
+            customer = seated + np.arange(len(who)) - np.repeat(np.cumsum(count) - count, count)
+            now += np.bincount(who, weights=uniform(key[:m][who], sweep, customer) < rate[who], minlength=m).astype(np.int64)
+        seated += group
+    t[alive] = tables
+    return t
 
 
-def _hot_table(rates: Rates, record: list[np.ndarray]):
-    """Hot buckets to (bucket, counts of its 256 words, log10 probabilities in all contexts)."""
+class Section:
+    """A bucket: types (two-word context, word) in order, their restaurants, and the tokens."""
+
+    def __init__(self, f: Frequent, data: pa.Buffer, extra: pa.Buffer) -> None:
+        known, two, one, word, size, which, self.doc = _unpack(data)
+        self.known = np.cumsum(known)
+        two, one, word = np.cumsum(two.astype(np.int64)), np.cumsum(one.astype(np.int64)), word.astype(np.int64)
+        self.word, self.which = word, which
+        self.type = np.repeat(np.arange(len(size)), size)
+        self.blocks, self.docs, held = _unpack(extra)
+        self.first = np.concatenate([[0], np.cumsum(self.docs)])
+        self.trained = held[self.first[self.which] + self.doc] == 0
+        self.c3 = np.bincount(self.type, weights=self.trained, minlength=len(size)).astype(np.int64)
+        # restaurants of pairs
+        heads = run_starts(two, one)
+        self.context = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
+        head = heads[:-1]
+        self.pair = pair_hash(self.known[one[head]], self.known[two[head]])
+        self.split = _rank(f.words, self.known)  # by word
+        self.often = np.full(len(head), -1)
+        very = self.split[two[head]] >= 0
+        self.often[very] = _rank(f.pairs, self.pair[very])
+        # dishes of single words' restaurants
+        key = two * len(self.known) + word
+        keys, self.dish = np.unique(key, return_inverse=True)
+        self.rest, self.served = keys // len(self.known), keys % len(self.known)
+        self.apart = self.split[self.rest]  # -1: the restaurant is here
+        self.present = np.zeros(len(self.known), dtype=bool)
+        self.present[word] = True
+        self.t3 = np.minimum(self.c3, 1)
+        self.n2 = np.bincount(self.dish, weights=self.t3, minlength=len(keys)).astype(np.int64)
+        self.t2 = np.minimum(self.n2, 1)
+        self.split_pairs = len(f.pairs)
+        self.count = np.zeros(len(self.known), dtype=np.int64)
+
+    def _by_upper(self, uppers: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(upper partition, words present that belong there, dishes of split restaurants that do), in a fixed order."""
+        g = (mix64(self.known ^ _C) % np.uint64(uppers)).astype(np.int64)
+        words, dishes = np.flatnonzero(self.present), np.flatnonzero(self.apart >= 0)
+        words, dishes = words[np.argsort(g[words], kind="stable")], dishes[np.argsort(g[self.served[dishes]], kind="stable")]
+        edge_w, edge_d = np.searchsorted(g[words], np.arange(uppers + 1)), np.searchsorted(g[self.served[dishes]], np.arange(uppers + 1))
+        for x in np.flatnonzero(np.diff(edge_w)):
+            yield int(x), words[edge_w[x] : edge_w[x + 1]], dishes[edge_d[x] : edge_d[x + 1]]
+
+    def up(self, uppers: int, first: bool) -> list[dict]:
+        """What each upper partition gets: customers of the root by word (and, at first, counts), customers of split restaurants by dish."""
+        here = self.apart < 0
+        n1 = np.bincount(self.served[here], weights=self.t2[here], minlength=len(self.known)).astype("<u8")
+        c = np.bincount(self.word, weights=self.c3, minlength=len(self.known)).astype("<u8")
+        out = []
+        for g, words, dishes in self._by_upper(uppers):
+            place = np.searchsorted(words, self.served[dishes])
+            counts = [c[words]] if first else [np.zeros(0, dtype="<u8")]
+            out.append({"g": g, "z": _pack(self.known[words], n1[words], *counts, self.apart[dishes].astype("<u2"), place.astype("<u4"), self.n2[dishes].astype("<u8"))})
+        return out
+
+    def stats(self) -> list[float]:
+        """Trained tokens, types and dishes with 1 and 2 customers, then customers and tables of the split pairs."""
+        mine = self.n2[self.apart < 0]
+        return [float(self.c3.sum()), *(float((x == k).sum()) for x in (mine, self.c3) for k in (1, 2)), *self.pair_totals().ravel()]
+
+    def pair_totals(self) -> np.ndarray:
+        kind = self.often[self.context]
+        some = kind >= 0
+        return np.stack([np.bincount(kind[some], weights=x[some], minlength=self.split_pairs) for x in (self.c3, self.t3)])
+
+    def come_down(self, messages: pa.Scalar, uppers: int) -> None:
+        """Take what the upper partitions answered: customers and tables of words at the root and of dishes in split restaurants, counts."""
+        n = len(self.known)
+        self.root = np.zeros((2, n))
+        answers = {m["g"].as_py(): m["z"] for m in messages}
+        for g, words, dishes in self._by_upper(uppers):
+            n1, t1, c, n2, t2 = _unpack(answers[g].as_buffer())
+            self.root[0, words], self.root[1, words] = n1, t1
+            if len(c):
+                self.count[words] = c
+            self.n2[dishes], self.t2[dishes] = n2, t2
+
+    def sweeps(self, totals: Totals, count: int) -> Iterator[np.ndarray]:
+        """Sweep the restaurants here again and again; yields each type's predictive probability after each."""
+        d0, d1, d2 = totals.discount
+        p1 = root_probability(totals, *self.root)[self.served]
+        inside = self.apart < 0
+        contexts, words = len(self.pair), len(self.known)
+        c = np.bincount(self.context, weights=self.c3, minlength=contexts)
+        apart_pair = self.often >= 0
+        c[apart_pair] = totals.pairs[0][self.often[apart_pair]]
+        t = np.bincount(self.context, weights=self.t3, minlength=contexts)
+        t[apart_pair] = totals.pairs[1][self.often[apart_pair]]
+        moving = np.flatnonzero(self.c3 > 1)
+        key3 = dish_key(self.pair[self.context[moving]], self.known[self.word[moving]])
+        key2 = dish_key(self.known[self.rest], self.known[self.served])
+
+        def level_two() -> tuple[np.ndarray, np.ndarray]:
+            n, t = (np.bincount(self.rest[inside], weights=x[inside], minlength=words) for x in (self.n2, self.t2))
+            rank = self.split >= 0
+            n[rank], t[rank] = totals.split[0][self.split[rank]], totals.split[1][self.split[rank]]
+            return n, t
+
+        def middle(n: np.ndarray, t: np.ndarray) -> np.ndarray:
+            return (self.n2 - d1 * self.t2 + (STRENGTH[1] + d1 * t[self.rest]) * p1) / (STRENGTH[1] + n[self.rest])
+
+        n, tables = level_two()
+        p2 = middle(n, tables)
+        for sweep in range(count):
+            where = self.context[moving]
+            new = seat(self.c3[moving], np.maximum(t[where] - self.t3[moving], 0), p2[self.dish[moving]], STRENGTH[2], d2, key3, sweep)
+            change = new - self.t3[moving]
+            self.t3[moving] = new
+            t = np.where(apart_pair, t, t + np.bincount(where, weights=change, minlength=contexts))
+            changed = np.bincount(self.dish[moving], weights=change, minlength=len(self.n2)).astype(np.int64)
+            self.n2 = np.where(inside, self.n2 + changed, self.n2)
+            some = np.flatnonzero(inside & (self.n2 > 0))
+            self.t2[some] = seat(self.n2[some], tables[self.rest[some]] - self.t2[some], p1[some], STRENGTH[1], d1, key2[some], sweep)
+            n, tables = level_two()
+            p2 = middle(n, tables)
+            u = self.context
+            yield (self.c3 - d2 * self.t3 + (STRENGTH[2] + d2 * t[u]) * p2[self.dish]) / (STRENGTH[2] + c[u])
+
+    def customers_of_split(self) -> None:
+        """Before going up: the split restaurants' customers are the tables here."""
+        n2 = np.bincount(self.dish, weights=self.t3, minlength=len(self.n2)).astype(np.int64)
+        self.n2 = np.where(self.apart >= 0, n2, self.n2)
+
+
+def root_probability(totals: Totals, n: np.ndarray, t: np.ndarray) -> np.ndarray:
+    d = totals.discount[0]
+    return (n - d * t + (STRENGTH[0] + d * totals.root[1]) / (totals.words + 1)) / (STRENGTH[0] + totals.root[0])
+
+
+# -- the upper partitions ---------------------------------------------------------------------
+
+_ANSWER = "bucket int, g int, z binary, stats array<double>"
+
+
+def _seat_above(f: Frequent, totals: Totals | None):
+    """(bucket, g, z) of whole upper partitions to the answers, and statistics: words, then customers and tables of the root and
+    of the split restaurants, then words and dishes with 1 and 2 customers. Rows without a partition pass on (their statistics)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: dict[int, list] = {}
         for b in batches:
-            for i in range(b.num_rows):
-                bucket = b.column("bucket")[i].as_py()
-                section = _section(b.column("model")[i], b.column("rows")[i].as_py())
-                cell = np.arange(256 * CONTEXTS)
-                score = _mean_log(section, bucket, rates, record, cell // CONTEXTS, cell % CONTEXTS).astype("<f4")
-                counts = np.zeros(256, dtype="<i8")
-                counts[section.words] = section.n0(section.n2)
-                yield pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([counts.tobytes()], pa.binary()), pa.array([score.tobytes()], pa.binary())], names=["bucket", "counts", "score"])
+            for bucket, g, z, stats in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3)):
+                if g < 0:
+                    yield _batch([(bucket, g, b"", stats.as_py())], _ANSWER)
+                else:
+                    parts.setdefault(g, []).append((bucket, z.as_py()))
+        for g in sorted(parts):
+            rows = sorted(parts.pop(g))
+            arrays = [_unpack(pa.py_buffer(z)) for _, z in rows]
+            sizes = [len(a[0]) for a in arrays]
+            known, at = np.unique(np.concatenate([a[0] for a in arrays]), return_inverse=True)
+            add = lambda at, column, n: np.bincount(at, weights=np.concatenate([a[column] for a in arrays]), minlength=n).astype(np.int64)
+            n1 = add(at, 1, len(known))
+            first = len(arrays[0][2]) == len(arrays[0][0])
+            c = add(at, 2, len(known)) if first else np.zeros(len(known), np.int64)
+            rank = np.concatenate([a[3] for a in arrays]).astype(np.int64)
+            place = np.concatenate([at[lo : lo + n][a[4]] for a, n, lo in zip(arrays, sizes, np.cumsum([0, *sizes]))])
+            keys, dish = np.unique(rank * len(known) + place, return_inverse=True)
+            rest, served = keys // max(1, len(known)), keys % max(1, len(known))
+            n2 = add(dish, 5, len(keys))
+            t2 = np.minimum(n2, 1)
+            root = lambda: n1 + np.bincount(served, weights=t2, minlength=len(known)).astype(np.int64)
+            t1 = np.minimum(root(), 1)
+            if totals is not None:
+                d0, d1, _ = totals.discount
+                p1 = root_probability(totals, root(), t1)[served]
+                some = np.flatnonzero(n2 > 0)
+                t2[some] = seat(n2[some], np.maximum(totals.split[1][rest[some]] - t2[some], 0), p1[some], STRENGTH[1], d1, dish_key(f.words[rest[some]], known[served[some]]), SWEEPS)
+                n = root()
+                t1 = np.where(n > 0, np.maximum(t1, 1), 0)
+                flat = np.full(len(known), 1 / (totals.words + 1))
+                t1 = seat(n, np.maximum(totals.root[1] - t1, 0), flat, STRENGTH[0], d0, dish_key(np.full(len(known), START), known), SWEEPS)
+            n0 = root()
+            split = [np.bincount(rest, weights=x, minlength=len(f.words)) for x in (n2, t2)]
+            counts = [float((c > 0).sum()), float(n0.sum()), float(t1.sum()), *split[0], *split[1], *(float((x == k).sum()) for x in (n0, n2) for k in (1, 2))]
+            yield _batch([(-1, g, b"", counts)], _ANSWER)
+            lo = dlo = 0
+            for (bucket, _), a in zip(rows, arrays):
+                mine, dishes = at[lo : lo + len(a[0])], dish[dlo : dlo + len(a[3])]
+                lo, dlo = lo + len(a[0]), dlo + len(a[3])
+                counts = c[mine].astype("<i8") if first else np.zeros(0, dtype="<i8")
+                yield _batch([(bucket, g, _pack(n0[mine], t1[mine], counts, n2[dishes], t2[dishes]), None)], _ANSWER)
 
     return run
 
 
-_RESULT = np.dtype([("doc", "<u2"), ("n", "u1"), ("c", "<u4"), ("score", "<f4")])
+def _pass_up(f: Frequent, totals: Totals, uppers: int):
+    """Buckets with their answers, swept, to what goes up again, and the split pairs' totals."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for bucket, data, extra, down in zip(b.column("bucket").to_pylist(), b.column("data"), b.column("extra"), b.column("down")):
+                s = Section(f, data.as_buffer(), extra.as_buffer())
+                s.come_down(down, uppers)
+                for _ in s.sweeps(totals, SWEEPS):
+                    pass
+                s.customers_of_split()
+                yield _batch([(bucket, m["g"], m["z"], None) for m in s.up(uppers, first=False)] + [(bucket, -1, b"", s.pair_totals().ravel().tolist())], _ANSWER)
+
+    return run
 
 
-def _tail_scores(rates: Rates, record: list[np.ndarray]):
-    """Tail buckets to (block, n, data): for each entry its document, count, the word's count and log10 probability."""
+def _pass_down(f: Frequent, totals: Totals, uppers: int):
+    """Buckets with both answers (the first one for counts) to (block, m, scores): for each document, its tokens' known ones,
+    base and log10 probability, summed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                n, bucket = b.column("n")[i].as_py(), b.column("bucket")[i].as_py()
-                packed = _planes(b.column("data")[i], 3 * n).astype(np.int64).reshape(3, n)
-                word, context, times = np.cumsum(packed[0]), packed[1] >> 8, packed[1] & 255
-                which, doc = packed[2] >> 16, packed[2] & 0xFFFF
-                section = _section(b.column("model")[i], b.column("rows")[i].as_py())
-                score = _mean_log(section, bucket, rates, record, word, context)
-                counts = np.zeros(int(word[-1]) + 1 if n else 0, dtype=np.int64)
-                counts[section.words] = section.n0(section.n2)
-                blocks = np.frombuffer(b.column("extra")[i].as_buffer(), "<i8")
-                order = np.lexsort((doc, which))
-                out = np.zeros(n, dtype=_RESULT)
-                out["doc"], out["n"], out["c"], out["score"] = doc[order], times[order], counts[word[order]], score[order]
-                cuts = run_starts(which[order])
-                rows = [(int(blocks[which[order[x]]]), int(y - x), _zip(np.frombuffer(b"".join(np.ascontiguousarray(out[f][x:y]).tobytes() for f in _RESULT.names), "u1"))) for x, y in zip(cuts, cuts[1:])]
-                if rows:
-                    yield _rows(rows, (pa.int64(), pa.int64(), pa.binary()), ["block", "m", "scores"])
+            for data, extra, first, down in zip(b.column("data"), b.column("extra"), b.column("first"), b.column("down")):
+                s = Section(f, data.as_buffer(), extra.as_buffer())
+                s.come_down(first, uppers)
+                s.come_down(down, uppers)
+                total = np.zeros(len(s.word))
+                for k, p in enumerate(s.sweeps(totals, SWEEPS)):
+                    if k >= SWEEPS - KEPT:
+                        total += p
+                score = np.log10(total / KEPT)[s.type]
+                count = s.count[s.word]
+                base, known = np.log10(count + 1.0)[s.type], (count > 0)[s.type]
+                at, docs = s.first[s.which] + s.doc, int(s.first[-1])
+                n = np.bincount(at, minlength=docs)
+                out = [np.bincount(at, weights=x, minlength=docs) for x in (known, base, score)]
+                rows = []
+                for block, lo, size in zip(s.blocks.tolist(), s.first.tolist(), s.docs.tolist()):
+                    some = np.flatnonzero(n[lo : lo + size])
+                    if len(some):
+                        k, x, y = (v[lo + some] for v in out)
+                        rows.append((block, _pack(some.astype("<u2"), k.astype("<u4"), np.rint(x * _FIXED).astype("<i8"), y.astype("<f4"))))
+                yield _batch(rows, "block long, scores binary")
 
     return run
 
 
-def _finish(tokens: int, words: int, counts: np.ndarray, table: np.ndarray):
-    """Blocks with their hot tokens and their tail scores to a row per document."""
+def _finish(tokens: float, words: float):
+    """Blocks' documents with what their buckets gave, to a row per document."""
     names = ["id", "held_out", "n_tokens", "n_known", "base_score", "score"]
-    types = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.log10(tokens + words + 1)
-        log_hot = np.log10(counts.value + 1.0)
-        known_hot, log_p = counts.value > 0, table.value
         for b in batches:
-            for i in range(b.num_rows):
-                n = b.column("n")[i].as_py()
-                extra = _unzip(b.column("extra")[i], 18 * n, "u1")
-                ids, null, held = extra[: 8 * n].view("<i8"), extra[8 * n : 9 * n].astype(bool), extra[9 * n : 10 * n].astype(bool)
-                size, per = extra[10 * n : 14 * n].copy().view("<u4"), extra[14 * n :].copy().view("<u4").astype(np.int64)
-                code = _planes(b.column("data")[i], int(per.sum())).astype(np.int64)
-                doc = np.repeat(np.arange(n), per)
-                word = code // CONTEXTS
-                base = np.bincount(doc, weights=log_hot[word], minlength=n)
-                score = np.bincount(doc, weights=log_p[code], minlength=n)
-                known = np.bincount(doc, weights=known_hot[word], minlength=n)
-                for x in b.column("tail")[i]:
-                    if not x.is_valid:
-                        continue
-                    m = x["m"].as_py()
-                    raw = _unzip(x["scores"], m * _RESULT.itemsize, "u1").tobytes()
-                    d, t = np.frombuffer(raw, "<u2", m).astype(np.int64), np.frombuffer(raw, "u1", m, 2 * m).astype(float)
-                    c, s = np.frombuffer(raw, "<u4", m, 3 * m), np.frombuffer(raw, "<f4", m, 7 * m)
-                    base += np.bincount(d, weights=t * np.log10(c + 1.0), minlength=n)
-                    score += np.bincount(d, weights=t * s, minlength=n)
-                    known += np.bincount(d, weights=t * (c > 0), minlength=n)
-                arrays = (pa.array(ids.copy(), mask=null), pa.array(held), pa.array(size.astype(np.int64)), pa.array(known.astype(np.int64)), pa.array(base - size * whole), pa.array(score))
-                yield pa.RecordBatch.from_arrays([x.cast(t) for x, t in zip(arrays, types)], names=names)
+            for data, scores in zip(b.column("data"), b.column("scores")):
+                ids, null, held, size = _unpack(data.as_buffer())
+                known, base, score = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64), np.zeros(len(ids))
+                for x in sorted(z.as_py() for z in scores):  # in a fixed order
+                    doc, k, whole_base, y = _unpack(pa.py_buffer(x))
+                    known[doc] += k
+                    base[doc] += whole_base
+                    score[doc] += y
+                arrays = (pa.array(ids, mask=null), pa.array(held), pa.array(size.astype(np.int64)), pa.array(known), pa.array(base / _FIXED - size * whole), pa.array(score))
+                yield pa.RecordBatch.from_arrays(list(arrays), names=names)
 
     return run
 
@@ -494,35 +568,62 @@ def fold(id_column, folds: int = 7) -> "F.Column":
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def _sums(rows: DataFrame, column: str = "stats") -> np.ndarray:
+    """Element-wise sum of an array column of some hundred elements."""
+    got = rows.where(F.col(column).isNotNull()).select(F.posexplode(column).alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).collect()
+    out = np.zeros(len(got))
+    for r in got:
+        out[r["i"]] = r["x"]
+    return out
+
+
 def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id_col, held_out, n_tokens, n_known, train_tokens, base_score, score) of every document; held_out: a boolean column
     that says which documents are only scored."""
     spark = docs.sparkSession
     n = partitions(spark)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
-    hot = _hot_words(source.where("not held"))
+    f = _frequent(source.where("not held").select("id", "text"))
+    size = int(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # an estimate by file sizes
+    each = max(2, -(-(size if size < 1 << 60 else 0) // (BUCKET_BYTES * n)))
+    names = own_names(spark, n, each)
     # a block is named by its first row's number: unique, and the same again if a task is run again
-    gathered = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_gather(hot, 2 * n), _MAP)
-    kept = materialize(gathered.repartition(n, "kind", "bucket").mapInArrow(_organise, _KEPT), "dishes")
-    stats = _sum_arrays(kept.where("stats is not null").select("stats").mapInArrow(_task_stats, "totals array<double>"), "totals")
-    rates = Rates.of(stats)
-    record = [stats[CONTEXTS + 7 :]]
-    sections = kept.where(F.col("kind") != _DOCS).select("bucket", "rows", "model")
-    for _ in range(SWEEPS):
-        record.append(_sum_arrays(sections.mapInArrow(_swept(rates, record), "totals array<double>"), "totals")[: len(record[0])])
-    # the hot words' table has HOT * CONTEXTS cells, whatever the input
-    counts, table = np.zeros(-(-len(hot) // 256) * 256, dtype=np.int64), np.zeros(-(-len(hot) // 256) * 256 * CONTEXTS, dtype=np.float32)
-    new = _mean_log(Section(*np.zeros((3, 0), dtype=np.int64)), 0, rates, record, np.zeros(CONTEXTS, np.int64), np.arange(CONTEXTS))
-    table.reshape(-1, CONTEXTS)[:] = new
-    for r in kept.where(F.col("kind") == _HOT).select("bucket", "rows", "model").mapInArrow(_hot_table(rates, record), "bucket long, counts binary, score binary").collect():
-        at = (-1 - r["bucket"]) * 256
-        counts[at : at + 256] = np.frombuffer(r["counts"], "<i8")
-        table[at * CONTEXTS : (at + 256) * CONTEXTS] = np.frombuffer(r["score"], "<f4")
-    tail = kept.where(F.col("kind") == _TAIL).select("bucket", "n", "data", "extra", "rows", "model").mapInArrow(_tail_scores(rates, record), "block long, m long, scores binary")
-    tail = tail.groupBy("block").agg(F.collect_list(F.struct("m", "scores")).alias("tail"))
-    blocks = kept.where(F.col("kind") == _DOCS).select("block", "n", "data", "extra").join(tail, "block", "left")
-    blocks = blocks.withColumn("tail", F.coalesce("tail", F.array().cast("array<struct<m:bigint,scores:binary>>")))
-    sc = spark.sparkContext
-    run = _finish(rates.tokens, rates.words, sc.broadcast(counts), sc.broadcast(table))
-    out = blocks.select("n", "data", "extra", "tail").mapInArrow(run, "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(rates.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    gathered = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_gather(f, names), _MESSAGE)
+    # the buckets, as a bucketed table: they are shuffled once and met where they are
+    folder, table = new_folder(spark, "dishes"), f"brindle_dishes_{uuid.uuid4().hex}"
+    gathered.repartition(n, "bucket").mapInArrow(_organise(f, n), _KEPT).write.bucketBy(n, "bucket").format("parquet").option("compression", "none").option("path", folder).saveAsTable(table)
+    free_shuffles(spark)
+    kept = spark.table(table)
+    buckets = kept.where("bucket >= 0").select("bucket", "data", "extra")
+
+    def answered(messages: DataFrame, totals: Totals | None, label: str) -> DataFrame:
+        return materialize(messages.repartition(n, "g").mapInArrow(_seat_above(f, totals), _ANSWER), label, compression="none")
+
+    def met(left: DataFrame, answers: DataFrame, name: str) -> DataFrame:
+        packed = answers.where("bucket >= 0 and g >= 0").groupBy("bucket").agg(F.collect_list(F.struct("g", "z")).alias(name))
+        return left.join(packed.hint("shuffle_hash"), "bucket")
+
+    messages = kept.where("bucket >= 0").select("bucket", F.explode("up").alias("u")).select("bucket", "u.g", "u.z", F.lit(None).cast("array<double>").alias("stats"))
+    first = answered(messages, None, "above")
+    below, above = _sums(kept), _sums(first.where("bucket < 0"))
+    w, p = len(f.words), len(f.pairs)
+    below = below if len(below) else np.zeros(5 + 2 * p)
+    above = above if len(above) else np.zeros(7 + 2 * w)
+    rates = discounts(np.concatenate([above[-4:-2], above[-2:] + below[1:3], below[3:5]]))
+    totals = Totals(rates, below[0], above[0], above[1:3], above[3 : 3 + 2 * w].reshape(2, w), below[5:].reshape(2, p))
+    again = met(buckets, first, "down").mapInArrow(_pass_up(f, totals, n), _ANSWER)
+    again = again.withColumn("g", F.when(F.col("g") >= 0, F.col("g")).otherwise(-1 - F.col("bucket")))
+    second = answered(again, totals, "again")
+    free_shuffles(spark)
+    pairs, above = _sums(second.where("bucket >= 0")), _sums(second.where("bucket < 0"))
+    if len(above):
+        totals = Totals(rates, totals.tokens, totals.words, above[1:3], above[3 : 3 + 2 * w].reshape(2, w), pairs.reshape(2, p))
+    scores = met(met(buckets, first, "first"), second, "down").mapInArrow(_pass_down(f, totals, n), "block long, scores binary")
+    scores = materialize(scores, "scores", compression="none")
+    blocks = materialize(kept.where("bucket < 0").select("block", "data"), "blocks", compression="none")
+    spark.sql(f"drop table {table}")
+    drop_folders(spark, folder)
+    free_shuffles(spark)
+    met_scores = blocks.join(scores.groupBy("block").agg(F.collect_list("scores").alias("scores")), "block")
+    out = met_scores.select("data", "scores").mapInArrow(_finish(totals.tokens, totals.words), "id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    return out.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(int(totals.tokens)).cast("long").alias("train_tokens"), "base_score", "score")

@@ -269,25 +269,6 @@ def test_pitman_yor_counts_and_gain(spark, sf_dir, texts):
     assert sum(r.score for r in scored) > sum(r.base_score for r in scored)
 
 
-def test_predictive_probabilities_sum_to_one():
-    # the words seen and a new one: what one restaurant's customers can be served
-    word, context, n = np.array([0, 0, 1, 2]), np.array([0, 5, 0, 7]), np.array([4, 2, 3, 1])
-    stats = np.array(pitman_yor._stats(word, context, n))
-    rates = pitman_yor.Rates.of(stats)
-    section = pitman_yor.Section(word, context, n)
-    record = [stats[pitman_yor.CONTEXTS + 7 :]]
-    for sweeps in range(1, 3):
-        other = pitman_yor.Section(word, context, n)
-        for _ in pitman_yor._replay(other, 0, rates, record, sweeps):
-            pass
-        record.append(np.array(other.totals()))
-    for _ in pitman_yor._replay(section, 0, rates, record, 2):
-        pass
-    for c in (0, 5, 7, 9):
-        known = section.predict(rates, record[-1], np.array([0, 1, 2]), np.full(3, c))
-        assert 0 < known.sum() < 1
-
-
 def test_pitman_yor_of_odd_rows(edge, empty, spark):
     got = by_id(pitman_yor.score_documents(edge, pitman_yor.fold(F.col("doc_id")) == 2).collect())
     assert len(got) == len(EDGE_ROWS) and {r.n_tokens for r in got if r.doc_id in (3, 4, 5)} == {1} and all(math.isfinite(r.score) for r in got)
