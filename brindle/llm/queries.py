@@ -61,7 +61,7 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.quantised(_read(spark, sf_dir, "embeddings"))
-    return topk.top_k(vectors, vectors.where("id % 20 = 0"), k=20)
+    return topk.top_k(vectors, F.col("id") % 20 == 0, k=20)
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

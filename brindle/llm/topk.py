@@ -1,44 +1,49 @@
 """Exact top-k inner-product search with ball trees.
 
-The vectors are dealt to shards by hash of their id; each shard builds a ball tree (split by the two far poles of a node,
-leaves of LEAF vectors). A query visits a shard's leaves in order of their upper bound q.centre + |q| * radius and stops
-when the bound falls below its current k-th score. The k-th scores are shared: one pass over the first shards gives each
-query a k-th score from real candidates, which all other shards start from, so they prune from the first leaf on.
-
-Queries are stated as a set and go to the shards in blocks of BLOCK; nothing is broadcast, and no pair but a block with a
-shard is joined. Components are quantised to integers, and scores are exact integers.
-
-Defined cases: vectors that are null, empty, of another length than most, or hold a null or non-finite component take no
-part; a candidate never is its own query's row (rows with the query's id are all left out); ties go to the smaller id;
-fewer candidates than k give fewer rows; repeated ids are separate candidates; null ids are no queries, and as candidates
-come after all others on ties; an empty table gives no rows.
+The vectors are dealt to shards by hash; a task takes one shard at a time from its sorted stream, builds a ball tree over it
+(nodes split by their two far poles, inner nodes kept), and then lets the query blocks that follow descend it: branch and
+bound, the child of higher upper bound q.centre + |q| * radius first, subtrees left out whole when their bound is below the
+query's current k-th score. Queries meet the shards in waves, one shard in the first and four times as many in each later
+one; after each wave the k-th scores of all shards so far are shared, so that later waves prune from the root on. A shard's
+vectors travel once a wave, whatever the number of queries; nothing is broadcast.
+
+Components are quantised to integers and scores are exact integers: sums in double precision where these are exact, else in
+64-bit integers, else in Python's (scores beyond a long stop at its ends), all through the same tree.
+
+Defined cases: vectors that are null or hold a null or non-finite component take no part; vectors meet those of their own
+length; a candidate never is its own query's row (of queries given as a table of their own, rows with the query's id are left
+out); ties go to the smaller id; fewer candidates than k give fewer rows; repeated ids are separate candidates, and separate
+queries with a set of rows each; null ids are no queries, and as candidates come after all others on ties; an empty table
+gives no rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize, partitions
 
 LEAF = 64
-#: Queries of a block, and vectors of a shard.
+#: Queries that descend a tree together.
 BLOCK = 2048
-SHARD = 16384
-#: Pairs of a block and a shard that a task handles (they may share one Arrow batch).
-PAIRS_PER_TASK = 8
-#: Below this, sums of products are exact in double precision; larger vectors are scored with Python integers.
-_EXACT = 2.0**52
+#: Vectors of a shard: at least, and bytes of components at most.
+SHARD, SHARD_BYTES = 4096, 64 << 20
+#: Below this, sums of products are exact in double precision; and in 64-bit integers.
+_EXACT, _LONG = 2.0**52, 2.0**62
+_LAST = np.iinfo(np.int64).max
+_NONE = -np.inf
 
 
 def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embedding", scale: float = 64.0) -> DataFrame:
     """(id, v array<double>): floor(scale * x) of every component; rows that take no part are left out."""
     v = F.col(vector)
-    good = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     out = vectors.where(good).select(F.col(id_col).cast("long").alias("id"), v.cast("array<double>").alias("x"))
     lifted = F.transform("x", lambda x: x * F.lit(scale))
     whole = F.transform(lifted, lambda x: F.rint(x))
@@ -46,26 +51,32 @@ def quantised(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embeddi
 
 
 class BallTree:
-    """Balls over the rows of x, in leaves: order (row numbers by leaf), bounds (leaf starts), centres, radii."""
-
-    def __init__(self, x: np.ndarray, leaf: int = LEAF) -> None:
-        order, bounds, stack = np.arange(len(x)), [0], [(0, len(x))]
-        while stack:
-            a, b = stack.pop()
-            if b - a <= leaf:
-                bounds.append(b)
-                continue
-            part = x[order[a:b]]
-            far = part[np.argmax(((part - part.mean(axis=0)) ** 2).sum(axis=1))]
-            pole = part[np.argmax(((part - far) ** 2).sum(axis=1))]
-            side = part @ (pole - far)
-            middle = (b - a) // 2
-            order[a:b] = order[a:b][np.argpartition(side, middle)]
-            stack += [(a + middle, b), (a, a + middle)]
-        self.order, self.bounds = order, np.array(bounds)
-        spans = list(zip(bounds, bounds[1:]))
-        self.centres = np.array([x[order[a:b]].mean(axis=0) for a, b in spans])
-        self.radii = np.array([np.sqrt(((x[order[a:b]] - c) ** 2).sum(axis=1).max()) for (a, b), c in zip(spans, self.centres)])
+    """Balls over the rows of x. Node i holds order[first[i]:last[i]]; child[i] is its left child (the right one follows), 0 for a leaf."""
+
+    def __init__(self, x: np.ndarray, leaf: int | None = None) -> None:
+        leaf = leaf or LEAF
+        self.order = np.arange(len(x))
+        self.first, self.last, self.child = [0], [len(x)], [0]
+        centres, radii, i = [], [], 0
+        while i < len(self.first):
+            a, b = self.first[i], self.last[i]
+            part = x[self.order[a:b]]
+            centre = part.mean(axis=0)
+            apart = ((part - centre) ** 2).sum(axis=1)
+            centres.append(centre)
+            radii.append(np.sqrt(apart.max(initial=0)))
+            if b - a > leaf:
+                far = part[np.argmax(apart)]
+                pole = part[np.argmax(((part - far) ** 2).sum(axis=1))]
+                middle = a + (b - a) // 2
+                self.order[a:b] = self.order[a:b][np.argpartition(part @ (pole - far), (b - a) // 2)]
+                self.child[i] = len(self.first)
+                self.first += [a, middle]
+                self.last += [middle, b]
+                self.child += [0, 0]
+            i += 1
+        self.centres, self.radii = np.array(centres), np.array(radii)
+        self.longest = np.abs(self.centres).max(initial=0)
 
 
 def _better(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
@@ -73,120 +84,179 @@ def _better(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores), axis=1)[:, :k]
 
 
-_LAST = np.iinfo(np.int64).max
-_NONE = -np.inf
+@dataclass
+class Work:
+    """What a search did: leaves scored and subtrees left out, each times queries."""
 
+    scored: int = 0
+    pruned: int = 0
 
-def search(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int, floor: np.ndarray, tree: BallTree | None = None) -> tuple[np.ndarray, np.ndarray]:
+
+def search(x: np.ndarray, ids: np.ndarray, own: np.ndarray, q: np.ndarray, mine: np.ndarray, k: int, floor: np.ndarray, tree: BallTree | None = None, work: Work | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(scores, ids) of the k best rows of x for each row of q, -inf where there is none that can beat floor.
 
-    Exact: a leaf is skipped only if its bound, with room for rounding, is below the k-th score known so far.
+    A candidate is left out if its own is the query's mine. Exact: a subtree is left out only if its bound, with room for
+    rounding, is below the k-th score known so far.
     """
-    best = np.full((len(q), k), _NONE)
+    tree, work = tree or BallTree(x), work or Work()
+    size = max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) * max(x.shape[1], 1)
+    kind = np.float64 if size < _EXACT else np.int64 if size < _LONG else object
+    best = np.full((len(q), k), _NONE, dtype=np.float64 if kind is np.float64 else object)
     who = np.full((len(q), k), _LAST)
-    if not len(x) or not len(q):
-        return best, who
-    tree = tree or BallTree(x)
-    norms = np.sqrt((q**2).sum(axis=1))
-    bound = q @ tree.centres.T + norms[:, None] * tree.radii[None]
-    bound += 1e-9 * (np.abs(bound) + norms[:, None] * (np.abs(tree.centres).max(initial=0) + 1)) + 1e-6
-    visit = np.argsort(-bound, axis=1, kind="stable")
-    kth = floor.copy()
-    alive = np.arange(len(q))
-    for step in range(bound.shape[1]):
-        leaf = visit[alive, step]
-        going = bound[alive, leaf] >= kth[alive]
-        alive, leaf = alive[going], leaf[going]  # leaves come in order of bound: what stops here is done
-        if not len(alive):
-            break
-        by = np.argsort(leaf, kind="stable")
-        alive, leaf = alive[by], leaf[by]
-        cuts = np.append(np.flatnonzero(np.append(True, leaf[1:] != leaf[:-1])), len(leaf))
-        for a, b in zip(cuts, cuts[1:]):
-            rows, here = alive[a:b], tree.order[tree.bounds[leaf[a]] : tree.bounds[leaf[a] + 1]]
-            s = q[rows] @ x[here].T
-            i = np.broadcast_to(ids[here], s.shape)
-            s = np.where(i == qids[rows][:, None], _NONE, s)
-            if not (s >= kth[rows][:, None]).any():
-                continue
-            both, names = np.concatenate([best[rows], s], axis=1), np.concatenate([who[rows], np.where(np.isneginf(s), _LAST, i)], axis=1)
-            top = _better(both, names, k)
-            best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
-            kth[rows] = np.maximum(floor[rows], best[rows, -1])
+    if kind is not np.float64:
+        x, q = (m if kind is np.float64 else m.astype(np.int64) if kind is np.int64 else np.array([[int(c) for c in row] for row in m], dtype=object).reshape(m.shape) for m in (x, q))
+    norms = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+    centres, flat = tree.centres, q.astype(np.float64)
+    kth = floor.astype(np.float64).copy()
+
+    def bound(node: int, rows: np.ndarray) -> np.ndarray:
+        b = flat[rows] @ centres[node] + norms[rows] * tree.radii[node]
+        return b + 1e-9 * (np.abs(b) + norms[rows] * (tree.longest + 1)) + 1e-6
+
+    def visit(node: int, rows: np.ndarray, bounds: np.ndarray) -> None:
+        going = bounds >= kth[rows]
+        work.pruned += len(rows) - int(going.sum())
+        rows = rows[going]
+        if not len(rows):
+            return
+        left = tree.child[node]
+        if not left:
+            score(rows, tree.order[tree.first[node] : tree.last[node]])
+            return
+        one, two = bound(left, rows), bound(left + 1, rows)
+        nearer = one >= two
+        for side, first, then in ((nearer, left, left + 1), (~nearer, left + 1, left)):
+            group = rows[side]
+            if len(group):
+                a, b = (one, two) if first == left else (two, one)
+                visit(first, group, a[side])
+                visit(then, group, b[side])
+
+    def score(rows: np.ndarray, here: np.ndarray) -> None:
+        work.scored += len(rows)
+        s = q[rows] @ x[here].T
+        s = s if kind is np.float64 else s.astype(object)
+        out = np.broadcast_to(own[here], s.shape) == mine[rows][:, None]
+        s = np.where(out, _NONE, s)
+        reach = (s >= kth[rows][:, None]).any(axis=1)
+        rows, s, out = rows[reach], s[reach], out[reach]
+        if not len(rows):
+            return
+        both, names = np.concatenate([best[rows], s], axis=1), np.concatenate([who[rows], np.where(out, _LAST, ids[here])], axis=1)
+        top = _better(both, names, k)
+        best[rows], who[rows] = np.take_along_axis(both, top, 1), np.take_along_axis(names, top, 1)
+        kth[rows] = np.maximum(floor[rows], best[rows, -1].astype(np.float64))
+
+    if len(x) and len(q):
+        everyone = np.arange(len(q))
+        visit(0, everyone, bound(0, everyone))
     return best, who
 
 
-def _pack(rows: DataFrame, group: str) -> DataFrame:
-    """(group, ids, vs): the vectors of a group side by side, in order of id."""
-    packed = rows.groupBy(group).agg(F.sort_array(F.collect_list(F.struct("id", "v"))).alias("_r"))
-    return packed.select(group, F.col("_r.id").alias("ids"), F.flatten("_r.v").alias("vs"), F.size("_r").alias("n"))
+def _long(scores: np.ndarray) -> pa.Array:
+    if scores.dtype == object:
+        return pa.array([min(max(int(s), -(2**63)), 2**63 - 1) for s in scores], pa.int64())
+    return pa.array(scores.astype(np.int64))
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), width)
 
 
-def _matrix(values: pa.Scalar, n: int) -> np.ndarray:
-    return values.values.to_numpy(zero_copy_only=False).reshape(n, -1)
+def _numbers(column: pa.Array, missing: int) -> np.ndarray:
+    return column.fill_null(missing).to_numpy(zero_copy_only=False)
 
 
-def _search_rows(k: int):
+_FOUND = "q long, query_id long, vec_id long, score long"
+
+
+def _descend(k: int):
+    """Rows in order of (shard, kind), a shard's vectors before its queries, to candidates (q, query_id, vec_id, score)."""
+
+    def answer(shard: tuple, block: pa.Table, width: int) -> Iterator[pa.RecordBatch]:
+        x, ids, own, tree = shard
+        block = block.combine_chunks()
+        at = {c: block.column(c).combine_chunks() if block.num_rows else block.column(c) for c in ("id", "own", "q", "floor", "v")}
+        qids, qs = at["id"].to_numpy(), at["q"].to_numpy()
+        best, who = search(x, ids, own, _matrix(at["v"], width), _numbers(at["own"], _LAST), k, _numbers(at["floor"].cast(pa.float64()), 0), tree)
+        row, col = np.nonzero(best != _NONE)
+        found = who[row, col]
+        yield pa.RecordBatch.from_arrays([pa.array(qs[row]), pa.array(qids[row]), pa.array(found, mask=found == _LAST), _long(best[row, col])], names=["q", "query_id", "vec_id", "score"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard, tree = None, None
+        name, vectors, shard, waiting = None, [], None, []
+        width = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal shard, vectors, waiting
+            if not waiting:
+                return
+            if shard is None:
+                t = pa.Table.from_batches(vectors) if vectors else None
+                if t is not None:
+                    at = {c: t.column(c).combine_chunks() for c in ("id", "own", "v")}
+                    x = _matrix(at["v"], width)
+                    shard, vectors = (x, _numbers(at["id"], _LAST), _numbers(at["own"], _LAST - 1), BallTree(x)), []
+            if shard is not None:
+                yield from answer(shard, pa.Table.from_batches(waiting), width)
+            waiting = []
+
         for batch in batches:
-            at = {n: batch.column(n) for n in batch.schema.names}
-            for r in range(batch.num_rows):
-                n, m = at["n"][r].as_py(), at["qn"][r].as_py()
-                x, q = _matrix(at["vs"][r], n), _matrix(at["qvs"][r], m)
-                ids = np.array([_LAST if i is None else i for i in at["ids"][r].as_py()], dtype=np.int64)
-                qids = at["qids"][r].values.to_numpy()
-                floor = at["floor"][r].values.to_numpy(zero_copy_only=False)
-                if max(np.abs(x).max(initial=0), 1) * max(np.abs(q).max(initial=0), 1) * x.shape[1] >= _EXACT:
-                    yield from _search_large(x, ids, q, qids, k)
+            if not batch.num_rows:
+                continue
+            shards, kinds = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
+            widths = batch.column("width").to_numpy()
+            cuts = np.flatnonzero(np.concatenate([[True], (shards[1:] != shards[:-1]) | (widths[1:] != widths[:-1]) | (kinds[1:] != kinds[:-1]), [True]]))
+            for a, b in zip(cuts, cuts[1:]):
+                if (widths[a], shards[a]) != name:
+                    yield from flush()
+                    name, width, vectors, shard = (widths[a], shards[a]), int(widths[a]), [], None
+                part = batch.slice(a, b - a)
+                if not kinds[a]:
+                    vectors.append(part)
                     continue
-                if at["shard"][r].as_py() != shard:
-                    shard, tree = at["shard"][r].as_py(), BallTree(x)
-                best, who = search(x, ids, q, qids, k, floor, tree)
-                row, col = np.nonzero(~np.isneginf(best))
-                found = who[row, col]
-                yield pa.RecordBatch.from_arrays([pa.array(qids[row]), pa.array(found, mask=found == _LAST), pa.array(best[row, col].astype(np.int64))], names=["query_id", "vec_id", "score"])
+                waiting.append(part)
+                if sum(w.num_rows for w in waiting) >= BLOCK:
+                    yield from flush()
+        yield from flush()
 
     return run
 
 
-def _search_large(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, k: int) -> Iterator[pa.RecordBatch]:
-    """The same with Python integers, for components too large for exact sums of doubles; scores beyond a long stop at its ends."""
-    whole = [[int(c) for c in row] for row in x]
-    for name, row in zip(qids.tolist(), q):
-        mine = [int(c) for c in row]
-        scored = sorted((-sum(a * b for a, b in zip(mine, v)), i) for v, i in zip(whole, ids.tolist()) if i != name)[:k]
-        scores = [min(max(-s, -(2**63)), 2**63 - 1) for s, _ in scored]
-        yield pa.RecordBatch.from_arrays([pa.array([name] * len(scored), pa.int64()), pa.array([None if i == _LAST else i for _, i in scored], pa.int64()), pa.array(scores, pa.int64())], names=["query_id", "vec_id", "score"])
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
-    """(query_id, rank, vec_id, score): vectors and queries are (id long, v array<double> of whole numbers)."""
+def top_k(vectors: DataFrame, queries: DataFrame | Column, k: int = 20) -> DataFrame:
+    """(query_id, rank, vec_id, score): vectors are (id long, v array<double> of whole numbers); queries are a condition on
+    them, or a table of the same columns."""
     spark = vectors.sparkSession
-    vectors = materialize(vectors, "vectors")
-    width = vectors.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    total = width["count"] if width else 0
-    vectors = vectors.where(F.size("v") == (width["w"] if width else 0))
-    shards, blocks = max(1, -(-total // SHARD)), 1
-    queries = materialize(queries.where(F.col("id").isNotNull() & (F.size("v") == (width["w"] if width else 0))), "queries")
-    blocks = max(1, -(-queries.count() // BLOCK))
-    deal = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    packed = materialize(_pack(vectors.withColumn("shard", deal(shards, 1)), "shard"), "shards")
-    asked = materialize(_pack(queries.withColumn("block", deal(blocks, 2)), "block").select("block", F.col("ids").alias("qids"), F.col("vs").alias("qvs"), F.col("n").alias("qn")), "blocks")
-    n = max(partitions(spark), -(-shards * blocks // PAIRS_PER_TASK))
-
-    def met(blocks_side: DataFrame, some: DataFrame) -> DataFrame:
-        pairs = blocks_side.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(some, "shard")
-        return pairs.repartition(n, "shard", "block")
-
-    fields = "query_id long, vec_id long, score long"
-    # first pass: each block meets one shard; its k-th scores are a floor for all others
-    own = asked.withColumn("shard", F.pmod("block", F.lit(shards))).withColumn("floor", F.transform("qids", lambda _: F.lit(float("-inf"))))
-    first = materialize(own.join(packed, "shard").repartition(n, "shard", "block").mapInArrow(_search_rows(k), fields), "first")
-    kth = first.groupBy("query_id").agg(F.min("score").alias("kth"), F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
-    listed = asked.select("block", F.posexplode("qids").alias("pos", "query_id")).join(kth, "query_id", "left")
-    floors = listed.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))).alias("f")))).alias("_f")).select("block", F.col("_f.f").alias("floor"))
-    rest = met(asked.join(floors, "block"), packed).where(F.col("shard") != F.pmod("block", F.lit(shards)))
-    found = first.union(rest.mapInArrow(_search_rows(k), fields))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    n = partitions(spark)
+    row = F.monotonically_increasing_id()
+    if isinstance(queries, Column):
+        rows = materialize(vectors.select("id", "v", F.coalesce(queries, F.lit(False)).alias("asks"), row.alias("own")), "vectors")
+        vectors, asked = rows.drop("asks"), rows.where("asks and id is not null").select("id", "v", "own", F.col("own").alias("q"))
+    else:
+        vectors = materialize(vectors.select("id", "v", F.col("id").alias("own")), "vectors")
+        asked = materialize(queries.where("id is not null").select("id", "v", F.col("id").alias("own"), row.alias("q")), "queries")
+    # shards by length of the vectors
+    widths = vectors.groupBy(F.size("v").alias("width")).agg(F.count(F.lit(1)).alias("_n"))
+    size = F.least(F.greatest(F.lit(SHARD), F.ceil(F.col("_n") / F.lit(4 * n))), F.greatest(F.lit(1), F.floor(F.lit(SHARD_BYTES // 8) / F.greatest("width", F.lit(1)))))
+    widths = materialize(widths.select("width", F.ceil(F.col("_n") / size).cast("int").alias("shards")), "widths")
+    most = widths.agg(F.max("shards")).first()[0] or 0
+    sized = lambda df: df.withColumn("width", F.size("v")).join(widths, "width")
+    placed = sized(vectors).select("width", F.pmod(F.xxhash64("own", "id", F.lit(1)), F.col("shards")).cast("int").alias("shard"), F.lit(0).alias("kind"), "id", "own", F.lit(None).cast("long").alias("q"), F.lit(None).cast("long").alias("floor"), "v")
+    homes = sized(asked).withColumn("home", F.pmod(F.xxhash64("q", F.lit(2)), F.col("shards")).cast("int"))
+    order = Window.partitionBy("q").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
+    found, first, last = None, 0, 1
+    while first < most or found is None:
+        wave = homes.where(F.lit(first) < F.col("shards"))
+        if found is not None:
+            kth = found.groupBy("q").agg(F.min("score").alias("floor"), F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= k).drop("_n")
+            wave = wave.join(kth, "q", "left")
+        else:
+            wave = wave.withColumn("floor", F.lit(None).cast("long"))
+        steps = F.sequence(F.lit(first), F.least(F.lit(last), F.col("shards")) - 1)
+        wave = wave.withColumn("_s", F.explode(steps)).select("width", F.pmod(F.col("home") + F.col("_s"), F.col("shards")).alias("shard"), F.lit(1).alias("kind"), "id", "own", "q", "floor", "v")
+        both = placed.union(wave).withColumn("floor", F.coalesce(F.col("floor").cast("double"), F.lit(float("-inf"))))
+        new = both.repartition(n, "width", "shard").sortWithinPartitions("width", "shard", "kind").mapInArrow(_descend(k), _FOUND)
+        new = new if found is None else new.union(found.select("q", "query_id", "vec_id", "score"))
+        found = materialize(new.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k), "found")
+        first, last = last, 4 * last + 1
+    return found.select("query_id", "rank", "vec_id", "score")

@@ -3,6 +3,7 @@ import math
 import numpy as np
 import pytest
 from helpers import components, with_extras
+from pyspark.sql import functions as F
 
 from brindle.llm import embed_dedup, topk
 
@@ -82,3 +83,39 @@ def test_top_k_with_few_or_no_rows(spark):
     assert [tuple(r) for r in topk.top_k(few, few.where("id % 20 = 0")).collect()] == [(0, 1, 1, 64 * 128)]
     none = topk.quantised(spark.createDataFrame([], SCHEMA))
     assert topk.top_k(none, none).collect() == []
+
+
+def test_repeated_ids_are_separate_queries_and_candidates(spark):
+    rows = [(0, [1.0, 0.0]), (0, [-1.0, 0.0]), (1, [2.0, 0.0]), (2, [-2.0, 0.0]), (None, [2.0, 0.0]), (0, [1.0, 0.0]), (3, [5.0]), (20, [1.0])]
+    vectors = topk.quantised(spark.createDataFrame([(i, v, 0) for i, v in rows], SCHEMA))
+    got = sorted((tuple(r) for r in topk.top_k(vectors, F.col("id") % 20 == 0, k=3).collect()), key=repr)
+    one = [(0, 1, 1, 8192), (0, 2, None, 8192), (0, 3, 0, 4096)]
+    other = [(0, 1, 2, 8192), (0, 2, 0, -4096), (0, 3, 0, -4096)]
+    assert got == sorted(one + one + other + [(20, 1, 3, 64 * 320)], key=repr)
+
+
+def test_subtrees_are_left_out():
+    """Clustered vectors: most of the tree is never looked at, and a floor that is known leaves out more."""
+    rng = np.random.default_rng(3)
+    x = np.floor(np.repeat(rng.normal(size=(40, 16)) * 100, 100, axis=0) + rng.normal(size=(4000, 16)))
+    ids, q = np.arange(4000), x[::40]
+    work, tree = topk.Work(), topk.BallTree(x)
+    best, who = topk.search(x, ids, ids, q, ids[::40], 5, np.full(100, -np.inf), tree, work)
+    leaves = sum(c == 0 for c in tree.child)
+    assert work.scored < 0.2 * leaves * len(q) and work.pruned > 0
+    s = q @ x.T
+    s[np.arange(100), ids[::40]] = -np.inf
+    want = np.lexsort((np.broadcast_to(ids, s.shape), -s), axis=1)[:, :5]
+    assert (who == want).all() and (best == np.take_along_axis(s, want, 1)).all()
+    again = topk.Work()
+    topk.search(x, ids, ids, q, ids[::40], 5, best[:, -1], tree, again)
+    assert again.scored < work.scored
+
+
+def test_scores_beyond_double_precision():
+    x = np.array([[2.0**40 + k, 1.0] for k in range(200)])
+    ids = np.arange(200)
+    _, who = topk.search(x, ids, ids, x[:3], ids[:3], 2, np.full(3, -np.inf))
+    assert who.tolist() == [[199, 198]] * 3
+    best, who = topk.search(x * 2.0**20, ids, ids, x[:1] * 2.0**20, ids[:1], 1, np.full(1, -np.inf))
+    assert who.tolist() == [[199]] and best[0, 0] == (2**40 * (2**40 + 199) + 1) << 40
