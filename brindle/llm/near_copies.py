@@ -26,27 +26,43 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_cells, connected_components, materialize, pairs_in_runs, partitions, run_starts
+from .common import LOWER, bucket_cells, connected_components, materialize, mix64, pairs_in_runs, partitions, prefix_hashes, run_starts, span_hashes, text_blocks, word_bounds
 from .simhash import linked_fingerprints, majority
 
 SEED = 42
 SLOTS, BITS = 256, 128
 CELL_CAP = 2048
+#: Members of sets that a task keeps at hand.
+HELD = 1 << 21
 SAMPLE_DOCS, COMMON = 4000, 1 << 16
 
 
+def block_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = 5) -> Iterator[np.ndarray]:
+    """For each text of a block the sorted hashes of its word shingles: each hashes the hashes of its words, in order."""
+    starts, ends, first = word_bounds(data, offsets)
+    words = span_hashes(prefix_hashes(LOWER[data]), starts, ends) if len(starts) else np.zeros(0, dtype=np.uint64)
+    whole = max(0, len(words) - shingle + 1)
+    total = np.zeros(whole, dtype=np.uint64)
+    for j in range(shingle):
+        total += words[j : j + whole] * _WEIGHTS[j % len(_WEIGHTS)] ** np.uint64(j // len(_WEIGHTS) + 1)
+    hashes = mix64(total + np.uint64(shingle))
+    for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
+        k = min(shingle, z - a)
+        if k == shingle:
+            yield np.unique(hashes[a : z - k + 1])
+        elif k:
+            part = sum(int(words[a + j]) * int(_WEIGHTS[j % len(_WEIGHTS)]) ** (j // len(_WEIGHTS) + 1) for j in range(k)) + k
+            yield mix64(np.array([part & (2**64 - 1)], dtype=np.uint64))
+        else:
+            yield np.zeros(0, dtype=np.uint64)
+
+
+_WEIGHTS = np.random.default_rng(42).integers(0, 2**64, size=16, dtype=np.uint64) | np.uint64(1)
+
+
 def shingle_set(text: bytes, shingle: int = 5) -> np.ndarray:
     """The sorted hashes of a text's word shingles."""
-    words = text.lower().split()
-    k = min(shingle, len(words))
-    if not k:
-        return np.zeros(0, dtype="<u8")
-    flat = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1) - 1
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    n = len(words) - k + 1
-    digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(flat[s:e], SEED) for s, e in zip(starts[:n].tolist(), ends[k - 1 :].tolist())), dtype="<u8", count=n))
+    return next(block_sets(np.frombuffer(text, np.uint8), np.array([0, len(text)]), shingle))
 
 
 def similar(both, n, m):
@@ -74,21 +90,24 @@ def _sets(shingle: int, common: np.ndarray):
     table = common[known]
     types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
 
-    def one(text: bytes) -> tuple:
-        s = shingle_set(text, shingle)
+    def one(s: np.ndarray) -> tuple:
         n = len(s)
-        p0, p1 = np.packbits(np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) % 2 == 1).view("<i8").tolist()
-        rank = np.zeros(n, dtype=np.int64)
+        slots = slot_counts(s)
+        p0, p1 = np.packbits((slots[:BITS] + slots[BITS:]) & 1).view("<i8").tolist()
+        m = n - (4 * n + 4) // 5 + 1
+        first = s
         if len(table):
             at = np.minimum(np.searchsorted(table, s), len(table) - 1)
-            rank = np.where(table[at] == s, known[at] + 1, 0)
-        first = s[np.argsort(rank, kind="stable")[: n - (4 * n + 4) // 5 + 1]]
+            hit = table[at] == s
+            if hit.any():
+                late = s[hit]
+                first = np.concatenate([s[~hit], late[np.argsort(known[at[hit]])]])
         node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), SEED)).view(np.int64))
-        return node, n, int(np.uint64(majority(s)).view(np.int64)), p0, p1, slot_counts(s).tobytes(), first.tobytes()
+        return node, n, int(np.uint64(majority(s)).view(np.int64)), p0, p1, slots.tobytes(), first[:m].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            columns = list(zip(*(one(t.as_buffer().to_pybytes()) for t in b.column("text")))) if b.num_rows else [()] * len(types)
+        for b, data, offsets in text_blocks(batches, "text"):
+            columns = zip(*(one(s) for s in block_sets(data, offsets, shingle)))
             yield pa.RecordBatch.from_arrays([b.column("id"), *(pa.array(c, t) for c, t in zip(columns, types)), b.column("text")], names=["id", *(name for name, _ in _SETS)])
 
     return run
@@ -98,9 +117,8 @@ def _common(source: DataFrame, shingle: int) -> np.ndarray:
     """The shingles that several texts of a sample have, the most frequent last. They only decide the order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [shingle_set(t.as_buffer().to_pybytes(), shingle) for t in b.column("text")]
-            s, c = np.unique(np.concatenate([*sets, np.zeros(0, "<u8")]), return_counts=True)
+        for _, data, offsets in text_blocks(batches, "text"):
+            s, c = np.unique(np.concatenate(list(block_sets(data, offsets, shingle))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], names=["s", "c"])
 
     got = source.select("text").where(F.length("text") < 200_000).limit(SAMPLE_DOCS).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
@@ -194,13 +212,24 @@ def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _verified(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name, x = None, None
+        held: dict[int, np.ndarray] = {}
+        members = 0
+
+        def of(node: int, value: pa.Scalar) -> np.ndarray:
+            """The set of a node; a node often comes again soon."""
+            nonlocal members
+            if node not in held:
+                if members > HELD:
+                    held.clear()
+                    members = 0
+                held[node] = shingle_set(_unpacked(value), shingle)
+                members += len(held[node])
+            return held[node]
+
         for b in batches:
             keep = []
-            for a, tx, ty in zip(b.column("a").to_pylist(), b.column("x"), b.column("y")):
-                if a != name:  # pairs of one node often follow each other
-                    name, x = a, shingle_set(_unpacked(tx), shingle)
-                y = shingle_set(_unpacked(ty), shingle)
+            for i, j, tx, ty in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), b.column("x"), b.column("y")):
+                x, y = of(i, tx), of(j, ty)
                 keep.append(bool(similar(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y))))
             yield b.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
@@ -260,7 +289,7 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     grouped = nodes.join(linked_fingerprints(nodes.select("fp").distinct()), "fp", "left").select("node", F.coalesce("root", "fp").alias("g"))
     hubs = grouped.groupBy("g").agg(F.min("node").alias("a"), F.max("node").alias("_z")).where("a < _z").select("g", "a")
     links = _links(grouped.join(hubs, "g").where("a < node").select("a", F.col("node").alias("b")), sets, shingle)
-    roots = connected_components(links)
+    roots = links.select(F.col("b").alias("node"), F.col("a").alias("root"))  # stars: a set is in one group
     # the others, by the prefix filter
     prefixes = sets.where("n > 0").select("node", "n", "prefix").mapInArrow(_prefixes, "s long, node long, n int")
     buckets = materialize(prefixes.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_buckets, "s long, node long, n int, hub long, met boolean"), "buckets")
