@@ -12,8 +12,9 @@ One suffix array over the whole corpus would not be distributed, so the suffixes
    hash in packed blocks, after a local pass that keeps one entry a block (a passage of a third of all documents costs one
    entry a block).
 3. Around each shared minimizer a segment (all windows that hold it) goes to the bucket of the k-mer. A bucket's distinct
-   segments get a suffix array (prefix doubling to depth `length`) and its LPF array; a k-mer with one distinct segment
-   needs none. Each occurrence comes back with the set of its repeated windows.
+   segments get a suffix array (prefix doubling to depth `length`), its lcp values and its LPF array by the time of a
+   segment's first document: a window of that document is repeated if LPF >= length. In any later document, the whole segment
+   is. Each occurrence comes back with the set of its repeated windows.
 
 Hashes only choose what meets; what is removed has been compared byte by byte by the suffix array. Texts travel compressed, are shuffled
 once (by content, into a bucketed table in the shared folder) and then stay.
@@ -34,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, own_prefix, mix64, new_folder, partitions, run_starts
+from .common import drop_folders, materialize, mix64, new_folder, own_prefix, partitions, run_starts
 
 LENGTH = 50
 KMER = 16
@@ -43,6 +44,7 @@ SEGMENT = REACH + LENGTH
 HALF = REACH // 2
 NULL_ID = 2**63 - 1
 BLOCK = 1 << 21
+BUCKET_BYTES = 1 << 20
 #: Distinct segments of a numpy pass over a bucket's suffixes.
 CHUNK = 12_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -76,19 +78,6 @@ def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
     return np.argsort(prefix_ranks(data, depth), kind="stable")
 
 
-def lcp_array(data: np.ndarray, order: np.ndarray, depth: int) -> np.ndarray:
-    """Common prefix, capped at depth, of each suffix of the array with the one before it (0 for the first)."""
-    padded = np.concatenate([data.astype(np.int16), np.full(depth, -1, dtype=np.int16)])
-    out, alive = np.zeros(len(order), dtype=np.int64), np.arange(1, len(order))
-    for d in range(depth):
-        a, b = order[alive] + d, order[alive - 1] + d
-        alive = alive[(padded[a] == padded[b]) & (padded[a] >= 0)]
-        out[alive] += 1
-        if not len(alive):
-            break
-    return out
-
-
 def lpf_array(lcp: np.ndarray, time: np.ndarray, least: int = 1) -> np.ndarray:
     """Longest previous factor of each suffix in suffix order: the longest prefix shared with a suffix of smaller time.
 
@@ -204,7 +193,7 @@ def _texts(b: pa.RecordBatch, limit: int = 4 * BLOCK) -> Iterator[tuple[int, int
 
 
 def _entries(buckets: int):
-    """Texts to (bucket, block, keys, places): a block's distinct minimizer hashes for each bucket; bucket -1: places known to be shared."""
+    """Texts to (bucket, block, keys, places): a block's distinct minimizer hashes for each bucket; bucket < 0: places known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -222,7 +211,7 @@ def _entries(buckets: int):
                 known = np.flatnonzero(many)
                 cuts = run_starts(block[known])
                 for x, y in zip(cuts, cuts[1:]):
-                    rows.append((-1, int(block[known[x]]), b"", place[known[x:y]].tobytes()))
+                    rows.append((-1 - int(block[known[x]]) % buckets, int(block[known[x]]), b"", place[known[x:y]].tobytes()))
                 # one entry a hash and block; of a hash that is shared within the block, the first stands for all
                 keep = np.zeros(len(h), dtype=bool)
                 keep[~many] = True
@@ -248,31 +237,32 @@ def _rows(rows: list[tuple], types: tuple, names: tuple) -> pa.RecordBatch:
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Entries of whole buckets to (block, places): where minimizers stand that occur in two documents."""
-    rows = [r for b in batches for r in zip(*(b.column(i) for i in range(4)))]
-    own = [r for r in rows if r[0].as_py() >= 0]
-    out = [(r[1].as_py(), r[3].as_py()) for r in rows if r[0].as_py() < 0]
-    if own:
-        counts = np.array([r[2].as_buffer().size // 6 for r in own])
-        short = np.frombuffer(b"".join(r[2].as_buffer() for r in own), dtype=np.uint8).reshape(-1, 6)
-        key = np.zeros((len(short), 8), dtype=np.uint8)
-        key[:, :6] = short
-        key = key.view("<u8").ravel()
-        done = (key & np.uint64(1)).astype(bool)
-        key = key >> np.uint64(1)
-        place = np.frombuffer(b"".join(r[3].as_buffer() for r in own), dtype=np.uint32)
-        bucket = np.repeat(np.array([r[0].as_py() for r in own]), counts)
-        block = np.repeat(np.array([r[1].as_py() for r in own]), counts)
-        order = np.lexsort((key, bucket))
-        runs = run_starts(bucket[order], key[order])
-        size = np.diff(runs)
-        shared = np.repeat((size > 1) | np.logical_or.reduceat(done[order], runs[:-1]), size)
-        found = order[shared & ~done[order]]
-        found = found[np.argsort(block[found], kind="stable")]
-        cuts = run_starts(block[found])
-        out += [(int(block[found[x]]), place[found[x:y]].tobytes()) for x, y in zip(cuts, cuts[1:])]
-    for i in range(0, len(out), 2000):
-        yield _rows(out[i : i + 2000], (pa.int64(), pa.binary()), ("block", "places"))
+    """Entries in order of their buckets to (block, places): where minimizers stand that occur in two documents."""
+    out: list[tuple[int, bytes]] = []
+    for rows in _by_bucket(batches):
+        if rows[0][0] < 0:
+            out += [(r[1], r[3]) for r in rows]
+        else:
+            counts = np.array([len(r[2]) // 6 for r in rows])
+            key = np.zeros((int(counts.sum()), 8), dtype=np.uint8)
+            key[:, :6] = np.frombuffer(b"".join(r[2] for r in rows), dtype=np.uint8).reshape(-1, 6)
+            key = key.view("<u8").ravel()
+            done = (key & np.uint64(1)).astype(bool)
+            place = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint32)
+            block = np.repeat(np.array([r[1] for r in rows]), counts)
+            order = np.argsort(key >> np.uint64(1))
+            runs = run_starts(key[order] >> np.uint64(1))
+            size = np.diff(runs)
+            shared = np.repeat((size > 1) | np.logical_or.reduceat(done[order], runs[:-1]), size)
+            found = order[shared & ~done[order]]
+            found = found[np.argsort(block[found], kind="stable")]
+            cuts = run_starts(block[found])
+            out += [(int(block[found[x]]), place[found[x:y]].tobytes()) for x, y in zip(cuts, cuts[1:])]
+        while len(out) >= 2000:
+            yield _rows(out[:2000], (pa.int64(), pa.binary()), ("block", "places"))
+            out = out[2000:]
+    if out:
+        yield _rows(out, (pa.int64(), pa.binary()), ("block", "places"))
 
 
 def _to_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,53 +320,73 @@ def _segments(buckets: int):
 
 
 def repeated_windows(segment: np.ndarray, left: np.ndarray, right: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """(segments, REACH+1) least id of a document that holds the same window, over the given distinct segments of whole k-mers.
+    """(segments, REACH+1) LPF of each window's suffix where it is LENGTH or more, else 0, over distinct segments of whole k-mers.
 
-    first: the least id that holds each segment. The windows are suffixes of the joined segments; runs of suffixes that share
-    `LENGTH` bytes have one answer, which LPF >= LENGTH says is earlier than the suffix's own.
+    first: the least id that holds each segment, which is its suffixes' time. Suffixes stand in order of their first LENGTH
+    bytes; suffixes that share these, in order of time.
     """
-    n = len(segment)
-    out = np.repeat(first[:, None], REACH + 1, axis=1)
+    out = np.zeros((len(segment), REACH + 1), dtype=np.int64)
     o = np.arange(REACH + 1)
     valid = (o >= REACH - left[:, None].astype(int)) & (o + LENGTH <= REACH + right[:, None].astype(int))
     data = segment.ravel()
-    rank = _window_ranks(data)
+    levels = _window_ranks(data)
     who, off = np.nonzero(valid)
-    suffix = who * SEGMENT + off
-    # suffix order; among equal windows, by document order
-    order = np.lexsort((first[who], rank[suffix]))
-    r = rank[suffix][order]
-    lcp = np.zeros(len(order), dtype=np.int64)
-    lcp[1:] = np.where(r[1:] == r[:-1], LENGTH, 0)
-    time = first[who][order]
-    lpf = lpf_array(lcp, time, LENGTH)
-    cuts = run_starts(r)
-    least = np.repeat(np.minimum.reduceat(time, cuts[:-1]), np.diff(cuts)) if len(r) else time
-    out[who[order], off[order]] = np.where(lpf >= LENGTH, least, time)
+    suffix, time = who * SEGMENT + off, first[who]
+    order = np.lexsort((time, levels[-1][1][suffix]))
+    out[who[order], off[order]] = lpf_array(_window_lcp(data, levels, suffix[order]), time[order], LENGTH)
     return out
 
 
-def _window_ranks(data: np.ndarray) -> np.ndarray:
-    """prefix_ranks(data, LENGTH), beginning with eight bytes at once."""
-    rank, known = _dense(words8(data)) + np.uint64(1), 8
-    while known < LENGTH:
+def _window_ranks(data: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """(depth, prefix_ranks(data, depth)) of depths that double from eight bytes to LENGTH."""
+    levels = [(8, _dense(words8(data)) + np.uint64(1))]
+    while levels[-1][0] < LENGTH:
+        known, rank = levels[-1]
         step = min(known, LENGTH - known)
         after = np.zeros(len(data), dtype=np.uint64)
         after[: len(data) - step] = rank[step:]
-        rank = _dense((rank << np.uint64(32)) | after) + np.uint64(1)
-        known += step
-    return rank
+        levels.append((known + step, _dense((rank << np.uint64(32)) | after) + np.uint64(1)))
+    return levels
+
+
+def _window_lcp(data: np.ndarray, levels: list[tuple[int, np.ndarray]], suffix: np.ndarray) -> np.ndarray:
+    """Common prefix of each suffix with the one before it (0 for the first), LENGTH at most: a halving search on the ranks, then bytes."""
+    a, b = suffix[:-1].copy(), suffix[1:].copy()
+    lcp = np.zeros(len(suffix), dtype=np.int64)
+    whole = levels[-1][1][a] == levels[-1][1][b]
+    for depth, rank in reversed(levels[:-1]):
+        last = len(data) - 1
+        same = (rank[np.minimum(a, last)] == rank[np.minimum(b, last)]) & (np.maximum(a, b) <= last)
+        lcp[1:][same] += depth
+        a, b = a + depth * same, b + depth * same
+    differ = np.zeros(len(a), dtype=bool)
+    for _ in range(8):  # eight bytes that differ somewhere, or the end
+        inside = np.maximum(a, b) < len(data)
+        differ |= ~inside
+        differ[inside] |= data[a[inside]] != data[b[inside]]
+        lcp[1:] += ~differ
+        a, b = a + 1, b + 1
+    lcp[1:][whole] = LENGTH
+    return np.minimum(lcp, LENGTH)
+
+
+def _by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Rows in order of their first column to lists of rows that share it: one bucket is held at a time."""
+    rows: list[tuple] = []
+    for b in batches:
+        for row in zip(b.column(0).to_pylist(), *(b.column(i) for i in range(1, b.num_columns))):
+            if rows and rows[0][0] != row[0]:
+                yield rows
+                rows = []
+            rows.append((row[0], *(x.as_py() for x in row[1:])))
+    if rows:
+        yield rows
 
 
 def _resolve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Records of whole buckets to (r1, r2, hits): per occurrence, the place of its minimizer and the set of repeated windows."""
-    parts: dict[int, list[bytes]] = {}
-    for b in batches:
-        for bucket, n, z in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
-            parts.setdefault(bucket, []).append(pa.decompress(z.as_buffer(), n * _RECORD.itemsize, codec="zstd", asbytes=True))
-    for bucket in list(parts):
-        records = np.frombuffer(b"".join(parts.pop(bucket)), dtype=_RECORD)
-        yield from _resolve_bucket(records)
+    """Records in order of their buckets to (r1, r2, hits): per occurrence, the place of its minimizer and the set of repeated windows."""
+    for rows in _by_bucket(batches):
+        yield from _resolve_bucket(np.frombuffer(b"".join(pa.decompress(z, n * _RECORD.itemsize, codec="zstd", asbytes=True) for _, n, z in rows), dtype=_RECORD))
 
 
 def _shares_side(segment: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -410,7 +420,7 @@ def _resolve_bucket(records: np.ndarray) -> Iterator[pa.RecordBatch]:
     k = kmer[heads]
     groups = run_starts(k[:, 0], k[:, 1])
     size = np.diff(groups)
-    least = np.repeat(first[:, None], REACH + 1, axis=1)
+    lpf = np.zeros((len(heads), REACH + 1), dtype=np.uint8)
     # a window reaches HALF bytes to the left of the k-mer or to the right of it: segments that share neither side with
     # another one of their k-mer only share the k-mer, and no window
     maybe = _shares_side(records["segment"][heads], np.repeat(np.arange(len(size)), size))
@@ -424,14 +434,16 @@ def _resolve_bucket(records: np.ndarray) -> Iterator[pa.RecordBatch]:
         rows = np.concatenate([np.arange(groups[g], groups[g + 1]) for g in busy[i:j]])
         rows = rows[maybe[rows] > 0]
         some = records[heads[rows]]
-        least[rows] = repeated_windows(np.ascontiguousarray(some["segment"]), some["left"], some["right"], first[rows])
+        lpf[rows] = repeated_windows(np.ascontiguousarray(some["segment"]), some["left"], some["right"], first[rows])
         i = j
     o = np.arange(REACH + 1)
     for x in range(0, len(order), 1 << 18):
         part = order[x : x + (1 << 18)]
         rec = records[part]
         valid = (o >= REACH - rec["left"][:, None].astype(int)) & (o + LENGTH <= REACH + rec["right"][:, None].astype(int))
-        hit = valid & (least[unique[x : x + len(part)]] < rec["id"][:, None])
+        which = unique[x : x + len(part)]
+        # all of a segment that an earlier document holds is repeated; else what LPF says
+        hit = valid & ((first[which] < rec["id"])[:, None] | (lpf[which] >= LENGTH))
         some = hit.any(axis=1)
         if not some.any():
             continue
@@ -484,32 +496,36 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> tupl
     content. cuts: (r1, r2, n_removed, kept_sha256, starts, ends) for each content of which the first document loses bytes."""
     spark = docs.sparkSession
     n = partitions(spark)
-    buckets = 4 * n
+    size = int(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # an estimate by file sizes
+    buckets = max(4 * n, min(1 << 20, (size if size < 1 << 60 else 0) // BUCKET_BYTES))
     body = F.coalesce(F.col(text).cast("binary"), F.lit(b""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), body.alias("text"))
-    packed = rows.mapInArrow(_pack_texts, "r1 long, r2 long, id long, n long, z binary")
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("id"), F.col(id_col).isNull().alias("nameless"), body.alias("text"))
+    packed = rows.select("id", "text").mapInArrow(_pack_texts, "r1 long, r2 long, id long, n long, z binary")
     texts = packed.groupBy("r1", "r2").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("z").alias("z"))
     texts = texts.mapInArrow(_number_blocks, "r1 long, r2 long, id long, n long, z binary, block long, start long")
     name = f"brindle_texts_{uuid.uuid4().hex}"
-    texts.write.bucketBy(n, "r1", "r2").format("parquet").option("compression", "none").option("path", new_folder(spark, "texts")).saveAsTable(name)
+    folder = new_folder(spark, "texts")
+    texts.write.bucketBy(n, "r1", "r2").format("parquet").option("compression", "none").option("path", folder).saveAsTable(name)
     texts = spark.table(name)
     entries = texts.mapInArrow(_entries(buckets), "bucket int, block long, keys binary, places binary")
-    # places that are known already go wherever their block does; entries by bucket
-    shared = entries.repartition(n, F.when(F.col("bucket") < 0, F.col("block")).otherwise(F.col("bucket").cast("long"))).mapInArrow(_shared, "block long, places binary")
+    shared = entries.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "block long, places binary")
     shared = shared.groupBy("block").agg(F.collect_list("places").alias("places"))
     where = texts.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("start", F.col("n"), "r1", "r2"))).alias("d"))
     where = where.withColumn("d", F.filter("d", lambda x: x["n"] > 0)).select("block", F.col("d.start").alias("starts"), F.col("d.r1").alias("r1s"), F.col("d.r2").alias("r2s"))
     places = materialize(shared.join(where, "block").mapInArrow(_to_documents, "r1 long, r2 long, places binary"), "places")
     suspects = texts.select("r1", "r2", "id", "n", "z").join(places, ["r1", "r2"])
     records = suspects.mapInArrow(_segments(buckets), "bucket int, n int, records binary")
-    hits = records.repartition(n, "bucket").mapInArrow(_resolve, "r1 long, r2 long, hits binary")
+    hits = records.repartition(n, "bucket").sortWithinPartitions("bucket").mapInArrow(_resolve, "r1 long, r2 long, hits binary")
     hits = hits.groupBy("r1", "r2").agg(F.collect_list("hits").alias("hits"))
     cuts = texts.select("r1", "r2", "n", "z").join(hits, ["r1", "r2"]).mapInArrow(_cut, "r1 long, r2 long, n_removed long, kept_sha256 string, starts array<long>, ends array<long>")
     sha = F.sha2("text", 256)
     half = lambda i: F.conv(F.substring(sha, i, 16), 16, -10).cast("long")
-    rows = rows.select("id", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"), half(1).alias("r1"), half(17).alias("r2"))
+    rows = rows.select("id", "nameless", F.octet_length("text").cast("long").alias("n_bytes"), sha.alias("sha"), half(1).alias("r1"), half(17).alias("r2"))
     firsts = rows.groupBy("r1", "r2").agg(F.min("id").alias("first"))
-    return rows.join(firsts, ["r1", "r2"]), materialize(cuts, "cuts")
+    cuts = materialize(cuts, "cuts")
+    spark.sql(f"drop table {name}")
+    drop_folders(spark, folder)
+    return rows.join(firsts, ["r1", "r2"]), cuts
 
 
 _EMPTY = hashlib.sha256(b"").hexdigest()
@@ -521,7 +537,7 @@ def repeat_report(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -
     out = rows.join(cuts.select("r1", "r2", "n_removed", F.size("starts").cast("long").alias("n_spans"), "kept_sha256"), ["r1", "r2"], "left")
     copy = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
     return out.select(
-        F.when(F.col("id") != NULL_ID, F.col("id")).alias(id_col),
+        F.when(~F.col("nameless"), F.col("id")).alias(id_col),
         "n_bytes",
         F.when(copy, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(copy, F.lit(1)).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
