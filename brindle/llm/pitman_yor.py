@@ -17,7 +17,8 @@ Distribution: a word's restaurant and those of all contexts that end in it are d
 levels need nothing but the root's numbers for the words in the bucket. Those go up to the words' own partitions, summed per
 bucket, and come back. Words with a share of 1/VERY or more of the tokens (by a sample drawn by hash) are split: their contexts
 are dealt by both words, and their own restaurant is seated with the root; pairs of such a share are dealt by pair and dish,
-and only their totals, at most VERY numbers, are summed on the driver (a pass takes those of the pass before). Words among the most frequent travel as two bytes.
+and only their totals, at most VERY numbers, are summed on the driver (a pass takes those of the pass before). Words among the most frequent travel as two bytes, others as hashes (of 64 bits; 48 where they
+only name a context).
 Counts are 64-bit and exact. What each document's tokens got comes back summed by bucket and document.
 
 Memory: a task holds a bucket at a time (about BUCKET_BYTES of the input, whatever its size). One trigram's tokens always meet
@@ -114,6 +115,17 @@ def _unpack(raw: pa.Buffer) -> list[np.ndarray]:
     return out
 
 
+def _short(h: np.ndarray) -> np.ndarray:
+    """48 bits of hashes: words without a code name a context by these."""
+    return np.ascontiguousarray(h.astype("<u8").view(np.uint8).reshape(len(h), 8)[:, :6]).ravel()
+
+
+def _long(raw: np.ndarray) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), dtype=np.uint8)
+    out[:, :6] = raw.reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<struct<g:int,z:binary>>": pa.list_(pa.struct([("g", pa.int32()), ("z", pa.binary())]))}
     names, types = zip(*(x.split() for x in schema.split(", ")))
@@ -125,7 +137,7 @@ def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
 
 @dataclass(frozen=True)
 class Frequent:
-    """Words that travel as codes (sorted hashes), and the words and pairs that are split (sorted hashes)."""
+    """Words that travel as codes (hashes, the most frequent first), and the words and pairs that are split (sorted hashes)."""
 
     codes: np.ndarray
     words: np.ndarray
@@ -161,7 +173,9 @@ def _frequent(source: DataFrame) -> Frequent:
         return np.array([r["h"] for r in got], dtype=np.int64).view(np.uint64)
 
     words = np.append(top(0, VERY - 2, max(2, total / VERY)), [START, END])
-    return Frequent(np.unique(np.append(top(0, CODES, 2), [START, END])), np.unique(words), np.unique(np.append(top(1, VERY - 1, max(2, total / VERY)), pair_hash(*np.array([[START], [START]])))))
+    codes = np.append([START, END], top(0, CODES, 2)).astype(np.uint64)
+    codes = codes[np.sort(np.unique(codes, return_index=True)[1])]
+    return Frequent(codes, np.unique(words), np.unique(np.append(top(1, VERY - 1, max(2, total / VERY)), pair_hash(*np.array([[START], [START]])))))
 
 
 # -- gathering --------------------------------------------------------------------------------
@@ -172,6 +186,8 @@ _MESSAGE = "bucket int, block long, n long, data binary, extra binary"
 def _gather(f: Frequent, names: np.ndarray):
     """(id, held, text) to messages: each block's tokens by bucket (data: codes, tail hashes; extra: held documents), and its documents (bucket < 0)."""
     buckets = np.uint64(len(names))
+    by_hash = np.argsort(f.codes)
+    table = f.codes[by_hash]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in text_blocks(batches, "text", BLOCK):
@@ -186,8 +202,8 @@ def _gather(f: Frequent, names: np.ndarray):
                 w, start = w[:-1].astype(np.int32), w[-1]
                 two = _before(w, bounds, start)
                 one = _before(two, bounds, start)
-                code = _rank(f.codes, known)
-                code = np.where(code < 0, TAIL, code).astype(np.uint16)
+                place = _rank(table, known)
+                code = np.where(place < 0, TAIL, by_hash[place]).astype(np.uint16)
                 route = mix64(known)[two]
                 very = np.flatnonzero((_rank(f.words, known) >= 0)[two])
                 pair = pair_hash(known[one[very]], known[two[very]])
@@ -203,8 +219,8 @@ def _gather(f: Frequent, names: np.ndarray):
                     at = order[a:b]
                     three = [two[at], one[at], w[at]]
                     coded = [code[x] for x in three]
-                    tails = [known[x[c == TAIL]] for x, c in zip(three, coded)]
-                    out.append((int(names[route[at[0]]]), block, b - a, _pack(*coded, doc[at], *tails), flags))
+                    two_tail, one_tail, tail = (known[x[c == TAIL]] for x, c in zip(three, coded))
+                    out.append((int(names[route[at[0]]]), block, b - a, _pack(*coded, doc[at], _short(two_tail), _short(one_tail), tail), flags))
                 yield _batch(out, _MESSAGE)
 
     return run
@@ -239,13 +255,13 @@ def _sorted_bucket(codes: np.ndarray, parts: list[tuple]) -> tuple[bytes, bytes]
     arrays = [_unpack(pa.py_buffer(p[2])) for p in parts]
     coded = [np.concatenate([a[k] for a in arrays]) for k in range(3)]
     doc = np.concatenate([a[3] for a in arrays])
-    tails = [np.concatenate([a[4 + k] for a in arrays]) for k in range(3)]
+    tails = [_long(np.concatenate([a[4 + k] for a in arrays])) if k < 2 else np.concatenate([a[6] for a in arrays]) for k in range(3)]
     used = np.zeros(1 << 16, dtype=bool)
     for c in coded:
         used[c] = True
     used[TAIL] = False
     known = np.unique(np.concatenate([codes[np.flatnonzero(used)], *tails]))
-    dense = np.zeros(1 << 16, dtype=np.int64)
+    dense = np.zeros(1 << 16, dtype=np.int32)
     dense[np.flatnonzero(used)] = np.searchsorted(known, codes[np.flatnonzero(used)])
     ids = []
     for c, t in zip(coded, tails):
@@ -253,12 +269,12 @@ def _sorted_bucket(codes: np.ndarray, parts: list[tuple]) -> tuple[bytes, bytes]
         x[c == TAIL] = np.searchsorted(known, t)
         ids.append(x)
     two, one, word = ids
-    order = np.argsort(two << 42 | one << 21 | word) if len(known) < 1 << 21 else np.lexsort((word, one, two))
+    order = np.argsort(two.astype(np.int64) << 42 | one.astype(np.int64) << 21 | word) if len(known) < 1 << 21 else np.lexsort((word, one, two))
     two, one, word = two[order], one[order], word[order]
     heads = run_starts(two, one, word)
-    which = np.repeat(np.arange(len(parts)), [p[1] for p in parts])[order]
+    which = np.repeat(np.arange(len(parts), dtype=np.uint32), [p[1] for p in parts])[order]
     step = lambda x: np.diff(x[heads[:-1]], prepend=0).astype("<i4")
-    data = _pack(np.diff(known, prepend=np.uint64(0)), step(two), step(one), word[heads[:-1]].astype("<u4"), np.diff(heads).astype("<u4"), which.astype("<u4"), doc[order])
+    data = _pack(np.diff(known, prepend=np.uint64(0)), step(two), step(one), word[heads[:-1]].astype("<u4"), np.diff(heads).astype("<u4"), which, doc[order])
     return data, _pack(np.array([p[0] for p in parts], dtype="<i8"), np.array([len(p[3]) for p in parts], dtype="<i8"), np.frombuffer(b"".join(p[3] for p in parts), np.uint8))
 
 
@@ -315,16 +331,16 @@ class Section:
     def __init__(self, f: Frequent, data: pa.Buffer, extra: pa.Buffer) -> None:
         known, two, one, word, size, which, self.doc = _unpack(data)
         self.known = np.cumsum(known)
-        two, one, word = np.cumsum(two.astype(np.int64)), np.cumsum(one.astype(np.int64)), word.astype(np.int64)
+        two, one, word = np.cumsum(two, dtype=np.int32), np.cumsum(one, dtype=np.int32), word.astype(np.int32)
         self.word, self.which = word, which
-        self.type = np.repeat(np.arange(len(size)), size)
+        self.type = np.repeat(np.arange(len(size), dtype=np.int32), size)
         self.blocks, self.docs, held = _unpack(extra)
         self.first = np.concatenate([[0], np.cumsum(self.docs)])
         self.trained = held[self.first[self.which] + self.doc] == 0
         self.c3 = np.bincount(self.type, weights=self.trained, minlength=len(size)).astype(np.int64)
         # restaurants of pairs
         heads = run_starts(two, one)
-        self.context = np.repeat(np.arange(len(heads) - 1), np.diff(heads))
+        self.context = np.repeat(np.arange(len(heads) - 1, dtype=np.int32), np.diff(heads))
         head = heads[:-1]
         self.pair = pair_hash(self.known[one[head]], self.known[two[head]])
         self.split = _rank(f.words, self.known)  # by word
@@ -332,8 +348,8 @@ class Section:
         very = self.split[two[head]] >= 0
         self.often[very] = _rank(f.pairs, self.pair[very])
         # dishes of single words' restaurants
-        key = two * len(self.known) + word
-        keys, self.dish = np.unique(key, return_inverse=True)
+        keys, dish = np.unique(two.astype(np.int64) * len(self.known) + word, return_inverse=True)
+        self.dish = dish.astype(np.int32)
         self.rest, self.served = keys // len(self.known), keys % len(self.known)
         self.apart = self.split[self.rest]  # -1: the restaurant is here
         self.present = np.zeros(len(self.known), dtype=bool)
@@ -344,6 +360,11 @@ class Section:
         self.split_pairs = len(f.pairs)
         self.count = np.zeros(len(self.known), dtype=np.int64)
 
+    def without_tokens(self) -> "Section":
+        """Types are enough for sweeps."""
+        del self.which, self.doc, self.type, self.trained
+        return self
+
     def _by_upper(self, uppers: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(upper partition, words present that belong there, dishes of split restaurants that do), in a fixed order."""
         g = (mix64(self.known ^ _C) % np.uint64(uppers)).astype(np.int64)
@@ -502,7 +523,7 @@ def _pass_up(f: Frequent, totals: Totals, uppers: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for bucket, data, extra, down in zip(b.column("bucket").to_pylist(), b.column("data"), b.column("extra"), b.column("down")):
-                s = Section(f, data.as_buffer(), extra.as_buffer())
+                s = Section(f, data.as_buffer(), extra.as_buffer()).without_tokens()
                 s.come_down(down, uppers)
                 for _ in s.sweeps(totals, SWEEPS):
                     pass

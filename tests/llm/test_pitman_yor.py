@@ -56,17 +56,16 @@ def seated(n, others, p, theta, d, key, sweep):
 
 
 class Plain:
-    def __init__(self, trained, split, pairs):
+    def __init__(self, trained, split, pairs, codes):
         """trained: lists of word hashes. split, pairs: hashes of words and pairs whose restaurants are seated with the root."""
         self.split, self.pairs = split, pairs
         self.c3 = Counter()
         self.c1 = Counter()
+        self.codes = codes
         for words in trained:
-            one = two = int(P.START)
-            for w in words:
+            for one, two, w in self.contexts(words):
                 self.c3[one, two, w] += 1
                 self.c1[w] += 1
-                one, two = two, w
         self.words = len(self.c1)
         t3 = dict.fromkeys(self.c3, 1)
         n2 = Counter((two, w) for _, two, w in self.c3)
@@ -114,6 +113,14 @@ class Plain:
         startt = {k: (hot[k] if k[0] in split else 1) for k in n2}
         self.kept = self.lower(dict(t3), start2, startt, n, t1, split_n, split_t, pair_t)[-P.KEPT :]
 
+    def contexts(self, words):
+        """Words that have no code name contexts by 48 bits."""
+        short = lambda h: h if h in self.codes else h & (1 << 48) - 1
+        one = two = int(P.START)
+        for w in words:
+            yield one, two, w
+            one, two = two, short(w)
+
     def p_root(self, n, t):
         d = self.d[0]
         return (n - d * t + (P.STRENGTH[0] + d * self.root[1]) / (self.words + 1)) / (P.STRENGTH[0] + self.root[0])
@@ -170,12 +177,7 @@ class Plain:
         return total / P.KEPT
 
     def score(self, words):
-        one = two = int(P.START)
-        total = 0.0
-        for w in words:
-            total += math.log10(self.probability(one, two, w))
-            one, two = two, w
-        return total
+        return sum(math.log10(self.probability(*x)) for x in self.contexts(words))
 
 
 def corpus(seed=5):
@@ -214,7 +216,7 @@ def test_scores_equal_a_plain_sampler(spark, monkeypatch, very):
                 pairs[one, two] = True
             one, two = two, w
     assert len(pairs) >= 1
-    plain = Plain([tokens[i] for i, held, _ in rows if not held], set(map(int, f.words)), set(pairs))
+    plain = Plain([tokens[i] for i, held, _ in rows if not held], set(map(int, f.words)), set(pairs), set(map(int, f.codes)))
     want = {i: plain.score(w) for i, w in tokens.items()}
     for n in (2, 7):
         got = score(spark, rows, n)
@@ -241,7 +243,7 @@ def test_probabilities_of_a_context_sum_to_one(spark):
     source = spark.createDataFrame([(i, t.encode()) for i, held, t in rows if not held], "id long, text binary")
     f = P._frequent(source)
     tokens = {i: [word_hash(w) for w in t.split()] + [word_hash(None)] for i, _, t in rows}
-    plain = Plain([tokens[0], tokens[1]], set(map(int, f.words)), set())
+    plain = Plain([tokens[0], tokens[1]], set(map(int, f.words)), set(), set(map(int, f.codes)))
     a, b, end, start = word_hash("a"), word_hash("b"), word_hash(None), int(P.START)
     before = math.log10(plain.probability(start, start, a)) + math.log10(plain.probability(start, a, b))
     total = sum(10 ** (got[10 + i].score - before - math.log10(plain.probability(b, word_hash(w), end))) for i, w in enumerate(["a", "b", "c", "d", "zzz"]))
