@@ -16,13 +16,15 @@ from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..encoding import Encoding
 from ..functions import text as T
+from ..sources.scratch import written
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df, dealt out evenly if it lies in fewer files than there are cores: a small file is often one row group, which one
-    task reads, while encoding is bound by CPU. A table of many files is left as it is, so nothing is shuffled at scale."""
+    """df, dealt out evenly if Spark would read it in fewer partitions than there are cores: a small file is often one row group,
+    which one task reads, while encoding is bound by CPU. Rows are the same either way; columns that nobody asks for aren't dealt."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
+    return df.repartition(cores) if parts < cores else df
 
 
 @F.arrow_udf(StructType([StructField("starts", ArrayType(LongType())), StructField("ends", ArrayType(LongType()))]))
@@ -78,16 +80,20 @@ def token_budget(df: DataFrame, by: Sequence[str], text: str, enc: Encoding, set
     return grouped.agg(F.count(F.lit(1)).alias("documents"), F.sum("_n").alias("tokens"), F.avg("_n").alias("mean_tokens"), F.max("_n").alias("most_tokens"))
 
 
-def decode_rows(tokens: DataFrame, vocabulary: DataFrame, keys: Sequence[str], pos: str = "pos", token_id: str = "id") -> DataFrame:
+def decode_rows(tokens: DataFrame, vocabulary: DataFrame, keys: Sequence[str], pos: str = "pos", token_id: str = "id", documents: DataFrame | None = None) -> DataFrame:
     """(keys, bytes) of token rows, all relational: join with the vocabulary (a bounded table), then an ordered listagg.
 
-    An id that the vocabulary lacks fails the query.
+    An id that the vocabulary lacks fails the query. documents: all keys; those without any token get no bytes (an empty
+    value), else they are left out.
     """
     known = vocabulary.select(F.col("id").alias("_id"), "bytes")
     joined = tokens.join(F.broadcast(known), tokens[token_id] == known["_id"], "left")
     checked = joined.withColumn("bytes", F.when(F.col("_id").isNull(), F.raise_error(F.concat(F.lit("unknown token id "), F.col(token_id)))).otherwise(F.col("bytes")))
     ordered = checked.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(pos, "bytes"))).alias("_b"))
-    return ordered.select(*keys, F.concat_ws("", F.transform("_b", lambda b: F.hex(b["bytes"]))).alias("_hex")).select(*keys, F.unhex("_hex").alias("bytes"))
+    decoded = ordered.select(*keys, F.concat_ws("", F.transform("_b", lambda b: F.hex(b["bytes"]))).alias("_hex")).select(*keys, F.unhex("_hex").alias("bytes"))
+    if documents is None:
+        return decoded
+    return documents.select(*keys).join(decoded, list(keys), "left").select(*keys, F.coalesce("bytes", F.lit(b"")).alias("bytes"))
 
 
 def split_documents(df: DataFrame, keys: Sequence[str], text: str, separator: str = "\n\n") -> DataFrame:
@@ -100,11 +106,12 @@ def split_documents(df: DataFrame, keys: Sequence[str], text: str, separator: st
 def prefix_offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
     """(key, start, end): running sums of size in order of key, over any number of rows.
 
-    Rows are dealt to key ranges; a table with one row per range holds the sums before each; within a range a window adds up.
-    No task sees more than its range, but for that small table.
+    The sizes are written once, so that whatever makes them runs once; then they are dealt to key ranges, sorted and written with
+    the number of their range. A table with one row per range holds the sums before each; within a range a window adds up.
     """
     n = max(1, int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = sizes.select(key, size).repartitionByRange(n, key).withColumn("_part", F.spark_partition_id())
+    once = written(sizes.select(key, size), "sizes")
+    dealt = written(once.repartitionByRange(n, key).withColumn("_part", F.spark_partition_id()), "ranges")
     sums = dealt.groupBy("_part").agg(F.sum(size).alias("_sum"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_part", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
@@ -115,16 +122,32 @@ def prefix_offsets(sizes: DataFrame, key: str, size: str) -> DataFrame:
 
 def csr_offsets(df: DataFrame, key: str, text: str, enc: Encoding) -> DataFrame:
     """(key, start, end): where each document's tokens stand in the flat token array of the corpus, in order of key."""
-    sizes = df.select(key, F.coalesce(F.size(T.encode(text, enc)), F.lit(0)).cast("long").alias("n"))
+    sizes = df.select(key, F.coalesce(T.count_tokens(text, enc), F.lit(0)).cast("long").alias("n"))
     return prefix_offsets(sizes, key, "n")
 
 
 def flat_batch(df: DataFrame, key: str, text: str, enc: Encoding) -> DataFrame:
-    """(key, ids, start, end): encoded documents with their places in the flat array."""
-    encoded = df.select(key, F.coalesce(T.encode(text, enc), F.array().cast("array<int>")).alias("ids"))
+    """(key, ids, start, end): encoded documents with their places in the flat array. Texts are encoded once."""
+    encoded = written(df.select(key, F.coalesce(T.encode(text, enc), F.array().cast("array<int>")).alias("ids")), "encoded")
     return encoded.join(prefix_offsets(encoded.select(key, F.size("ids").cast("long").alias("n")), key, "n"), key)
 
 
+def to_numpy(encoded: DataFrame, key: str, ids: str = "ids", most: int = 1 << 28):
+    """(tokens uint32, offsets int64, keys) of encoded documents in order of key, for a caller on the driver.
+
+    It is for results that fit there: more than `most` tokens are refused, before anything is brought.
+    """
+    import numpy as np
+
+    total = encoded.agg(F.sum(F.greatest(F.size(ids), F.lit(0)).cast("long"))).first()[0] or 0
+    if total > most:
+        raise ValueError(f"{total} tokens are more than {most}: write them with write_flat instead")
+    table = encoded.select(F.col(key).alias("k"), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("i")).orderBy("k").toArrow()
+    column = table.column("i").combine_chunks()
+    sizes = [0] if not len(table) else np.concatenate([[0], np.diff(column.offsets.to_numpy())])
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.uint32), np.cumsum(sizes, dtype=np.int64), table.column("k").to_pylist()
+
+
 def mismatches(a: DataFrame, b: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """(keys, left, right) where two encodings of the same rows differ, rows of one side only included."""
     left, right = (x.select(*keys, F.col(value).alias(name), F.lit(True).alias(f"_{name}")) for x, name in ((a, "left"), (b, "right")))

@@ -6,7 +6,7 @@ These tables are bounded by the limits of an encoding (2**18 tokens of 255 bytes
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..encoding import Encoding
@@ -29,9 +29,9 @@ def vocabulary_stats(spark: SparkSession, enc: Encoding) -> DataFrame:
 
 
 def token_byte_values(spark: SparkSession, enc: Encoding) -> DataFrame:
-    """(rank, bytes) of the ordinary tokens, rank being the place in byte order (from 0)."""
-    ordered = [(i, bytes(b)) for i, b in enumerate(enc.token_byte_values())]
-    return spark.createDataFrame(ordered, "place int, bytes binary")
+    """(place, bytes) of the ordinary tokens in byte order, place counting from 0. The table is bounded, so one window numbers it."""
+    order = Window.orderBy("bytes")
+    return vocabulary(spark, enc).where("not special").select((F.row_number().over(order) - 1).alias("place"), "bytes")
 
 
 def special_tokens(spark: SparkSession, enc: Encoding) -> DataFrame:
@@ -71,6 +71,15 @@ def longest_matches(df: DataFrame, key: str, raw: str, enc: Encoding) -> DataFra
     return cut.join(known, "_p").groupBy(key).agg(F.max_by("id", "len").alias("id"), F.max("len").alias("len"))
 
 
+def pair_lookup(pairs: DataFrame, enc: Encoding, left: str = "left", right: str = "right") -> DataFrame:
+    """pairs with id: the ordinary token whose bytes are those of both tokens together, null if there is none. Unknown ids are left out."""
+    v = vocabulary(pairs.sparkSession, enc).where("not special")
+    one, two = (F.broadcast(v.select(F.col("id").alias("_i" + s), F.col("bytes").alias("_b" + s))) for s in "lr")
+    both = pairs.join(one, F.col(left) == F.col("_il")).join(two, F.col(right) == F.col("_ir"))
+    known = F.broadcast(v.select(F.col("bytes").alias("_m"), "id"))
+    return both.join(known, F.concat("_bl", "_br") == F.col("_m"), "left").select(left, right, "id")
+
+
 def merge_table(spark: SparkSession, enc: Encoding) -> DataFrame:
     """(left, right, id): the two tokens that merging joins last to make each token; tokens that no merge reaches are left out."""
     ranks = dict(enc.ranks)
@@ -102,8 +111,6 @@ class _Below:
 
 def unicode_classes(spark: SparkSession, classes: dict[str, str] | None = None) -> DataFrame:
     """(class, lo, hi): maximal ranges of code points per class, as this engine's regex sees them (islands and gaps)."""
-    from pyspark.sql import Window
-
     # The classes that the grammars use.
     classes = classes or {"L": r"\p{L}", "N": r"\p{N}", "S": r"\s", "UPPER": r"[\p{Lu}\p{Lt}\p{Lm}\p{Lo}\p{M}]", "LOWER": r"[\p{Ll}\p{Lm}\p{Lo}\p{M}]"}
     points = spark.range(0x110000).where("id < 55296 or id > 57343").select(F.col("id").alias("cp"))

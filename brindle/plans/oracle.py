@@ -67,6 +67,23 @@ bpe as materialized (
   select parts.piece, parts.k, v.r from parts join v on v.tok = parts.tok)"""
 
 
+#: made(r, a, b): tokens of two bytes and more that come out as two parts if only merges of lower rank are done.
+MERGE_TABLE = """
+s0 as (select r, list_transform(range(1, octet_length(tok) + 1), lambda i: unhex(substr(hex(tok), 2 * i - 1, 2))) as toks, true as go from v where octet_length(tok) > 1),
+rec as (
+  select r, toks, go from s0
+  union all
+  select x.r,
+    case when m.i is null then x.toks else list_concat(list_concat(x.toks[1:m.i-1], [x.toks[m.i] || x.toks[m.i+1]]), x.toks[m.i+2:]) end,
+    m.i is not null
+  from rec x left join (
+    select y.r, arg_min(y.i, v.r::bigint * 1000000 + y.i) as i
+    from (select r, unnest(range(1, len(toks))) as i, toks from rec where go and len(toks) > 1) y
+    join v on v.tok = y.toks[y.i] || y.toks[y.i+1] and v.r < y.r group by y.r) m on m.r = x.r
+  where x.go),
+made as (select r, toks[1] as a, toks[2] as b from rec where not go and len(toks) = 2)"""
+
+
 def encoded(rows: str, keys: str, grammar: str, path: str, offset: int = 0) -> str:
     """A WITH clause that ends in enc(keys, pos, id)."""
     return f"""with recursive {vocabulary_cte(path)}, {pieces_cte(rows, keys, grammar)}, {MERGE_CTES},

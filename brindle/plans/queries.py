@@ -6,26 +6,26 @@ A query returns scalar columns (arrays are exploded or joined), so that results
 from __future__ import annotations
 
 import functools
+import json
 import os
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..encoding import Encoding, byte_encoding
+from ..functions.boundaries import all_texts, unnormalised
 from ..functions import text as T
 from ..operators import tokens as ops
 from ..operators import views, vocabulary
 from ..sources import flat, importer
-from ..sources.files import read_rank_list
+from ..sources.files import load_encoding, read_rank_list, write_encoding
+from ..sources.scratch import new_folder
 from ..streaming import tokens as streams
 from . import oracle
 
 #: A public rank list; another path may be set. It is read, never copied.
 RANKS = os.environ.get("BRINDLE_RANKS", "/opt/tokenizers/byte_bpe_50k.tiktoken")
-TOKENIZER_JSON = os.environ.get("BRINDLE_TOKENIZER_JSON", "/opt/tokenizers/byte_bpe_50k.json")
 SPECIALS = {"<|endoftext|>": 50256, "<|im_start|>": 50257, "<|im_end|>": 50258}
 GRAMMARS = ("cl100k", "llama3", "qwen", "o200k", "tekken")
 OFFSET = 1000
@@ -44,15 +44,6 @@ def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.spread(_read(spark, sf_dir, "documents"))
 
 
-def _shared(spark: SparkSession, label: str) -> str:
-    """A new folder that driver and executors share (spark.checkpoint.dir; where that is unset, as in tests, one of our own)."""
-    sc = spark.sparkContext
-    base = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not base:
-        sc.setCheckpointDir(base := "file://" + tempfile.mkdtemp(prefix="brindle-"))
-    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-
-
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -79,7 +70,7 @@ def _encoded(select: str, grammar: str = "llama3", rows: str = DOCS, keys: str =
 
 
 def _pretok(grammar: str, table: str, keys: list[str], text: str) -> Query:
-    return lambda spark, sf_dir: ops.piece_rows(_read(spark, sf_dir, table), keys, text, grammar)
+    return lambda spark, sf_dir: ops.piece_rows(ops.spread(_read(spark, sf_dir, table)), keys, text, grammar)
 
 
 for _g in GRAMMARS:
@@ -127,9 +118,9 @@ def encode_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.token_rows(_read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", encoding("o200k"))
 
 
-@_query("encode_pages_counts", _encoded("select page_id, count(*)::int as n_tokens from enc group by page_id", "llama3", "select page_id, html as text from pages", "page_id"))
+@_query("encode_pages_counts", _encoded("select p.page_id, count(enc.id)::int as n_tokens from pages p left join enc using (page_id) group by 1", "llama3", "select page_id, html as text from pages", "page_id"))
 def encode_pages_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "pages").select("page_id", T.count_tokens("html", encoding()).alias("n_tokens")).where("n_tokens > 0")
+    return _read(spark, sf_dir, "pages").select("page_id", T.count_tokens("html", encoding()).alias("n_tokens"))
 
 
 @_query("encode_id_offset", _encoded("select doc_id, pos, id from enc", "tekken", offset=OFFSET))
@@ -261,11 +252,12 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", T.decode(T.encode("text", enc), enc, errors="strict").alias("text"))
 
 
-@_query("decode_rows", "select conv_id, turn, hex(encode(text)) as bytes from conversations where text <> ''")
+@_query("decode_rows", "select conv_id, turn, hex(encode(coalesce(text, ''))) as bytes from conversations")
 def decode_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = encoding()
-    rows = ops.token_rows(_read(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text", enc)
-    return ops.decode_rows(rows, vocabulary.vocabulary(spark, enc), ["conv_id", "turn"]).select("conv_id", "turn", F.hex("bytes").alias("bytes"))
+    turns = _read(spark, sf_dir, "conversations")
+    rows = ops.token_rows(turns, ["conv_id", "turn"], "text", enc)
+    return ops.decode_rows(rows, vocabulary.vocabulary(spark, enc), ["conv_id", "turn"], documents=turns).select("conv_id", "turn", F.hex("bytes").alias("bytes"))
 
 
 @_query("decode_special", f"select doc_id, {_MARKED} as text from documents")
@@ -291,7 +283,7 @@ def binary_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("flat_roundtrip", _encoded("select d.doc_id, count(enc.id)::int as n_tokens, coalesce(sum(enc.id), 0)::bigint as id_sum from documents d left join enc using (doc_id) group by 1"))
 def flat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Through flat token files and back."""
-    folder = _shared(spark, "flat")
+    folder = new_folder(spark, "flat")
     flat.write_flat(_docs(spark, sf_dir).select("doc_id", T.encode("text", encoding()).alias("ids")), folder)
     total = F.aggregate("ids", F.lit(0).cast("long"), lambda a, x: a + x)
     return flat.read_flat(spark, folder).select(F.col("key").alias("doc_id"), F.size("ids").alias("n_tokens"), total.alias("id_sum"))
@@ -300,6 +292,7 @@ def flat_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- vocabulary -------------------------------------------------------------------------------
 
 _V = "with " + oracle.vocabulary_cte(RANKS)
+_SPECIAL_ROWS = "specials as (select * from (values (50256, '<|endoftext|>'), (50257, '<|im_start|>'), (50258, '<|im_end|>')) as t(r, content))"
 
 
 @_query("vocabulary_stats", f"{_V} select count(*) as vocab_size, 3::bigint as n_specials, 50259::bigint as n_vocab, 50258::bigint as max_token_value, max(octet_length(tok))::bigint as max_len, sum(octet_length(tok))::bigint as total_bytes from v")
@@ -330,9 +323,9 @@ def single_token_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.encode_single_tokens(pieces, "piece", encoding())
 
 
-@_query("single_token_bytes", f"{_V} select o_orderkey, hex(v.tok) as bytes from orders left join v on v.r = o_orderkey where o_orderkey not between 50256 and 50258")
+@_query("single_token_bytes", f"{_V}, {_SPECIAL_ROWS}, every as (select r, hex(tok) as bytes from v union all select r, hex(encode(content)) from specials) select o_orderkey, bytes from orders left join every on r = o_orderkey")
 def single_token_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _read(spark, sf_dir, "orders").where("o_orderkey not between 50256 and 50258").select("o_orderkey")
+    rows = _read(spark, sf_dir, "orders").select("o_orderkey")
     return vocabulary.decode_single_tokens(rows, "o_orderkey", encoding()).select("o_orderkey", F.hex("bytes").alias("bytes"))
 
 
@@ -352,7 +345,7 @@ def longest_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.longest_matches(_docs(spark, sf_dir), "doc_id", "text", encoding())
 
 
-@_query("merge_table")
+@_query("merge_table", f"{_V.replace('with ', 'with recursive ')}, {oracle.MERGE_TABLE} select l.r as \"left\", x.r as \"right\", made.r as id from made join v l on l.tok = made.a join v x on x.tok = made.b")
 def merge_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.merge_table(spark, encoding())
 
@@ -362,6 +355,78 @@ def unicode_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary.unicode_classes(spark)
 
 
+@_query("pair_lookup", _encoded(", pairs as (select distinct id as \"left\", lead(id) over (partition by doc_id order by pos) as \"right\" from enc) select p.\"left\", p.\"right\", m.r as id from pairs p join v a on a.r = p.\"left\" join v b on b.r = p.\"right\" left join v m on m.tok = a.tok || b.tok"))
+def pair_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of tokens that stand next to each other, with the token that both together would be."""
+    ids = _docs(spark, sf_dir).select(T.encode("text", encoding()).alias("ids"))
+    pairs = ids.select(F.explode(F.arrays_zip(F.slice("ids", F.lit(1), F.greatest(F.size("ids") - 1, F.lit(0))).alias("left"), F.slice("ids", 2, F.greatest(F.size("ids"), F.lit(0))).alias("right"))).alias("p"))
+    return vocabulary.pair_lookup(pairs.select("p.left", "p.right").distinct(), encoding())
+
+
+@_query("encoding_files", f"{_V}, {_SPECIAL_ROWS} select r as id, hex(tok) as bytes, false as special from v union all select r, hex(encode(content)), true from specials")
+def encoding_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written as .vocab, .special and .enc, and loaded by name."""
+    folder = new_folder(spark, "encodings")
+    write_encoding(encoding(), folder, "mine")
+    return vocabulary.vocabulary(spark, load_encoding("mine", folder)).select("id", F.hex("bytes").alias("bytes"), "special")
+
+
+@_query("tokenizer_json", f"{_V} select r as id, hex(tok) as bytes, false as special from v union all select 50256, hex(encode('<|endoftext|>')), true")
+def tokenizer_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    signs = {b: c for c, b in importer.byte_alphabet().items()}
+    split = {"type": "Split", "pattern": {"Regex": _pattern("llama3")}, "behavior": "Isolated", "invert": False}
+    steps = [split, {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}]
+    vocab = {"".join(signs[x] for x in b): r for b, r in encoding().ranks.items()} | {"<|endoftext|>": 50256}
+    top = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": steps}, "model": {"type": "BPE", "vocab": vocab}, "added_tokens": [{"content": "<|endoftext|>", "id": 50256}]}
+    enc = importer.to_encoding(importer.parse_tokenizer_json(json.dumps(top).encode()), "imported")
+    return vocabulary.vocabulary(spark, enc).select("id", F.hex("bytes").alias("bytes"), "special")
+
+
+def _tekken(used: int = 40_000, reserved: int = 10) -> dict:
+    """A tekken definition of the rank list's first ranks."""
+    import base64
+
+    tokens = [{"rank": r, "token_bytes": base64.b64encode(b).decode()} for b, r in encoding().ranks.items()]
+    return {"config": {"pattern": _pattern("tekken"), "default_vocab_size": used + reserved, "default_num_special_tokens": reserved}, "vocab": tokens, "special_tokens": [{"rank": 1, "token_str": "<s>"}]}
+
+
+@_query("tekken_json", f"{_V} select r + 10 as id, hex(tok) as bytes, false as special from v where r < 40000 union all select 1, hex(encode('<s>')), true")
+def tekken_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = importer.to_encoding(importer.parse_tekken(json.dumps(_tekken()).encode()), "tekken")
+    return vocabulary.vocabulary(spark, enc).select("id", F.hex("bytes").alias("bytes"), "special")
+
+
+@_query("import_refusals", "select * from (values ('as it is', false), ('lower-casing', true), ('two splits', true), ('another model', true), ('byte fallback', true), ('another pattern', true), ('prefix space', true), ('no pattern', true)) as t(what, refused)")
+def import_refusals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Definitions that the engine would not follow exactly are refused."""
+    split = {"type": "Split", "pattern": {"Regex": _pattern("llama3")}, "behavior": "Isolated", "invert": False}
+    level = {"type": "ByteLevel", "add_prefix_space": False, "use_regex": False}
+    plain = {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [split, level]}, "model": {"type": "BPE", "vocab": {c: i for i, c in enumerate(importer.byte_alphabet())}}}
+    steps = lambda *s: {"pre_tokenizer": {"type": "Sequence", "pretokenizers": list(s)}}
+    changes = {
+        "as it is": {}, "lower-casing": {"normalizer": {"type": "Lowercase"}}, "two splits": steps(split, split, level), "another model": {"model": {"type": "Unigram"}},
+        "byte fallback": {"model": plain["model"] | {"byte_fallback": True}}, "another pattern": steps(split | {"pattern": {"Regex": ".+"}}, level), "prefix space": steps(split, level | {"add_prefix_space": True}), "no pattern": steps(level),
+    }
+
+    def refused(change: dict) -> bool:
+        try:
+            importer.to_encoding(importer.parse_tokenizer_json(json.dumps(plain | change).encode()), "x")
+        except importer.ImportRefused:
+            return True
+        return False
+
+    return spark.createDataFrame([(what, refused(change)) for what, change in changes.items()], "what string, refused boolean")
+
+
+_BOUNDARIES = "select i, decode(unhex(h)) as text from (values " + ", ".join(f"({i}, '{t.encode().hex()}')" for i, t in enumerate(all_texts())) + ") as t(i, h)"
+
+
+@_query("encode_boundaries", _encoded("select i, pos, id from enc", "o200k", _BOUNDARIES, "i"))
+def encode_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts on both sides of every boundary that the grammars draw."""
+    return ops.token_rows(spark.createDataFrame(list(enumerate(all_texts())), "i int, text string"), ["i"], "text", encoding("o200k"))
+
+
 # -- texts ------------------------------------------------------------------------------------
 
 
@@ -370,19 +435,20 @@ def split_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.split_documents(_read(spark, sf_dir, "pages"), ["page_id"], "html", "</p>")
 
 
-_NOT_NFC = "text || 'e' || chr(769) || chr(9001) || 'a' || chr(769) || 'z'"
+_CHANGES = "".join(unnormalised()) + "z"
+_NOT_NFC = "text || " + " || ".join(f"chr({ord(c)})" for c in _CHANGES)
 
 
 @_query("nfc_docs", f"select doc_id, nfc_normalize({_NOT_NFC}) as text, false as was_nfc, true as is_nfc from documents")
 def nfc_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat("text", F.lit("é〈áz"))
+    raw = F.concat("text", F.lit(_CHANGES))
     out = _docs(spark, sf_dir).select("doc_id", T.nfc(raw).alias("text"), T.is_nfc(raw).alias("was_nfc"))
     return out.withColumn("is_nfc", T.is_nfc("text"))
 
 
 @_query("encode_nfc", _encoded("select doc_id, pos, id from enc", "qwen", f"select doc_id, nfc_normalize({_NOT_NFC}) as text from documents"))
 def encode_nfc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.concat("text", F.lit("é〈áz"))
+    raw = F.concat("text", F.lit(_CHANGES))
     return ops.token_rows(_docs(spark, sf_dir).select("doc_id", raw.alias("text")), ["doc_id"], "text", encoding("qwen", nfc=True))
 
 
@@ -396,13 +462,15 @@ def sql_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql("SELECT doc_id, size(ids) AS n_tokens, tok_decode(ids) AS decoded FROM (SELECT doc_id, tok_encode(text) AS ids FROM brindle_documents)")
 
 
-@_query("import_verify", "select 0::bigint as mismatches, 50256::int as vocab_size where false")
+@_query("import_verify", "select count(text) as texts, 0::bigint as mismatches, 50256::int as vocab_size from documents")
 def import_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts that a published definition's own library encodes in another way than the engine: none."""
     enc = encoding("llama3")
     reference = importer.library_reference(RANKS, importer.Definition(dict(enc.ranks), {}, _pattern("llama3")))
-    bad = importer.verify(_docs(spark, sf_dir), enc, reference)
-    return bad.groupBy().agg(F.count(F.lit(1)).alias("mismatches")).where("mismatches > 0").select("mismatches", F.lit(enc.vocab_size).alias("vocab_size"))
+    docs = _docs(spark, sf_dir)
+    bad = importer.verify(docs, enc, reference).select(F.lit(0).alias("t"), F.lit(1).alias("m"))
+    both = bad.union(docs.select(F.col("text").isNotNull().cast("int"), F.lit(0)))
+    return both.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("texts"), F.coalesce(F.sum("m"), F.lit(0)).alias("mismatches"), F.lit(enc.vocab_size).alias("vocab_size"))
 
 
 def _pattern(grammar: str) -> str:
@@ -422,7 +490,7 @@ def _stream(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 @_query("stream_encode", _encoded("select c.conv_id, c.turn, count(enc.id)::int as n_tokens from conversations c left join enc using (conv_id, turn) group by all", "llama3", "select conv_id, turn, text from conversations", "conv_id, turn"))
 def stream_encode(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = streams.encode_stream(_stream(spark, sf_dir, "conversations"), "text", encoding()).select("conv_id", "turn", F.size("ids").alias("n_tokens"))
-    return streams.run_available(out, _shared(spark, "stream"))
+    return streams.run_available(out, new_folder(spark, "stream"))
 
 
 @_query("windowed_token_counts", _encoded("select time_bucket(interval '1 hour', ts) as window_start, event_type, count(*) as documents, sum(n)::bigint as tokens from (select event_id, ts, event_type, count(enc.id) as n from events left join enc using (event_id) group by all) as x group by all", "llama3", "select event_id, props as text from events", "event_id"))
@@ -430,12 +498,13 @@ def windowed_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streams.windowed_token_counts(_read(spark, sf_dir, "events"), "ts", "props", encoding(), by=("event_type",))
 
 
-@_query("stream_detokenize", "select conv_id::varchar as \"key\", 0::bigint as first_pos, text from conversations where turn = 0 and text <> ''")
+@_query("stream_detokenize", "select conv_id || ':' || turn as \"key\", 0::bigint as first_pos, text from conversations where text <> ''")
 def stream_detokenize(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """First turns, as a stream of tokens, back to text by a stateful decoder."""
+    """All turns, as a stream of tokens, back to text by a stateful decoder (a turn without tokens isn't in such a stream)."""
     enc = encoding()
-    rows = ops.token_rows(_stream(spark, sf_dir, "conversations").where("turn = 0"), ["conv_id"], "text", enc)
-    return streams.run_available(streams.detokenize_stream(rows, "conv_id", "pos", "id", enc), _shared(spark, "detokenize"))
+    turns = _stream(spark, sf_dir, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn"))
+    rows = ops.token_rows(turns, ["key"], "text", enc)
+    return streams.run_available(streams.detokenize_stream(rows, "key", "pos", "id", enc, gapless=True), new_folder(spark, "detokenize"))
 
 
 def queries() -> dict[str, Query]:

@@ -34,14 +34,26 @@ def conversion_records(raw: bytes) -> Iterator[tuple[str | None, str]]:
             yield uri.decode("utf-8", "replace") if uri is not None else None, body.decode("utf-8", "replace")
 
 
+def _records(rows: list[tuple]) -> pa.RecordBatch:
+    file, record, uri, text = zip(*rows)
+    return pa.RecordBatch.from_arrays([pa.array(file, pa.string()), pa.array(record, pa.int64()), pa.array(uri, pa.string()), pa.array(text, pa.string())], names=["file", "record", "uri", "text"])
+
+
 def read_wet(spark: SparkSession, path: str) -> DataFrame:
     """(file, record, uri, text) of WET archives; an archive is one task's unit and streams out record by record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for name, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                rows, size = [], 0
                 for i, (uri, text) in enumerate(conversion_records(raw)):
-                    yield pa.RecordBatch.from_pydict({"file": [name], "record": pa.array([i], pa.int64()), "uri": pa.array([uri], pa.string()), "text": [text]})
+                    rows.append((name, i, uri, text))
+                    size += len(text)
+                    if len(rows) == 1000 or size > 1 << 22:
+                        yield _records(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield _records(rows)
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(run, "file string, record long, uri string, text string")

@@ -141,7 +141,8 @@ def load_encoding(name: str, data_dir: str) -> Encoding:
 def write_encoding(enc: Encoding, data_dir: str, name: str | None = None) -> None:
     """.vocab, .special and, last of all, .enc: an encoding shows up only when it is whole."""
     name = name or enc.name
-    os.makedirs(data_dir, exist_ok=True)
+    if not re.match(r"[A-Za-z][\w+.-]+:/", data_dir):
+        os.makedirs(data_dir, exist_ok=True)
     _put(f"{data_dir}/{name}.vocab", vocab_bytes(enc.ranks))
     _put(f"{data_dir}/{name}.special", special_bytes(enc.specials))
     lines = [f"scanner={enc.grammar}"] + ["nfc=1"] * enc.nfc + [f"id_offset={enc.id_offset}"] * bool(enc.id_offset)
@@ -159,6 +160,20 @@ def special_bytes(specials: Mapping[str, int]) -> bytes:
 
 
 def _put(path: str, data: bytes) -> None:
+    """A (small) file, whole or not at all; a path with a scheme goes through Spark's file systems."""
+    if re.match(r"[A-Za-z][\w+.-]+:/", path):
+        spark = SparkSession.getActiveSession()
+        if spark is None:
+            raise RuntimeError(f"{path}: a SparkSession is needed to write it")
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        part, whole = hadoop.Path(path + ".tmp"), hadoop.Path(path)
+        system = whole.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+        out = system.create(part, True)
+        out.write(bytearray(data))
+        out.close()
+        system.delete(whole, False)
+        system.rename(part, whole)
+        return
     with open(path + ".tmp", "wb") as f:
         f.write(data)
     os.replace(path + ".tmp", path)

@@ -1,8 +1,10 @@
 """Flat token files as a Spark data source: format "flattokens".
 
 A shard is `part-<number>-<attempt>.tokens`: u32 token ids, little endian, one document after another; `.offsets` beside it
-holds u64 n+1 offsets and `.keys` i64 keys. Tasks write under a name of their own and the driver publishes, on commit, a
-manifest that lists the shards of successful tasks, so that lost or repeated tasks leave nothing that a reader would see.
+holds u64 n+1 offsets, `.keys` i64 keys and `.known` a byte for each key, 0 where it is null. Tasks write under a name of
+their own and the driver publishes, on each commit, one more manifest (MANIFEST-<commit>.json) that lists the shards of
+successful tasks, so that lost or repeated tasks leave nothing that a reader would see and appends add to what is there. An
+overwriting commit deletes the manifests before it once its own stands.
 Paths go through pyarrow's file systems (local, s3://, gs://, hdfs://); on a cluster the folder must be shared.
 """
 
@@ -21,7 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, InputPartition, WriterCommitMessage
 
 SCHEMA = "key bigint, ids array<int>"
-MANIFEST = "MANIFEST.json"
+MANIFEST = "MANIFEST-"
+KINDS = ("tokens", "offsets", "keys", "known")
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -42,6 +45,11 @@ class ShardPartition(InputPartition):
     name: str
 
 
+def _manifests(system: fs.FileSystem, root: str) -> list[str]:
+    files = system.get_file_info(fs.FileSelector(root, allow_not_found=True))
+    return sorted(f.path for f in files if f.base_name.startswith(MANIFEST))
+
+
 class FlatTokens(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -51,15 +59,15 @@ class FlatTokens(DataSource):
         return SCHEMA
 
     def writer(self, schema, overwrite: bool) -> "FlatWriter":
-        return FlatWriter(self.options["path"])
+        return FlatWriter(self.options["path"], overwrite)
 
     def reader(self, schema) -> "FlatReader":
         return FlatReader(self.options["path"])
 
 
 class FlatWriter(DataSourceArrowWriter):
-    def __init__(self, path: str) -> None:
-        self.path = path
+    def __init__(self, path: str, overwrite: bool = False) -> None:
+        self.path, self.overwrite = path, overwrite
 
     def write(self, batches: Iterator[pa.RecordBatch]) -> Shard:
         from pyspark import TaskContext
@@ -69,14 +77,15 @@ class FlatWriter(DataSourceArrowWriter):
         system.create_dir(root, recursive=True)
         name = f"part-{context.partitionId() if context else 0:05d}-{uuid.uuid4().hex}"
         documents = tokens = 0
-        with system.open_output_stream(f"{root}/{name}.tokens") as t, system.open_output_stream(f"{root}/{name}.offsets") as o, system.open_output_stream(f"{root}/{name}.keys") as k:
+        with system.open_output_stream(f"{root}/{name}.tokens") as t, system.open_output_stream(f"{root}/{name}.offsets") as o, system.open_output_stream(f"{root}/{name}.keys") as k, system.open_output_stream(f"{root}/{name}.known") as known:
             o.write(np.zeros(1, "<u8").tobytes())
             for b in batches:
                 ids = b.column("ids")
                 size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype("<u8")
                 t.write(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
                 o.write((tokens + np.cumsum(size, dtype="<u8")).astype("<u8").tobytes())
-                k.write(b.column("key").fill_null(-1).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                k.write(b.column("key").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
+                known.write(b.column("key").is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes())
                 documents, tokens = documents + len(size), tokens + int(size.sum())
         return Shard(name, documents, tokens)
 
@@ -84,14 +93,17 @@ class FlatWriter(DataSourceArrowWriter):
         system, root = _at(self.path)
         system.create_dir(root, recursive=True)
         shards = [{"name": m.name, "documents": m.documents, "tokens": m.tokens} for m in messages if m is not None]
-        with system.open_output_stream(f"{root}/{MANIFEST}") as f:
+        before = _manifests(system, root) if self.overwrite else []
+        with system.open_output_stream(f"{root}/{MANIFEST}{uuid.uuid4().hex}.json") as f:
             f.write(json.dumps({"shards": shards}).encode())
+        for old in before:
+            system.delete_file(old)
 
     def abort(self, messages: list[Shard | None]) -> None:
         system, root = _at(self.path)
         for m in messages:
             if m is not None:
-                for kind in ("tokens", "offsets", "keys"):
+                for kind in KINDS:
                     system.delete_file(f"{root}/{m.name}.{kind}")
 
 
@@ -101,8 +113,14 @@ class FlatReader(DataSourceReader):
 
     def partitions(self) -> list[ShardPartition]:
         system, root = _at(self.path)
-        with system.open_input_stream(f"{root}/{MANIFEST}") as f:
-            return [ShardPartition(s["name"]) for s in json.loads(f.read())["shards"] if s["documents"]] or [ShardPartition("")]
+        found = _manifests(system, root)
+        if not found:
+            raise FileNotFoundError(f"{self.path} holds no committed flat token files")
+        shards = []
+        for manifest in found:
+            with system.open_input_stream(manifest) as f:
+                shards += json.loads(f.read())["shards"]
+        return [ShardPartition(s["name"]) for s in shards if s["documents"]] or [ShardPartition("")]
 
     def read(self, partition: ShardPartition) -> Iterator[pa.RecordBatch]:
         if not partition.name:
@@ -114,14 +132,15 @@ class FlatReader(DataSourceReader):
                 return np.frombuffer(f.read(), dtype)
 
         offsets, keys, tokens = part("offsets", "<u8").astype(np.int64), part("keys", "<i8"), part("tokens", "<u4").astype(np.int32)
+        missing = part("known", "u1") == 0
         for a in range(0, len(keys), 1000):
             z = min(a + 1000, len(keys))
             lists = pa.ListArray.from_arrays(pa.array((offsets[a : z + 1] - offsets[a]).astype(np.int32)), pa.array(tokens[offsets[a] : offsets[z]]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a:z].astype(np.int64)), lists], names=["key", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys[a:z].astype(np.int64), mask=missing[a:z]), lists], names=["key", "ids"])
 
 
 def write_flat(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> None:
-    """Encoded documents to flat shards; a null key is written as -1, null ids as none."""
+    """Encoded documents to flat shards; a null key stays null, null ids are none. Appends to what is there."""
     encoded.sparkSession.dataSource.register(FlatTokens)
     encoded.selectExpr(f"CAST(`{key}` AS BIGINT) AS key", f"CAST(`{ids}` AS ARRAY<INT>) AS ids").write.format("flattokens").mode("append").save(path)
 

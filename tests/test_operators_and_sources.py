@@ -11,10 +11,12 @@ from brindle.functions import text as T
 from brindle.functions.grammars import GRAMMARS
 from brindle.operators import tokens as ops
 from brindle.operators import views, vocabulary
-from brindle.plans.queries import RANKS, TOKENIZER_JSON, encoding
+from brindle.plans.queries import RANKS, encoding
 from brindle.sources import corpus, files, flat, importer
 from brindle.streaming import tokens as streams
 
+TOKENIZER_JSON = "/opt/tokenizers/byte_bpe_50k.json"
+
 
 @pytest.fixture(scope="module")
 def docs(spark):
@@ -156,6 +158,31 @@ def test_flat_tokens_round_trip(spark, docs, tmp_path):
     assert flat.read_flat(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_flat_tokens_of_two_appends_and_null_keys(spark, tmp_path):
+    """Appends add to what is there, an overwrite takes its place, a null key is none of the numbers."""
+    rows = lambda *r: spark.createDataFrame(list(r), "doc_id long, ids array<int>").coalesce(1)
+    read = lambda: sorted(map(repr, ((r.key, r.ids) for r in flat.read_flat(spark, str(tmp_path / "f")).collect())))
+    flat.write_flat(rows((1, [1, 2])), str(tmp_path / "f"))
+    flat.write_flat(rows((2, [3]), (None, [4]), (-1, [5]), (3, None)), str(tmp_path / "f"))
+    assert read() == sorted(map(repr, [(1, [1, 2]), (2, [3]), (None, [4]), (-1, [5]), (3, [])]))
+    rows((9, [9])).selectExpr("doc_id AS key", "ids").write.format("flattokens").mode("overwrite").save(str(tmp_path / "f"))
+    assert read() == [repr((9, [9]))]
+
+
+def test_tokens_as_arrays_of_the_caller(spark):
+    encoded = spark.createDataFrame([(2, [5, 6]), (1, [7]), (3, None)], "doc_id long, ids array<int>")
+    tokens, offsets, keys = ops.to_numpy(encoded, "doc_id")
+    assert tokens.tolist() == [7, 5, 6] and offsets.tolist() == [0, 1, 3, 3] and keys == [1, 2, 3]
+    with pytest.raises(ValueError, match="3 tokens"):
+        ops.to_numpy(encoded, "doc_id", most=2)
+
+
+def test_a_source_that_is_no_path_is_refused():
+    for source in ("someone/model", "https://host/tokenizer.json"):
+        with pytest.raises((FileNotFoundError, RuntimeError, importer.ImportRefused)):
+            importer.parse(source)
+
+
 def test_corpus_readers(spark, tmp_path):
     record = lambda kind, body: b"WARC/1.0\r\nWARC-Type: " + kind + b"\r\nWARC-Target-URI: http://a\r\nContent-Length: " + str(len(body)).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
     (tmp_path / "x.wet.gz").write_bytes(gzip.compress(record(b"warcinfo", b"i")) + gzip.compress(record(b"conversion", "tëxt".encode())))
@@ -232,6 +259,35 @@ def test_a_character_split_over_batches_waits(spark, tmp_path):
     assert [r.text for r in out.orderBy("first_pos").collect()] == ["a", "é", "€"]
 
 
+def _run_files(spark, tmp_path, parts, **options):
+    """A file a batch, in order."""
+    import os
+    import time
+
+    src, schema = tmp_path / "src", "key string, pos long, id int"
+    src.mkdir()
+    for n, rows in enumerate(parts):
+        spark.createDataFrame(rows, schema).toPandas().to_parquet(src / f"{n}.parquet", index=False)
+        os.utime(src / f"{n}.parquet", (time.time() - 100 + n, time.time() - 100 + n))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(src))
+    out = streams.run_available(streams.detokenize_stream(stream, "key", "pos", "id", byte_encoding(), **options), f"file://{tmp_path}/out")
+    return [(r.first_pos, r.text) for r in out.orderBy("first_pos").collect()]
+
+
+def test_tokens_wait_for_those_before_them(spark, tmp_path):
+    a, b, c, d = "abcd".encode()
+    parts = [[("k", 0, a), ("k", 2, c)], [("k", 3, d)], [("k", 1, b), ("k", 0, a)]]
+    assert _run_files(spark, tmp_path, parts, gapless=True) == [(0, "a"), (1, "bcd")]
+
+
+def test_late_and_unknown_tokens_fail_a_stream(spark, tmp_path):
+    (tmp_path / "one").mkdir(), (tmp_path / "two").mkdir()
+    with pytest.raises(Exception, match="comes after"):
+        _run_files(spark, tmp_path / "one", [[("k", 5, 97)], [("k", 1, 98)]])
+    with pytest.raises(Exception, match="unknown token id 300"):
+        _run_files(spark, tmp_path / "two", [[("k", 0, 300)]])
+
+
 def test_windowed_counts_and_encoding_of_a_stream(spark, tmp_path):
     enc = encoding()
     rows = spark.sql("SELECT timestamp'2024-01-01 00:10:00' ts, 'a b' t UNION ALL SELECT timestamp'2024-01-01 00:50:00', 'c' UNION ALL SELECT timestamp'2024-01-01 03:00:00', NULL")
