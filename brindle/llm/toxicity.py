@@ -10,10 +10,13 @@ A document's margin is that of its worst window; Platt's sigmoid makes it a scor
 Text is read in windows: runs of non-space characters, where single characters with spaces between them ("i d i o t") count
 as one run. Letters are compared without case; anything else is a gap.
 
-Labels are of documents, so training looks for the windows that explain them: first the words that cover the toxic
-documents and hardly occur in clean ones, then, in rounds, the machine's own worst windows of
-clean documents (hard negatives). Training uses at most `max_labelled` labelled rows of each class (a documented bound;
-the choice is by hash) of at most MAX_TRAINING_CHARS characters; scoring reads every whole text.
+Labels are of documents, so training looks for the windows that explain them, as in multiple-instance learning: positives are
+windows of the labelled toxic texts, negatives words and windows of the clean ones. A toxic text's first witnesses are its
+windows that begin with strings which cover the toxic texts and hardly occur in clean ones; then, in rounds, the machine
+takes its own worst window of each toxic text as a witness more, and its worst windows of clean texts as hard negatives.
+Witnesses also count with characters put in (virtual examples). Landmarks are the witnesses' words and words of clean texts.
+Training uses at most `max_labelled` labelled rows of each class, chosen by hash among those whose texts have at most
+`max_chars` characters (both are documented parameters); scoring reads every whole text.
 
 Defined cases: a null or empty text scores as a text without any window; a label that is null or names no document is
 ignored; without labelled rows of both classes the score is 1 if all labels are toxic, else 0; a null id counts as the
@@ -32,13 +35,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, mix64, own_prefix, text_blocks
+from .common import SPACE, materialize, mix64, own_prefix, text_blocks
 
 DECAY = 0.75
 SPAN = 6
 WINDOW = 10
 LETTERS = 32
-MAX_TRAINING_CHARS = 100_000
 SEED = 11
 #: Strings from different words that explain a toxic document in training.
 COVER = 3
@@ -47,6 +49,10 @@ PURE = 0.9
 #: A clean document counts this much in the sigmoid: they are rarer among the training rows than among documents.
 CLEAN_COST = 4.0
 SLICE = 1 << 20
+#: Bounds of training: strings tried for the cover, and words of clean texts among the negatives (frequent, rare).
+STRINGS, FREQUENT_WORDS, RARE_WORDS = 3000, 2000, 4000
+#: Witnesses that a toxic text starts with at most.
+WITNESSES = 4
 _TRIPLES = LETTERS**3
 _OFFSETS = [(a, b) for b in range(2, SPAN + 1) for a in range(1, b)]
 
@@ -218,6 +224,18 @@ def _gapped(word: bytes, rng: np.random.Generator) -> list[bytes]:
     return out + ([b".".join(bytes([c]) for c in word)] if max(word) < 128 else [])
 
 
+def _witnesses(text: bytes, strings: list[bytes]) -> list[int]:
+    """Where the first WITNESSES of a text's windows begin that start with one of the strings (places count characters)."""
+    lower, found = text.lower(), {}
+    for rank, s in enumerate(strings):
+        at = lower.find(s)
+        if at >= 0:
+            found.setdefault(at, rank)
+    best = sorted(found, key=found.get)[:WITNESSES]
+    whole = np.concatenate([[0], np.cumsum(_CODE[np.frombuffer(text, np.uint8)] != _LEAD)])
+    return [int(whole[at]) for at in best]
+
+
 def _apart(texts: list[bytes], hashes: int = 8, alike: int = 3) -> list[int]:
     """Which training texts to keep: none that shares `alike` of `hashes` word min-hashes with one before it, since near
     copies of a document make all its words look telling."""
@@ -278,7 +296,7 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     # strings that cover the toxic documents: a greedy cover, so that what only keeps company with insults adds little;
     # a document stays open until COVER strings from different words explain it
     need = {i: COVER for i in range(len(words)) if toxic[i]}
-    ranked = sorted((w for w in gain if gain[w] > 0), key=lambda w: (-gain[w], w))[:3000]
+    ranked = sorted((w for w in gain if gain[w] > 0), key=lambda w: (-gain[w], w))[:STRINGS]
     holders: dict[bytes, set[int]] = {w: set() for w in ranked}
     within: dict[bytes, Counter] = {w: Counter() for w in ranked}  # the words that a string is part of
     for i in need:
@@ -305,9 +323,9 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     around = Counter(w for ws, bad in zip(words, toxic) if bad for w in ws if w not in clean_words_in and any(g in w for g in cover))
     picked = list(dict.fromkeys([*cover, *(w for w, _ in sorted(around.items(), key=lambda x: (-x[1], x[0]))[: 2 * landmarks])]))
     in_clean = clean_words_in
-    common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:2000]]
+    common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT_WORDS]]
     rare = sorted(w for w in in_clean if in_clean[w] < 3)
-    clean_words = common + [rare[i] for i in rng.permutation(len(rare))[:4000]]
+    clean_words = common + [rare[i] for i in rng.permutation(len(rare))[:RARE_WORDS]]
     marks = picked[: landmarks // 2]
     marks = list(dict.fromkeys(marks + clean_words[: landmarks - len(marks)]))
     del words, in_toxic, in_clean, clean_words_in, gain, holders, within, around  # the driver's memory is small
@@ -345,13 +363,16 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
                     rows[i] += basis[(x * LETTERS + y)[ok] * LETTERS + z[ok]].sum(axis=0) * DECAY**b
         return rows
 
-    positive = _features(picked + [g for w in picked for g in _gapped(w, rng)], basis)
+    bad = [i for i in range(len(texts)) if toxic[i]]
+    first = [offsets[i] + at for i in bad for at in _witnesses(texts[i], picked)]
+    virtual = _features([g for w in picked for g in _gapped(w, rng)], basis)
+    witnesses = windows(np.array(first, dtype=np.int64))
     negative = [_features(clean_words, basis)]
     w = np.zeros(basis.shape[1] + 1)
     best = np.zeros(len(texts))
     for turn in range(rounds):
-        x = np.concatenate([positive, *negative])
-        n_pos = len(positive)
+        x = np.concatenate([witnesses, virtual, *negative])
+        n_pos = len(witnesses) + len(virtual)
         y = np.where(np.arange(len(x)) < n_pos, 1.0, -1.0)
         w = _svm(x, y, np.where(y > 0, len(y) / (2 * n_pos), 2 * len(y) / (2 * (len(y) - n_pos))))
         best, where = worst(code, left, offsets, basis @ w[:-1])
@@ -359,6 +380,8 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
         hard = where[~toxic & (where >= 0) & (margin > -1)]
         if turn + 1 < rounds:
             negative.append(windows(hard))
+            found = where[toxic & (where >= 0) & (margin > 0)]  # the texts that the machine explains, by its own witness
+            witnesses = windows(np.unique(np.concatenate([np.array(first, dtype=np.int64), found])))
     margin = best + w[-1]
     # insults with characters put in count as toxic in the sigmoid too; each as a text of its own
     more = _features([g for word in picked[:landmarks] for g in _gapped(word, rng)], basis) @ w[:-1] + w[-1]
@@ -401,13 +424,15 @@ def fold(id_column, folds: int = 5) -> "F.Column":
     return F.crc32(F.coalesce(id_column.cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = 2500) -> Model:
-    """Train on labelled documents: of each class the first max_labelled labels by hash, of texts up to MAX_TRAINING_CHARS."""
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", max_labelled: int = 2500, max_chars: int = 100_000) -> Model:
+    """Train on labelled documents: of each class max_labelled labels, the first by hash of those whose texts have up to max_chars."""
+    known = docs.where(F.col(text).isNotNull() & (F.length(text) <= max_chars)).select(F.col(id_col).alias("_id"))
     rows = labels.where(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).alias("_y"))
     ticket = F.xxhash64(F.col("_id").cast("string"), F.lit(SEED))
-    chosen = rows.where("_y = 0").orderBy(ticket, "_id").limit(max_labelled).union(rows.where("_y = 1").orderBy(ticket, "_id").limit(max_labelled))
+    rows = rows.join(known, "_id", "left_semi").distinct()
+    chosen = materialize(rows.where("_y = 0").orderBy(ticket, "_id").limit(max_labelled).union(rows.where("_y = 1").orderBy(ticket, "_id").limit(max_labelled)), "labels")
     # at most 2 * max_labelled rows are broadcast
-    found = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= MAX_TRAINING_CHARS))
+    found = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
     # of rows that repeat an id one is taken, so that what comes to the driver is bounded too
     found = found.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
     got = sorted(found.collect(), key=lambda r: (r["_id"], r["_y"], r["_text"]))
