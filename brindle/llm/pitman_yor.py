@@ -52,10 +52,10 @@ GROUP = 32
 SEED = 3
 END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x5EED57A75EED57A7)
 BLOCK = 1 << 22
-BUCKET_BYTES = 4 << 20
+BUCKET_BYTES = 2 << 20
 TAIL = 0xFFFF
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
-_FIXED = float(1 << 32)
+_FIXED = float(1 << 24)
 
 
 # -- tokens -----------------------------------------------------------------------------------
@@ -606,7 +606,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(held_out, F.lit(False)).alias("held"), F.coalesce(F.col(text).cast("binary"), F.lit(b"")).alias("text"))
     f = _frequent(source.where("not held").select("id", "text"))
     size = int(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # an estimate by file sizes
-    each = max(2, -(-(size if size < 1 << 60 else 0) // (BUCKET_BYTES * n)))
+    each = max(4, -(-(size if size < 1 << 60 else 0) // (BUCKET_BYTES * n)))
     names = own_names(spark, n, each)
     # a block is named by its first row's number: unique, and the same again if a task is run again
     gathered = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_gather(f, names), _MESSAGE)
