@@ -17,6 +17,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from .common import materialize, own_prefix, words_of
 
@@ -104,16 +105,38 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[float, ...] = (1.0, 2.0, 3.0), max_repeats: int = 3, budget: int | None = None, ordered: bool = False) -> DataFrame:
     """docs with each row repeated as often as the mix takes it; ordered: range-sorted by finish time, as a trainer reads it.
 
-    Rows that share an id take their copies together (the number is that of the id's rows, averaged upwards), so ids should
-    be unique; a null id is matched like a value.
+    Rows are told apart by id, source and size. Rows that are alike in all three are numbered (in order of text), and the n-th
+    one takes the copies of the n-th place that they hold in the queue, so each row takes what mix_sources() says of it.
     """
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), F.col(source).alias("source"), words_of(F.col(text)).alias("size")), "sizes")
-    queue, targets = finish_times(sizes, weights, max_repeats, budget)
-    sent = sent_copies(materialize(queue, "queue"), targets, max_repeats)
     own = own_prefix(docs)
-    per = sent.groupBy("id").agg(F.sort_array(F.collect_set("finish")).alias(own + "finish"))
-    rows = docs.join(per.withColumnRenamed("id", own + "id"), F.col(id_col).eqNullSafe(F.col(own + "id")))
-    rows = rows.withColumn(own + "finish", F.explode(own + "finish"))
+    keys = ("id", "source", "size")
+    named = docs.withColumn(own + "id", F.col(id_col)).withColumn(own + "source", F.col(source)).withColumn(own + "size", words_of(F.col(text)))
+    sizes = materialize(named.select(*(F.col(own + c).alias(c) for c in keys)), "sizes")
+    queue, targets = finish_times(sizes, weights, max_repeats, budget)
+    queue = materialize(queue.withColumn("_row", F.monotonically_increasing_id()), "queue")
+    per = sent_copies(queue, targets, max_repeats).groupBy(*keys, "_row").agg(F.sort_array(F.collect_list("finish")).alias("finish"))
+    # keys of several rows: few; all others are numbered 1 without a window over the texts
+    again = materialize(sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*(F.col(c).alias(own + "a" + c) for c in keys)), "again")
+    alike = F.lit(True)
+    for c in keys:
+        alike = alike & F.col(own + c).eqNullSafe(F.col(own + "a" + c))
+    number = F.row_number().over(Window.partitionBy(*(own + c for c in keys)).orderBy(text, *(c for c in docs.columns if c != text and not isinstance(docs.schema[c].dataType, MapType))))
+    several = named.join(again, alike, "left_semi").withColumn(own + "no", number)
+    rows = named.join(again, alike, "left_anti").withColumn(own + "no", F.lit(1)).unionByName(several)
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("_row"))
+    queued = queue.join(again, alike_of(queue, own, keys), "left_semi").select(*keys, "_row").withColumn("no", place)
+    per = per.join(queued.select("_row", "no"), "_row", "left").select(*(F.col(c).alias(own + "q" + c) for c in keys), F.coalesce("no", F.lit(1)).alias(own + "qno"), F.col("finish").alias(own + "finish"))
+    met = F.col(own + "no") == F.col(own + "qno")
+    for c in keys:
+        met = met & F.col(own + c).eqNullSafe(F.col(own + "q" + c))
+    rows = rows.join(per, met).withColumn(own + "finish", F.explode(own + "finish"))
     if ordered:
         rows = rows.repartitionByRange(own + "finish").sortWithinPartitions(own + "finish")
     return rows.select(*docs.columns)
+
+
+def alike_of(queue: DataFrame, own: str, keys: tuple[str, ...]) -> "F.Column":
+    alike = F.lit(True)
+    for c in keys:
+        alike = alike & queue[c].eqNullSafe(F.col(own + "a" + c))
+    return alike

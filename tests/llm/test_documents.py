@@ -275,3 +275,13 @@ def test_pitman_yor_of_odd_rows(edge, empty, spark):
     assert pitman_yor.score_documents(empty, F.lit(False)).collect() == []
     alone = pitman_yor.score_documents(edge, F.lit(True)).collect()
     assert {(r.train_tokens, r.base_score, r.n_known) for r in alone} == {(0, 0.0, 0)}
+
+
+def test_rows_that_repeat_an_id_take_what_the_mix_says(spark):
+    rows = [(1, "a b c", "x"), (1, "a b c", "x"), (1, "d e f", "x"), (2, "g h i j", "y"), (None, "k l", "x"), (None, "k l", "x"), (3, None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    for budget in (None, 20, 40):
+        taken = mixing.mix_sources(docs, budget=budget).groupBy("id", "size").agg(F.sum("copies").alias("n")).where("n > 0").collect()
+        got = mixing.mixed_rows(docs, budget=budget).select("doc_id", F.size(F.split("text", " ")).alias("size")).groupBy("doc_id", "size").count().collect()
+        assert sorted(map(repr, ((r.id, r.size, r.n) for r in taken))) == sorted(map(repr, ((r.doc_id, r.size, r["count"]) for r in got)))
+    assert mixing.mixed_rows(docs).groupBy("doc_id", "text").count().agg(F.max("count")).first()[0] <= 6
