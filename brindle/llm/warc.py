@@ -10,7 +10,7 @@ loser tree; partitions in order, and rows within them, are the global capture hi
 Defined cases: a null html is an empty payload; a null url has no target and an empty URL key; of equal payloads the one
 with the largest id is the response and the others revisit it (rows that repeat that id are responses too; if all ids are
 null, all are responses; a null id beside a known one revisits it); payloads shorter than min_bytes are always responses;
-an empty table gives no records. Archive files hold at most MAX_RECORDS records.
+an empty table gives no records. Archive files hold at most MAX_RECORDS records and FILE_BYTES bytes.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ from .common import new_folder, partitions
 
 CRLF = "\r\n"
 MAX_RECORDS = 20_000
+#: Bytes of an archive before compression at most, but for a single record that has more.
+FILE_BYTES = 256 << 20
 _BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 _DIGITS = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 ENTRY = "urlkey string, captured string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, file string, record_no int"
@@ -68,7 +70,7 @@ def record_text(id_col: str, url: str) -> "F.Column":
         F.lit("WARC/1.1"),
         F.when(revisit, F.lit("WARC-Type: revisit")).otherwise(F.lit("WARC-Type: response")),
         F.concat(F.lit("WARC-Record-ID: "), ident(F.col(id_col))),
-        F.concat(F.lit("WARC-Date: "), F.date_format(F.col("captured"), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
+        F.concat(F.lit("WARC-Date: "), F.date_format(F.to_utc_timestamp("captured", F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")),
         F.concat(F.lit("WARC-Target-URI: "), _header_value(F.col(url))),
         F.when(revisit, F.concat(F.lit("WARC-Refers-To: "), ident(F.col("holder")))),
         F.when(revisit, F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")),
@@ -84,7 +86,9 @@ def write_archives(captures: DataFrame, folder: str, id_col: str = "page_id", ur
     when = F.col(captured) if captured else F.timestamp_seconds(F.lit(1_704_067_200) + F.pmod(F.coalesce(F.col(id_col), F.lit(0)), F.lit(1_000_000_000)))
     rows = with_records(captures.select(F.col(id_col).alias("id"), F.col(url).alias("url"), F.col(body).alias("html"), when.alias("captured")), "id", "html", min_bytes)
     out = rows.select(record_text("id", "url").alias("value"))
-    out.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", MAX_RECORDS).text(folder)
+    largest = captures.agg(F.max(F.octet_length(body))).first()[0] or 0
+    most = max(1, min(MAX_RECORDS, FILE_BYTES // (largest + 4096)))
+    out.write.option("compression", "gzip").option("lineSep", CRLF + CRLF).option("maxRecordsPerFile", most).text(folder)
 
 
 # -- reading ----------------------------------------------------------------------------------
@@ -229,7 +233,10 @@ def merge_runs(entries: DataFrame) -> DataFrame:
             for row in zip(*(c.to_pylist() for c in batch.columns)):
                 runs.setdefault(row[7], []).append(row)
         for rows in runs.values():
-            rows.sort(key=_order)  # a run arrives in order, but for fetch order; linear if so
+            # a run is one task's output, so what a partition gets of it comes in order; only a reader that is torn up needs more
+            keys = [_order(r) for r in rows]
+            if any(b < a for a, b in zip(keys, keys[1:])):
+                rows.sort(key=_order)
         out = []
         for row in LoserTree([iter(r) for r in runs.values()], _order):
             out.append(row)
