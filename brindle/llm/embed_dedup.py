@@ -30,6 +30,8 @@ from .common import bucket_cells, connected_components, local_roots, materialize
 SEED = 7
 TARGET = 4.0
 CELL_CAP = 2048
+#: Bits of the sketch (signs of projections) that a pair must agree on before its vectors travel.
+SKETCH = 128
 
 
 def collision_chance(distance: float, width: float) -> float:
@@ -85,7 +87,41 @@ def _hashed(tables: int, hashes: int, width: float):
                 x = np.stack([v for _, v in rows])
                 keys = table_keys(x / np.linalg.norm(x, axis=1, keepdims=True), tables, hashes, width)
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1) * tables, type=pa.int32()), pa.array(keys.ravel()))
-                yield pa.RecordBatch.from_arrays([reps.take(pa.array([i for i, _ in rows])), flat], names=["rep", "keys"])
+                sides = np.random.default_rng([SEED, x.shape[1], 1]).standard_normal((x.shape[1], SKETCH))
+                sketch = np.packbits(x @ sides > 0, axis=1).view("<i8")
+                yield pa.RecordBatch.from_arrays([reps.take(pa.array([i for i, _ in rows])), flat, pa.array(sketch[:, 0].copy()), pa.array(sketch[:, 1].copy())], names=["rep", "keys", "s0", "s1"])
+
+    return run
+
+
+def sketch_reach(threshold: float) -> int:
+    """Sketch bits in which vectors at the threshold differ at most, but for a chance of about 1e-10."""
+    p = math.acos(threshold) / math.pi
+    return math.ceil(SKETCH * p + 6.5 * math.sqrt(SKETCH * p * (1 - p)))
+
+
+_CELL = "slot int, key long, cx int, cy int, chunk int, rep long"
+
+
+def _promising(reach: int):
+    """mapInArrow function: cells to their rows that have a partner whose sketch is near. Vectors only travel for these."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        c = {n: table.column(n).to_numpy() for n in table.column_names}
+        order = np.lexsort((c["cy"], c["cx"], c["key"], c["slot"]))
+        c = {n: v[order] for n, v in c.items()}
+        cross, keep = c["cx"] != c["cy"], np.zeros(len(order), dtype=bool)
+        s0, s1 = c["s0"].view(np.uint64), c["s1"].view(np.uint64)
+        for i, j in pairs_in_runs(run_starts(c["slot"], c["key"], c["cx"], c["cy"])):
+            near = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j]) <= reach
+            near &= ~cross[i] | (c["chunk"][i] != c["chunk"][j])
+            keep[i[near]] = keep[j[near]] = True
+        names = [x.split()[0] for x in _CELL.split(", ")]
+        yield from pa.Table.from_arrays([pa.array(c[n][keep]) for n in names], names=names).to_batches(1 << 16)
 
     return run
 
@@ -165,10 +201,12 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector: str = "embe
     # nodes of the search are hashes of vectors, since a class of null ids has no id to go by
     reps = materialize(reps.withColumn("rep", F.xxhash64("_h")), "reps")
     hashes, tables = plan_tables(reps.count(), threshold, width, miss)
-    keyed = materialize(reps.select("rep", "v").mapInArrow(_hashed(tables, hashes, width), "rep long, keys array<long>"), "keys")
-    slots = keyed.select("rep", F.posexplode("keys").alias("slot", "key"))
+    keyed = materialize(reps.select("rep", "v").mapInArrow(_hashed(tables, hashes, width), "rep long, keys array<long>, s0 long, s1 long"), "keys")
+    slots = keyed.select("rep", "s0", "s1", F.posexplode("keys").alias("slot", "key"))
     cells = bucket_cells(slots, ["slot", "key"], "rep", CELL_CAP)
-    full = cells.join(keyed, "rep").join(reps.select("rep", "v", "size"), "rep").repartition(partitions(spark), "slot", "key", "cx", "cy")
+    n = partitions(spark)
+    cells = cells.repartition(n, "slot", "key", "cx", "cy").mapInArrow(_promising(sketch_reach(threshold)), _CELL)
+    full = cells.join(keyed.select("rep", "keys"), "rep").join(reps.select("rep", "v", "size"), "rep").repartition(n, "slot", "key", "cx", "cy")
     found = materialize(full.mapInArrow(_links(threshold), "a long, b long, links long"), "links")
     names = reps.select("rep", "rep0")
     # components are named by the smallest id: links between nodes, then the least id of each component
