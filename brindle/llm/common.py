@@ -52,12 +52,9 @@ def materialize(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(spark: SparkSession, keep: int = 0) -> None:
-    """Delete what materialize() wrote (all but the last keep folders). Only call it when nothing reads those folders any more."""
-    jvm, conf = spark._jvm, spark._jsparkSession.sessionState().newHadoopConf()
-    while len(_SCRATCH) > keep:
-        path = jvm.org.apache.hadoop.fs.Path(_SCRATCH.pop(0))
-        path.getFileSystem(conf).delete(path, True)
+def scratch_folders() -> list[str]:
+    """The folders that new_folder() has named and nobody has deleted."""
+    return list(_SCRATCH)
 
 
 def drop_folders(spark: SparkSession, *folders: str) -> None:

@@ -364,7 +364,9 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
         return rows
 
     bad = [i for i in range(len(texts)) if toxic[i]]
-    first = [offsets[i] + at for i in bad for at in _witnesses(texts[i], picked)]
+    first = [offsets[i] + at for i in bad for at in _witnesses(texts[i], picked)] or [offsets[i] for i in bad if offsets[i + 1] > offsets[i]]
+    if not first:  # the toxic texts hold nothing to learn from
+        return Model(np.zeros(_TRIPLES), 0.0, 1.0, 0.0, n_toxic / (n_toxic + n_clean))
     virtual = _features([g for w in picked for g in _gapped(w, rng)], basis)
     witnesses = windows(np.array(first, dtype=np.int64))
     negative = [_features(clean_words, basis)]

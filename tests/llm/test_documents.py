@@ -16,7 +16,9 @@ from brindle.llm import mixing, pitman_yor, queries, sentencepiece_sampling, sim
 
 @pytest.fixture(scope="module")
 def docs(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    df = spark.read.parquet(f"{sf_dir}/documents.parquet").cache()
+    yield df
+    df.unpersist()  # other tests look at plans of the same table
 
 
 @pytest.fixture(scope="module")

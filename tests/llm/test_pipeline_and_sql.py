@@ -35,6 +35,21 @@ def test_stages_equal_brute_force(spark, sf_dir):
     assert mixed.columns == COLUMNS and mixed.groupBy("doc_id").count().agg(F.max("count")).first()[0] <= 3
     out = encode(spark, mixed, sf_dir).collect()
     assert len(out) == mixed.count() and all(r.lossless for r in out)
+    for df in (clean, single, left, mixed):
+        df.unpersist()
+
+
+def test_the_pipeline_takes_odd_rows(spark, tmp_path):
+    """Nulls in any column, empty texts, repeated ids and rows, a long text, and an empty table, from end to end."""
+    rows = [(i, f"clean words number {i} and some more of them to read {i * 7}", "en", "a" if i % 3 else None, 10) for i in range(40)]
+    rows += [(50, None, None, None, None), (51, "", "en", "b", 0), (None, "no id here at all, but five words", "en", "b", 1), (3, rows[3][1], "en", "a", 10), (3, rows[3][1], "en", "a", 10), (52, "long " * 20_000, "en", "b", 1)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    labels = spark.createDataFrame([(i, 1, int(i % 10 == 0)) for i in range(40)] + [(None, 1, 1), (50, None, None)], "doc_id long, quality int, toxic int")
+    for name, some in (("full", rows), ("none", [])):
+        spark.createDataFrame(some, schema).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        out = corpus_pipeline.run(spark, f"{tmp_path}/{name}").collect()
+        assert all(r.lossless for r in out) and (name == "full" or not out)
 
 
 @pytest.mark.parametrize("name", sorted(oracle.SQL))
