@@ -14,38 +14,58 @@ Parquet and read again), and returns the documents that go on. All but the last
 
 from __future__ import annotations
 
+import functools
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.llm import mixing, near_copies, sentencepiece_sampling, simhash, suffix_dedup, toxicity
-from brindle.llm.common import drop_scratch, shared_folder
+from brindle.llm.common import drop_folders, scratch_folders, shared_folder
 
 
+#: Folders that the last stage's result may read; the next stage deletes them, since it starts from what has been written.
+_READ: list[str] = []
+
+
+def _stage(f: Callable[[SparkSession, DataFrame, str], DataFrame]) -> Callable[[SparkSession, DataFrame, str], DataFrame]:
+    @functools.wraps(f)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        drop_folders(spark, *_READ)
+        _READ.clear()
+        before = set(scratch_folders())
+        out = f(spark, docs, sf_dir)
+        _READ.extend(x for x in scratch_folders() if x not in before)
+        return out
+
+    return run_stage
+
+
+@_stage
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.fit(docs, labels.where(toxicity.fold(F.col("doc_id")) != 0))
     return toxicity.drop_toxic(docs, model)
 
 
+@_stage
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch(spark)  # docs has been written and read again, so nothing reads a former stage's folders
     return simhash.keep_one(docs, near_copies.near_copy_components(docs))
 
 
+@_stage
 def remove_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch(spark)
     return suffix_dedup.remove_repeats(docs)
 
 
+@_stage
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch(spark)
     return mixing.mixed_rows(docs)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    drop_scratch(spark)
     return sentencepiece_sampling.round_trip(docs, sentencepiece_sampling.load_pieces(spark))
 
 
