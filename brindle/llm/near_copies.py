@@ -49,7 +49,8 @@ def block_sets(data: np.ndarray, offsets: np.ndarray, shingle: int = 5) -> Itera
     for a, z in zip(first[:-1].tolist(), first[1:].tolist()):
         k = min(shingle, z - a)
         if k == shingle:
-            yield np.unique(hashes[a : z - k + 1])
+            s = np.sort(hashes[a : z - k + 1])
+            yield s[run_starts(s)[:-1]]
         elif k:
             part = sum(int(words[a + j]) * int(_WEIGHTS[j % len(_WEIGHTS)]) ** (j // len(_WEIGHTS) + 1) for j in range(k)) + k
             yield mix64(np.array([part & (2**64 - 1)], dtype=np.uint64))

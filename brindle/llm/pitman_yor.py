@@ -246,7 +246,10 @@ def _organise(f: Frequent, uppers: int):
         for bucket in sorted(parts):
             data, extra = _sorted_bucket(f.codes, parts.pop(bucket))
             s = Section(f, pa.py_buffer(data), pa.py_buffer(extra))
-            yield _batch([(bucket, 0, len(s.doc), data, extra, s.up(uppers, first=True), s.stats())], _KEPT)
+            row = (bucket, 0, len(s.doc), data, extra, s.up(uppers, first=True), s.stats())
+            del s, data, extra
+            yield _batch([row], _KEPT)
+            del row
 
     return run
 
@@ -260,13 +263,21 @@ def _sorted_bucket(codes: np.ndarray, parts: list[tuple]) -> tuple[bytes, bytes]
     for c in coded:
         used[c] = True
     used[TAIL] = False
-    known = np.unique(np.concatenate([codes[np.flatnonzero(used)], *tails]))
+    sizes = np.cumsum([0, *map(len, tails)])
+    every = np.concatenate(tails)
+    by_hash = np.argsort(every)
+    new = run_starts(every[by_hash])[:-1]
+    distinct = every[by_hash[new]]
+    known = np.sort(np.concatenate([codes[np.flatnonzero(used)], distinct]))
+    known = known[run_starts(known)[:-1]]
+    places = np.empty(len(every), dtype=np.int32)
+    places[by_hash] = np.repeat(np.searchsorted(known, distinct), np.diff(np.append(new, len(every))))
     dense = np.zeros(1 << 16, dtype=np.int32)
     dense[np.flatnonzero(used)] = np.searchsorted(known, codes[np.flatnonzero(used)])
     ids = []
-    for c, t in zip(coded, tails):
+    for k, c in enumerate(coded):
         x = dense[c]
-        x[c == TAIL] = np.searchsorted(known, t)
+        x[c == TAIL] = places[sizes[k] : sizes[k + 1]]
         ids.append(x)
     two, one, word = ids
     order = np.argsort(two.astype(np.int64) << 42 | one.astype(np.int64) << 21 | word) if len(known) < 1 << 21 else np.lexsort((word, one, two))
@@ -408,8 +419,8 @@ class Section:
                 self.count[words] = c
             self.n2[dishes], self.t2[dishes] = n2, t2
 
-    def sweeps(self, totals: Totals, count: int) -> Iterator[np.ndarray]:
-        """Sweep the restaurants here again and again; yields each type's predictive probability after each."""
+    def sweeps(self, totals: Totals, count: int, kept: int) -> np.ndarray | None:
+        """Sweep the restaurants here again and again; each type's predictive probability, averaged over the last kept sweeps."""
         d0, d1, d2 = totals.discount
         p1 = root_probability(totals, *self.root)[self.served]
         inside = self.apart < 0
@@ -422,9 +433,10 @@ class Section:
         moving = np.flatnonzero(self.c3 > 1)
         key3 = dish_key(self.pair[self.context[moving]], self.known[self.word[moving]])
         key2 = dish_key(self.known[self.rest], self.known[self.served])
+        total = np.zeros(len(self.c3)) if kept else None
 
         def level_two() -> tuple[np.ndarray, np.ndarray]:
-            n, t = (np.bincount(self.rest[inside], weights=x[inside], minlength=words) for x in (self.n2, self.t2))
+            n, t = (np.bincount(self.rest, weights=x, minlength=words) for x in (self.n2, self.t2))
             rank = self.split >= 0
             n[rank], t[rank] = totals.split[0][self.split[rank]], totals.split[1][self.split[rank]]
             return n, t
@@ -442,12 +454,15 @@ class Section:
             t = np.where(apart_pair, t, t + np.bincount(where, weights=change, minlength=contexts))
             changed = np.bincount(self.dish[moving], weights=change, minlength=len(self.n2)).astype(np.int64)
             self.n2 = np.where(inside, self.n2 + changed, self.n2)
-            some = np.flatnonzero(inside & (self.n2 > 0))
+            self.t2 = np.minimum(self.t2, self.n2)
+            some = np.flatnonzero(inside & (self.n2 > 1))
             self.t2[some] = seat(self.n2[some], tables[self.rest[some]] - self.t2[some], p1[some], STRENGTH[1], d1, key2[some], sweep)
             n, tables = level_two()
             p2 = middle(n, tables)
-            u = self.context
-            yield (self.c3 - d2 * self.t3 + (STRENGTH[2] + d2 * t[u]) * p2[self.dish]) / (STRENGTH[2] + c[u])
+            if sweep >= count - kept:
+                above, below = (STRENGTH[2] + d2 * t)[self.context], (STRENGTH[2] + c)[self.context]
+                total += (self.c3 - d2 * self.t3 + above * p2[self.dish]) / below
+        return None if total is None else total / kept
 
     def customers_of_split(self) -> None:
         """Before going up: the split restaurants' customers are the tables here."""
@@ -525,10 +540,11 @@ def _pass_up(f: Frequent, totals: Totals, uppers: int):
             for bucket, data, extra, down in zip(b.column("bucket").to_pylist(), b.column("data"), b.column("extra"), b.column("down")):
                 s = Section(f, data.as_buffer(), extra.as_buffer()).without_tokens()
                 s.come_down(down, uppers)
-                for _ in s.sweeps(totals, SWEEPS):
-                    pass
+                s.sweeps(totals, SWEEPS, 0)
                 s.customers_of_split()
-                yield _batch([(bucket, m["g"], m["z"], None) for m in s.up(uppers, first=False)] + [(bucket, -1, b"", s.pair_totals().ravel().tolist())], _ANSWER)
+                rows = [(bucket, m["g"], m["z"], None) for m in s.up(uppers, first=False)] + [(bucket, -1, b"", s.pair_totals().ravel().tolist())]
+                del s  # before the next one is made
+                yield _batch(rows, _ANSWER)
 
     return run
 
@@ -543,11 +559,7 @@ def _pass_down(f: Frequent, totals: Totals, uppers: int):
                 s = Section(f, data.as_buffer(), extra.as_buffer())
                 s.come_down(first, uppers)
                 s.come_down(down, uppers)
-                total = np.zeros(len(s.word))
-                for k, p in enumerate(s.sweeps(totals, SWEEPS)):
-                    if k >= SWEEPS - KEPT:
-                        total += p
-                score = np.log10(total / KEPT)[s.type]
+                score = np.log10(s.sweeps(totals, SWEEPS, KEPT))[s.type]
                 count = s.count[s.word]
                 base, known = np.log10(count + 1.0)[s.type], (count > 0)[s.type]
                 at, docs = s.first[s.which] + s.doc, int(s.first[-1])
@@ -559,6 +571,7 @@ def _pass_down(f: Frequent, totals: Totals, uppers: int):
                     if len(some):
                         k, x, y = (v[lo + some] for v in out)
                         rows.append((block, _pack(some.astype("<u2"), k.astype("<u4"), np.rint(x * _FIXED).astype("<i8"), y.astype("<f4"))))
+                del s, score, base, known, at, n, out, count
                 yield _batch(rows, "block long, scores binary")
 
     return run
