@@ -6,7 +6,7 @@ import pytest
 from brindle.functions import text as T
 from brindle.plans import queries as Q
 
-SOME = ["pretok_cl100k", "pretok_tekken", "piece_spans", "encode_docs", "encode_conversations", "count_tokens", "token_budget_cube", "token_counts", "offsets_char", "csr_offsets", "encode_with_special", "guard_rejects", "decode_rows", "binary_roundtrip", "flat_roundtrip", "shorter_prefixes", "nfc_docs", "encode_nfc", "stream_encode", "windowed_token_counts", "sql_functions"]
+SOME = ["pretok_cl100k", "pretok_tekken", "piece_spans", "encode_docs", "encode_conversations", "count_tokens", "token_budget_cube", "token_counts", "offsets_char", "csr_offsets", "encode_with_special", "guard_rejects", "decode_rows", "binary_roundtrip", "flat_roundtrip", "shorter_prefixes", "nfc_docs", "encode_nfc", "stream_encode", "windowed_token_counts", "sql_functions", "pair_lookup", "encoding_files", "tokenizer_json", "tekken_json", "import_refusals", "import_verify", "merge_table", "encode_boundaries", "stream_detokenize", "single_token_bytes", "encode_pages_counts", "token_byte_values"]
 
 
 @pytest.fixture(scope="module")
