@@ -35,7 +35,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize, mix64, own_prefix, text_blocks
+from .common import SPACE, materialize, mix64, own_prefix, run_starts, text_blocks
+from .suffix_dedup import words8
 
 DECAY = 0.75
 SPAN = 6
@@ -255,6 +256,37 @@ def _apart(texts: list[bytes], hashes: int = 8, alike: int = 3) -> list[int]:
     return out
 
 
+def _string_counts(docs: list[np.ndarray], names: list[bytes], least: int, wanted: dict[bytes, int] | None = None) -> dict[bytes, int]:
+    """In how many documents (of word numbers) a word, or a part of 4 to 6 bytes of a word, stands, if in `least` or more.
+    Parts are numbers of up to six bytes, counted in slices, so that little memory is needed. wanted: only these."""
+    ids = np.concatenate([np.zeros(0, np.int32), *docs])
+    doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    by_word = np.argsort(ids, kind="stable")
+    used, first, times = np.unique(ids[by_word], return_index=True, return_counts=True)
+    doc = doc[by_word]
+    out = {names[i]: int(n) for i, n in zip(used.tolist(), times.tolist()) if n >= least and not 4 <= len(names[i]) <= 6 and (wanted is None or names[i] in wanted)}
+    size = np.array([len(names[i]) for i in used.tolist()], dtype=np.int64)
+    data = np.frombuffer(b"".join(names[i] for i in used.tolist()), np.uint8)
+    start, owner = np.cumsum(size) - size, np.repeat(np.arange(len(used)), size)
+    whole = words8(data)
+    left = np.repeat(start + size, size) - np.arange(len(data))
+    for n in (4, 5, 6):
+        ok = left >= n
+        code, word = whole[ok] >> np.uint64(8 * (8 - n)), owner[ok]
+        if wanted is not None:
+            known = np.array(sorted(int.from_bytes(g, "big") for g in wanted if len(g) == n), dtype=np.uint64)
+            some = np.isin(code, known)
+            code, word = code[some], word[some]
+        part = mix64(code) % np.uint64(8)
+        for k in range(8):
+            c, w = code[part == k], word[part == k]
+            values, c = np.unique(c, return_inverse=True)
+            pairs = np.repeat(c, times[w]) * max(1, len(docs)) + doc[np.repeat(first[w], times[w]) + np.arange(times[w].sum()) - np.repeat(np.cumsum(times[w]) - times[w], times[w])]
+            count = np.bincount(np.sort(pairs)[run_starts(np.sort(pairs))[:-1]] // max(1, len(docs)), minlength=len(values)) if len(pairs) else np.zeros(0, int)
+            out |= {int(values[i]).to_bytes(n, "big"): int(count[i]) for i in np.flatnonzero(count >= least)}
+    return out
+
+
 def _grams(word: bytes) -> set[bytes]:
     """A word and its parts of 4 to 6 bytes."""
     return {word[i : i + n] for n in (4, 5, 6) for i in range(len(word) - n + 1)} | {word}
@@ -272,18 +304,16 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     rng = np.random.default_rng(SEED)
     keep = _apart(texts)
     texts, toxic = [texts[i] for i in keep], toxic[keep]
-    words = [{w for x in t.lower().split() if 3 <= len(w := x.strip(_EDGES)) <= 40} for t in texts]
+    places: dict[bytes, int] = {}  # each word once, documents by number
+    words = [np.fromiter({places.setdefault(w, len(places)) for x in t.lower().split() if 3 <= len(w := x.strip(_EDGES)) <= 40}, dtype=np.int32) for t in texts]
+    names = list(places)
+    del places
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     # counts of documents by the strings in their words; only strings of several toxic documents are kept
-    in_toxic, in_clean, clean_words_in = Counter(), Counter(), Counter()
-    for ws, bad in zip(words, toxic):
-        if bad:
-            in_toxic.update(set().union(*map(_grams, ws)))
-    in_toxic = Counter({g: k for g, k in in_toxic.items() if k >= max(2, n_toxic // 500)})
-    for ws, bad in zip(words, toxic):
-        if not bad:
-            clean_words_in.update(ws)
-            in_clean.update({g for w in ws for g in _grams(w) if g in in_toxic})
+    in_toxic = Counter(_string_counts([ws for ws, bad in zip(words, toxic) if bad], names, max(2, n_toxic // 500)))
+    in_clean = Counter(_string_counts([ws for ws, bad in zip(words, toxic) if not bad], names, 1, in_toxic))
+    held = np.bincount(np.concatenate([np.zeros(0, np.int32), *(ws for ws, bad in zip(words, toxic) if not bad)]), minlength=len(names))
+    clean_words_in = Counter({names[i]: int(held[i]) for i in np.flatnonzero(held)})
     gain = {w: np.sqrt(k) * (np.log((k + 0.5) / (n_toxic + 1)) - np.log((in_clean[w] + 0.5) / (n_clean + 1))) for w, k in in_toxic.items()}
     # only what toxic documents hold more often than chance explains, given how many strings are tried
     rate, bar = n_toxic / (n_toxic + n_clean), np.log(len(in_toxic) + 1) + 3
@@ -300,7 +330,7 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     holders: dict[bytes, set[int]] = {w: set() for w in ranked}
     within: dict[bytes, Counter] = {w: Counter() for w in ranked}  # the words that a string is part of
     for i in need:
-        for word in words[i]:
+        for word in map(names.__getitem__, words[i]):
             for w in _grams(word) & holders.keys():
                 holders[w].add(i)
                 within[w][word] += 1
@@ -320,7 +350,8 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     if not cover:
         cover = sorted(in_toxic, key=lambda w: (-in_toxic[w], w))[:1] or [b"###"]
     # the words of toxic documents that hold them, as they are written there
-    around = Counter(w for ws, bad in zip(words, toxic) if bad for w in ws if w not in clean_words_in and any(g in w for g in cover))
+    held = np.bincount(np.concatenate([ws for ws, bad in zip(words, toxic) if bad]), minlength=len(names))
+    around = Counter({w: int(held[i]) for i in np.flatnonzero(held) if (w := names[i]) not in clean_words_in and any(g in w for g in cover)})
     picked = list(dict.fromkeys([*cover, *(w for w, _ in sorted(around.items(), key=lambda x: (-x[1], x[0]))[: 2 * landmarks])]))
     in_clean = clean_words_in
     common = [w for w, _ in sorted(in_clean.items(), key=lambda x: (-x[1], x[0]))[:FREQUENT_WORDS]]
@@ -328,12 +359,14 @@ def train(texts: list[bytes], toxic: np.ndarray, landmarks: int = 256, rounds: i
     clean_words = common + [rare[i] for i in rng.permutation(len(rare))[:RARE_WORDS]]
     marks = picked[: landmarks // 2]
     marks = list(dict.fromkeys(marks + clean_words[: landmarks - len(marks)]))
-    del words, in_toxic, in_clean, clean_words_in, gain, holders, within, around  # the driver's memory is small
-    profiles = [p for p in map(_profile, marks) if p.any()]
-    matrix = np.empty((_TRIPLES, len(profiles)))
-    for i in range(len(profiles)):
-        matrix[:, i] = profiles[i] / np.sqrt((profiles[i] ** 2).sum())
-        profiles[i] = None
+    del words, names, held, in_toxic, in_clean, clean_words_in, gain, holders, within, around  # the driver's memory is small
+    matrix, filled = np.empty((_TRIPLES, len(marks))), 0
+    for mark in marks:
+        profile = _profile(mark)
+        if profile.any():
+            matrix[:, filled] = profile / np.sqrt((profile**2).sum())
+            filled += 1
+    matrix = matrix[:, :filled]
     if not matrix.shape[1]:
         return Model(np.zeros(_TRIPLES), 0.0, 1.0, 0.0, n_toxic / (n_toxic + n_clean))
     values, vectors = np.linalg.eigh(matrix.T @ matrix)
