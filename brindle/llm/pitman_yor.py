@@ -51,7 +51,7 @@ STRENGTH = (1.0, 1.0, 1.0)  # theta of the root, the one-word and the two-word c
 GROUP = 32
 SEED = 3
 END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x5EED57A75EED57A7)
-BLOCK = 1 << 22
+BLOCK = 1 << 21
 BUCKET_BYTES = 2 << 20
 TAIL = 0xFFFF
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
