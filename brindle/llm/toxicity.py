@@ -470,8 +470,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     found = docs.select(F.col(id_col).alias("_doc"), F.col(text).alias("_text")).where(F.col("_text").isNotNull() & (F.length("_text") <= max_chars))
     # of rows that repeat an id one is taken, so that what comes to the driver is bounded too
     found = found.join(F.broadcast(chosen), F.col("_doc") == F.col("_id")).groupBy("_id", "_y").agg(F.min("_text").alias("_text"))
-    got = sorted(found.collect(), key=lambda r: (r["_id"], r["_y"], r["_text"]))
-    return train([r["_text"].encode() for r in got], np.array([r["_y"] for r in got], dtype=int))
+    # the bounded sample is trained on in one task, so that neither texts nor features come to the driver
+    row = found.select("_id", "_y", F.col("_text").cast("binary").alias("_text")).repartition(1).mapInArrow(_trained, _MODEL).first()
+    if row is None:
+        return train([], np.zeros(0, dtype=int))
+    return Model(np.frombuffer(row["weights"], np.float64), row["bias"], row["slope"], row["shift"], row["constant"])
+
+
+_MODEL = "weights binary, bias double, slope double, shift double, constant double"
+
+
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled rows to one row: the model."""
+    rows = [r for b in batches for r in zip(*(c.to_pylist() for c in b.columns))]
+    rows.sort()
+    m = train([r[2] for r in rows], np.array([r[1] for r in rows], dtype=int))
+    values = (m.weights.astype(np.float64).tobytes(), m.bias, m.slope, m.shift, m.constant)
+    kinds = (pa.binary(), *[pa.float64()] * 4)
+    yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds)], names=[x.split()[0] for x in _MODEL.split(", ")])
 
 
 def score_documents(docs: DataFrame, model: Model, text: str = "text", name: str = "score") -> DataFrame:
