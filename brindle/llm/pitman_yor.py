@@ -53,6 +53,8 @@ SEED = 3
 END, START = np.uint64(0x5EED0E4D5EED0E4D), np.uint64(0x5EED57A75EED57A7)
 BLOCK = 1 << 21
 BUCKET_BYTES = 2 << 20
+#: Bytes of the input for each partition of the root and the split restaurants: buckets exchange a message with each.
+UPPER_BYTES = 8 << 20
 TAIL = 0xFFFF
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _FIXED = float(1 << 24)
@@ -621,11 +623,12 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     size = int(docs.select(text)._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())  # an estimate by file sizes
     each = max(4, -(-(size if size < 1 << 60 else 0) // (BUCKET_BYTES * n)))
     names = own_names(spark, n, each)
+    uppers = max(1, min(n, -(-size // UPPER_BYTES)))
     # a block is named by its first row's number: unique, and the same again if a task is run again
     gathered = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_gather(f, names), _MESSAGE)
     # the buckets, as a bucketed table: they are shuffled once and met where they are
     folder, table = new_folder(spark, "dishes"), f"brindle_dishes_{uuid.uuid4().hex}"
-    gathered.repartition(n, "bucket").mapInArrow(_organise(f, n), _KEPT).write.bucketBy(n, "bucket").format("parquet").option("compression", "none").option("path", folder).saveAsTable(table)
+    gathered.repartition(n, "bucket").mapInArrow(_organise(f, uppers), _KEPT).write.bucketBy(n, "bucket").format("parquet").option("compression", "none").option("path", folder).saveAsTable(table)
     free_shuffles(spark)
     kept = spark.table(table)
     buckets = kept.where("bucket >= 0").select("bucket", "data", "extra")
@@ -645,14 +648,14 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     above = above if len(above) else np.zeros(7 + 2 * w)
     rates = discounts(np.concatenate([above[-4:-2], above[-2:] + below[1:3], below[3:5]]))
     totals = Totals(rates, below[0], above[0], above[1:3], above[3 : 3 + 2 * w].reshape(2, w), below[5:].reshape(2, p))
-    again = met(buckets, first, "down").mapInArrow(_pass_up(f, totals, n), _ANSWER)
+    again = met(buckets, first, "down").mapInArrow(_pass_up(f, totals, uppers), _ANSWER)
     again = again.withColumn("g", F.when(F.col("g") >= 0, F.col("g")).otherwise(-1 - F.col("bucket")))
     second = answered(again, totals, "again")
     free_shuffles(spark)
     pairs, above = _sums(second.where("bucket >= 0")), _sums(second.where("bucket < 0"))
     if len(above):
         totals = Totals(rates, totals.tokens, totals.words, above[1:3], above[3 : 3 + 2 * w].reshape(2, w), pairs.reshape(2, p))
-    scores = met(met(buckets, first, "first"), second, "down").mapInArrow(_pass_down(f, totals, n), "block long, scores binary")
+    scores = met(met(buckets, first, "first"), second, "down").mapInArrow(_pass_down(f, totals, uppers), "block long, scores binary")
     scores = materialize(scores, "scores", compression="none")
     blocks = materialize(kept.where("bucket < 0").select("block", "data"), "blocks", compression="none")
     spark.sql(f"drop table {table}")
