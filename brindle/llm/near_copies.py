@@ -6,11 +6,13 @@ lies further apart, which no fingerprint radius finds without drowning in chance
 all sets in one global order, two similar sets of sizes n and m share one of the first n - ceil(4n/5) + 1 of the one and as
 many of the other. Any order is right; the shingles of a bounded sample go last, the most frequent at the very end, so that
 common passages make few candidates. Only pairs of different groups are looked at: each member of a bucket with the bucket's
-least node, then, where groups still differ in a bucket, all pairs of it in a grid of cells.
+least node; where groups still differ in a bucket, each member with the nearest one of another group by their sketches, which
+joins what a large group consists of by no more pairs than it has rows; and where they differ then, all pairs that pass.
 
 No pair is missed, and no pair links unverified (on sets of 64-bit shingle hashes). Before whole sets travel, a pair must pass
-its sketches: counts of members by SLOTS hash slots, whose differences add up to no more than the sets' difference, which is
-at most (n + m) / 9 for similar sets.
+its sketches: counts of members by SLOTS hash slots, modulo 16, whose differences add up to no more than the sets' difference,
+which is at most (n + m) / 9 for similar sets. Buckets are looked at in a grid of cells, whose rows carry the sketches, so that
+only pairs that pass leave a cell.
 
 Defined cases: a null text counts as empty; texts without words are one group; fewer words than a shingle make one shingle of
 all words; a null id joins its group and never names it; an empty table gives an empty result.
@@ -30,10 +32,12 @@ from .common import LOWER, bucket_cells, connected_components, materialize, mix6
 from .simhash import linked_fingerprints, majority
 
 SEED = 42
-SLOTS, BITS = 256, 128
+SLOTS = 256
 CELL_CAP = 2048
 #: Members of sets that a task keeps at hand.
 HELD = 1 << 21
+#: Pairs whose sketches are compared at once.
+COMPARED = 1 << 16
 SAMPLE_DOCS, COMMON = 4000, 1 << 16
 
 
@@ -72,29 +76,41 @@ def similar(both, n, m):
 
 
 def slot_counts(s: np.ndarray) -> np.ndarray:
-    """Members of a set by hash slot, modulo 256."""
-    return np.bincount((s >> np.uint64(20)).astype(np.int64) % SLOTS, minlength=SLOTS).astype(np.uint8)
+    """Members of a set by hash slot, modulo 16."""
+    return (np.bincount((s >> np.uint64(20)).astype(np.int64) % SLOTS, minlength=SLOTS) & 15).astype(np.uint8)
+
+
+def sketch(s: np.ndarray) -> bytes:
+    """The slot counts of a set, two to a byte."""
+    c = slot_counts(s)
+    return (c[::2] | c[1::2] << 4).tobytes()
+
+
+def unpacked_sketches(column: pa.Array) -> np.ndarray:
+    """A column of sketches to a row of slot counts each."""
+    packed = np.frombuffer(b"".join(v.as_buffer() for v in column), np.uint8).reshape(-1, SLOTS // 2)
+    out = np.empty((len(packed), SLOTS), dtype=np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & 15, packed >> 4
+    return out
 
 
 def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """What the sets of two arrays of slot counts differ in at least."""
-    d = x - y
-    return np.minimum(d, -d).sum(axis=-1, dtype=np.int64)
+    d = (x - y) & 15
+    return np.minimum(d, 16 - d).sum(axis=-1, dtype=np.int64)
 
 
-_SETS = (("node", "long"), ("n", "integer"), ("fp", "long"), ("p0", "long"), ("p1", "long"), ("sketch", "binary"), ("prefix", "binary"), ("text", "binary"))
+_SETS = (("node", "long"), ("n", "integer"), ("fp", "long"), ("sketch", "binary"), ("prefix", "binary"), ("text", "binary"))
 
 
 def _sets(shingle: int, common: np.ndarray):
-    """mapInArrow function: (id, text) with the set's name, size, fingerprint, parities, sketch and prefix; the set itself can be had from the text."""
+    """mapInArrow function: (id, text) with the set's name, size, fingerprint, sketch and prefix; the set itself can be had from the text."""
     known = np.argsort(common)
     table = common[known]
-    types = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    types = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
 
     def one(s: np.ndarray) -> tuple:
         n = len(s)
-        slots = slot_counts(s)
-        p0, p1 = np.packbits((slots[:BITS] + slots[BITS:]) & 1).view("<i8").tolist()
         m = n - (4 * n + 4) // 5 + 1
         first = s
         if len(table):
@@ -104,7 +120,7 @@ def _sets(shingle: int, common: np.ndarray):
                 late = s[hit]
                 first = np.concatenate([s[~hit], late[np.argsort(known[at[hit]])]])
         node = int(np.uint64(xxhash.xxh3_64_intdigest(s.tobytes(), SEED)).view(np.int64))
-        return node, n, int(np.uint64(majority(s)).view(np.int64)), p0, p1, slots.tobytes(), first[:m].tobytes()
+        return node, n, int(np.uint64(majority(s)).view(np.int64)), sketch(s), first[:m].tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, data, offsets in text_blocks(batches, "text"):
@@ -184,30 +200,59 @@ def _buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         carried = {k: v[last] for k, v in c.items()}, np.full(len(last), size[-1] > 1)
 
 
-def _cross_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Cells of buckets to pairs (a, b) of nodes of different groups that may be similar, without those of the hub."""
-    if not (batches := [b for b in batches if b.num_rows]):
-        return
-    table = pa.Table.from_batches(batches)
-    c = {k: table.column(k).to_numpy() for k in table.column_names}
-    order = np.lexsort((c["cy"], c["cx"], c["s"]))
-    c = {k: v[order] for k, v in c.items()}
-    for i, j in pairs_in_runs(run_starts(c["s"], c["cx"], c["cy"])):
-        meet = (c["root"][i] != c["root"][j]) & ((c["cx"][i] == c["cy"][i]) | (c["chunk"][i] != c["chunk"][j])) & (c["node"][i] != c["hub"][i]) & (c["node"][j] != c["hub"][j])
-        i, j = i[meet], j[meet]
-        apart = sum(np.bitwise_count((c[p][i] ^ c[p][j]).view(np.uint64)).astype(np.int64) for p in ("p0", "p1"))
-        keep = _close(c["n"][i], c["n"][j]) & (9 * apart <= c["n"][i].astype(np.int64) + c["n"][j])
-        a, b = c["node"][i[keep]], c["node"][j[keep]]
-        if len(a):
+def _cross_pairs(nearest: bool):
+    """mapInArrow function: cells of buckets to pairs (a, b) of nodes of different groups whose sketches pass, without those of
+    the hub. nearest: of each row only the pair of the least difference, so that there are no more pairs than rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not (batches := [b for b in batches if b.num_rows]):
+            return
+        table = pa.Table.from_batches(batches)
+        c = {k: table.column(k).to_numpy() for k in table.column_names if k != "sketch"}
+        order = np.lexsort((c["cy"], c["cx"], c["s"]))
+        c = {k: v[order] for k, v in c.items()}
+        slots = unpacked_sketches(table.column("sketch"))[order]
+        odd = np.packbits(slots & 1, axis=1).view(np.uint64)
+        n = c["n"].astype(np.int64)
+        best, mate = np.full(len(n), np.iinfo(np.int64).max), np.zeros(len(n), dtype=np.int64)
+
+        def pairs(i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+            a, b = c["node"][i], c["node"][j]
             both = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy())], names=["a", "b"])
+
+        for i, j in pairs_in_runs(run_starts(c["s"], c["cx"], c["cy"])):
+            meet = (c["root"][i] != c["root"][j]) & ((c["cx"][i] == c["cy"][i]) | (c["chunk"][i] != c["chunk"][j])) & (c["node"][i] != c["hub"][i]) & (c["node"][j] != c["hub"][j])
+            i, j = i[meet], j[meet]
+            close = _close(n[i], n[j])
+            i, j = i[close], j[close]
+            apart = sum(np.bitwise_count(odd[i, k] ^ odd[j, k]).astype(np.int64) for k in range(odd.shape[1]))
+            keep = 9 * apart <= n[i] + n[j]
+            i, j = i[keep], j[keep]
+            cuts = [slice(k, k + COMPARED) for k in range(0, len(i), COMPARED)]
+            apart = np.concatenate([np.zeros(0, dtype=np.int64), *(least_difference(slots[i[k]], slots[j[k]]) for k in cuts)])
+            keep = 9 * apart <= n[i] + n[j]
+            i, j, apart = i[keep], j[keep], apart[keep]
+            if nearest:
+                row, other, apart = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([apart, apart])
+                by = np.lexsort((c["node"][other], apart, row))
+                by = by[run_starts(row[by])[:-1]]
+                by = by[apart[by] < best[row[by]]]
+                best[row[by]], mate[row[by]] = apart[by], other[by]
+            elif len(i):
+                yield pairs(i, j)
+        some = np.flatnonzero(best < np.iinfo(np.int64).max)
+        if len(some):
+            yield pairs(some, mate[some])
+
+    return run
 
 
 def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Pairs with sizes and sketches of both to those that may be similar."""
     for b in batches:
         n, m = b.column("xn").to_numpy(), b.column("yn").to_numpy()
-        x, y = (np.frombuffer(b"".join(v.as_buffer() for v in b.column(k)), np.uint8).reshape(-1, SLOTS) for k in ("x", "y"))
+        x, y = (unpacked_sketches(b.column(k)) for k in ("x", "y"))
         yield b.select(["a", "b"]).filter(pa.array(_close(n, m) & (9 * least_difference(x, y) <= n.astype(np.int64) + m)))
 
 
@@ -256,16 +301,17 @@ def _two(pairs: DataFrame, facts: DataFrame, **columns: str) -> DataFrame:
     return pairs
 
 
-def _links(pairs: DataFrame, sets: DataFrame, shingle: int) -> DataFrame:
-    """Those of the pairs (a, b) of nodes whose sets are similar."""
+def _links(pairs: DataFrame, sets: DataFrame, shingle: int, passed: bool = False) -> DataFrame:
+    """Those of the pairs (a, b) of nodes whose sets are similar. passed: their sketches have been compared."""
 
     def of(pairs: DataFrame, *columns: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
         return sets.select("node", *columns).join(nodes, "node", "left_semi")
 
-    pairs = materialize(pairs.distinct(), "pairs")
-    facts = of(pairs, "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-    left = materialize(_two(pairs, facts, n="n", **{"": "sketch"}).mapInArrow(_passes, "a long, b long"), "passes")
+    left = materialize(pairs.distinct(), "pairs")
+    if not passed:
+        facts = of(left, "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+        left = materialize(_two(left, facts, n="n", **{"": "sketch"}).mapInArrow(_passes, "a long, b long"), "passes")
     texts = of(left, "text").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_packed, "node long, z binary")
     return materialize(_two(left, texts, **{"": "z"}).select("a", "b", "x", "y").mapInArrow(_verified(shingle), "a long, b long"), "links")
 
@@ -296,13 +342,15 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     buckets = materialize(prefixes.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_buckets, "s long, node long, n int, hub long, met boolean"), "buckets")
     pairs = buckets.where("met").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = links.union(_links(_rooted(pairs, roots), sets, shingle))
+    sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch"))
+    for nearest in (True, False):
+        roots = connected_components(links)
+        rows = buckets.select("s", "node", "n", "hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rows.groupBy("s").agg((F.min("root") < F.max("root")).alias("_mixed"), F.count(F.lit(1)).alias("_size")).where("_mixed and _size > 2").select("s")
+        cells = bucket_cells(rows.join(mixed, "s", "left_semi"), ["s"], "node", CELL_CAP).join(sketches, "node")
+        pairs = cells.repartition(n, "s", "cx", "cy").mapInArrow(_cross_pairs(nearest), "a long, b long")
+        links = links.union(_links(pairs, sets, shingle, passed=True))
     roots = connected_components(links)
-    rows = buckets.select("s", "node", "n", "hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    mixed = rows.groupBy("s").agg((F.min("root") < F.max("root")).alias("_mixed"), F.count(F.lit(1)).alias("_size")).where("_mixed and _size > 2").select("s")
-    parities = sets.groupBy("node").agg(F.first("p0").alias("p0"), F.first("p1").alias("p1"))
-    cells = bucket_cells(rows.join(mixed, "s", "left_semi").join(parities, "node"), ["s"], "node", CELL_CAP)
-    more = _links(cells.repartition(n, "s", "cx", "cy").mapInArrow(_cross_pairs, "a long, b long"), sets, shingle)
-    roots = connected_components(links.union(more))
     ids = sets.select("id", "node").join(roots, "node", "left").select("id", F.coalesce("root", "node").alias("root"))
     least = ids.groupBy("root").agg(F.min("id").alias("component_id"))
     return ids.join(least, "root").select(F.col("id").alias(id_col), "component_id")

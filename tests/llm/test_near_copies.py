@@ -89,3 +89,26 @@ def test_the_stage_keeps_the_first_of_each_group(spark, sf_dir):
     root = brute_roots([(r.doc_id, r.text) for r in docs.collect()])
     kept = corpus_pipeline.one_of_each(spark, docs, sf_dir)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i in root if root[i] == i}
+
+
+def test_pairs_of_a_large_group_follow_its_rows(spark, monkeypatch):
+    """300 near copies of one text, most of which are near it and not each other: once joined, few of them are compared."""
+    rng = np.random.default_rng(11)
+    base = [f"w{x}" for x in rng.integers(0, 1 << 40, 150)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 301):
+        text = list(base)
+        for at in rng.choice(150, rng.integers(1, 4), replace=False):
+            text[at] = f"x{rng.integers(1 << 40)}"
+        rows.append((k, " ".join(text)))
+    made, write = [], near_copies.materialize
+
+    def counted(df, label, **options):
+        out = write(df, label, **options)
+        made.extend([out.count()] if label == "pairs" else [])
+        return out
+
+    monkeypatch.setattr(near_copies, "materialize", counted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.component_id for r in near_copies.near_copy_components(docs).collect()}
+    assert got == brute_roots(rows) and max(made) <= 4 * len(rows), made
