@@ -74,7 +74,7 @@ def free_shuffles(spark: SparkSession) -> None:
 
 
 def own_names(spark: SparkSession, n: int, each: int) -> np.ndarray:
-    """n * each numbers of which a partitioning by hash into n partitions gives each partition the same number."""
+    """n * each numbers of which a partitioning by hash into n partitions gives each partition one in every n, in order."""
     found = np.zeros(0, dtype=np.int32)
     size = 4 * n * each
     while len(found) < n * each:
@@ -83,7 +83,7 @@ def own_names(spark: SparkSession, n: int, each: int) -> np.ndarray:
         order = np.lexsort((b, p))
         cuts = run_starts(p[order])
         place = np.arange(len(b)) - np.repeat(cuts[:-1], np.diff(cuts))
-        found = np.sort(b[order][place < each])
+        found = b[order][np.lexsort((p[order], place))][: n * each] if np.bincount(p, minlength=n).min() >= each else b[:0]
         size *= 2
     return found.astype(np.int32)
 

@@ -24,6 +24,10 @@ Counts are 64-bit and exact. What each document's tokens got comes back summed b
 Memory: a task holds a bucket at a time (about BUCKET_BYTES of the input, whatever its size). One trigram's tokens always meet
 in one bucket, as an entry each.
 
+Disk: tokens are dealt to buckets in PARTS passes over the texts, a share of the buckets each, so that only a share of what is
+shuffled lies beside the buckets. The passes must see the same blocks; blocks are named by place and content, and where a pass
+finds others (a source whose rows come in another order), all are dealt in one pass.
+
 Defined cases: a null text is empty and has the one token `end`; a null id counts as the empty string in the fold hash;
 repeated rows are separate documents; without training documents every token is unknown and has probability 1, and the base
 score is 0; an empty table gives an empty result.
@@ -38,6 +42,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,6 +60,8 @@ BLOCK = 1 << 21
 BUCKET_BYTES = 2 << 20
 #: Bytes of the input for each partition of the root and the split restaurants: buckets exchange a message with each.
 UPPER_BYTES = 8 << 20
+#: Passes that deal an input of PARTED_BYTES or more.
+PARTS, PARTED_BYTES = 2, 8 << 20
 TAIL = 0xFFFF
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93))
 _FIXED = float(1 << 24)
@@ -185,8 +192,9 @@ def _frequent(source: DataFrame) -> Frequent:
 _MESSAGE = "bucket int, block long, n long, data binary, extra binary"
 
 
-def _gather(f: Frequent, names: np.ndarray):
-    """(id, held, text) to messages: each block's tokens by bucket (data: codes, tail hashes; extra: held documents), and its documents (bucket < 0)."""
+def _gather(f: Frequent, names: np.ndarray, part_of: np.ndarray, this: int):
+    """(id, held, text) to messages: each block's tokens by bucket (data: codes, tail hashes; extra: held documents), and its documents
+    (bucket < 0; the data in the first part only). Of the buckets only those of this part."""
     buckets = np.uint64(len(names))
     by_hash = np.argsort(f.codes)
     table = f.codes[by_hash]
@@ -198,7 +206,12 @@ def _gather(f: Frequent, names: np.ndarray):
                 o = offsets[lo : lo + part.num_rows + 1]
                 h, bounds = _tokens(data[o[0] : o[-1]], o - o[0])
                 held = part.column("held").to_numpy(zero_copy_only=False)
-                block = part.column("row")[0].as_py()
+                ids = part.column("id")
+                flat, null = ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False)
+                named = xxhash.xxh3_64(struct.pack("<q", part.column("row")[0].as_py()))
+                for x in (flat, null, held, bounds, h):
+                    named.update(np.ascontiguousarray(x).tobytes())
+                block = int(np.uint64(named.intdigest()).view(np.int64))
                 doc = np.repeat(np.arange(part.num_rows, dtype=np.uint16), np.diff(bounds))
                 known, w = np.unique(np.append(h, START), return_inverse=True)
                 w, start = w[:-1].astype(np.int32), w[-1]
@@ -212,10 +225,10 @@ def _gather(f: Frequent, names: np.ndarray):
                 often = _rank(f.pairs, pair) >= 0
                 route[very] = np.where(often, dish_key(pair, known[w[very]]), pair)
                 route = (route % buckets).astype(np.uint32)
-                order = np.argsort(route.astype(np.uint16) if buckets < 1 << 16 else route, kind="stable")
+                order = np.flatnonzero(part_of[route] == this)
+                order = order[np.argsort(route[order].astype(np.uint16) if buckets < 1 << 16 else route[order], kind="stable")]
                 cuts = run_starts(route[order])
-                ids = part.column("id")
-                out = [(-1 - block % len(names), block, part.num_rows, _pack(ids.fill_null(0).to_numpy().astype("<i8"), ids.is_null().to_numpy(zero_copy_only=False), held, np.diff(bounds).astype("<u4")), b"")]
+                out = [(-1 - block % len(names), block, part.num_rows, b"" if this else _pack(flat, null, held, np.diff(bounds).astype("<u4")), b"")]
                 flags = held.tobytes()
                 for a, b in zip(cuts, cuts[1:]):
                     at = order[a:b]
@@ -624,12 +637,25 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
     each = max(4, -(-(size if size < 1 << 60 else 0) // (BUCKET_BYTES * n)))
     names = own_names(spark, n, each)
     uppers = max(1, min(n, -(-size // UPPER_BYTES)))
-    # a block is named by its first row's number: unique, and the same again if a task is run again
-    gathered = source.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_gather(f, names), _MESSAGE)
-    # the buckets, as a bucketed table: they are shuffled once and met where they are
-    folder, table = new_folder(spark, "dishes"), f"brindle_dishes_{uuid.uuid4().hex}"
-    gathered.repartition(n, "bucket").mapInArrow(_organise(f, uppers), _KEPT).write.bucketBy(n, "bucket").format("parquet").option("compression", "none").option("path", folder).saveAsTable(table)
-    free_shuffles(spark)
+    numbered = source.withColumn("row", F.monotonically_increasing_id())
+
+    def dealt(parts: int) -> tuple[str, str]:
+        """The buckets, as a bucketed table: they are shuffled once and met where they are."""
+        folder, table = new_folder(spark, "dishes"), f"brindle_dishes_{uuid.uuid4().hex}"
+        part_of = np.arange(len(names)) // n % parts
+        for this in range(parts):
+            rows = numbered.mapInArrow(_gather(f, names, part_of, this), _MESSAGE).repartition(n, "bucket").mapInArrow(_organise(f, uppers), _KEPT)
+            rows.write.mode("append").bucketBy(n, "bucket").format("parquet").option("compression", "none").option("path", folder).saveAsTable(table)
+            del rows
+            free_shuffles(spark)
+        return folder, table
+
+    parts = PARTS if PARTED_BYTES <= size < 1 << 60 else 1
+    folder, table = dealt(parts)
+    if parts > 1 and not spark.table(table).where("bucket < 0").groupBy("block").count().where(F.col("count") != parts).isEmpty():
+        spark.sql(f"drop table {table}")
+        drop_folders(spark, folder)
+        folder, table = dealt(1)
     kept = spark.table(table)
     buckets = kept.where("bucket >= 0").select("bucket", "data", "extra")
 
@@ -657,7 +683,7 @@ def score_documents(docs: DataFrame, held_out, id_col: str = "doc_id", text: str
         totals = Totals(rates, totals.tokens, totals.words, above[1:3], above[3 : 3 + 2 * w].reshape(2, w), pairs.reshape(2, p))
     scores = met(met(buckets, first, "first"), second, "down").mapInArrow(_pass_down(f, totals, uppers), "block long, scores binary")
     scores = materialize(scores, "scores", compression="none")
-    blocks = materialize(kept.where("bucket < 0").select("block", "data"), "blocks", compression="none")
+    blocks = materialize(kept.where("bucket < 0 and length(data) > 0").select("block", "data"), "blocks", compression="none")
     spark.sql(f"drop table {table}")
     drop_folders(spark, folder)
     free_shuffles(spark)

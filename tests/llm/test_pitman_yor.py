@@ -4,6 +4,7 @@ import math
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 from helpers import WORD, lower
 
@@ -263,3 +264,34 @@ def test_large_restaurants_are_seated_alike():
             n += rng.random() < new / (new + j - 0.5 * n)
         want.append(n)
     assert abs(t.mean() - np.mean(want)) < 4 * np.std(want) / math.sqrt(150)
+
+
+def _scored(spark, docs):
+    return sorted((repr(r.doc_id), *r[1:6], round(r.base_score, 5), round(r.score, 3)) for r in P.score_documents(docs, P.fold(docs["doc_id"]) == 2).collect())
+
+
+def test_passes_deal_a_share_of_the_buckets_each(spark, monkeypatch, tmp_path):
+    """Two passes send every token once and give the scores of one; passes that see other blocks give way to one."""
+    rng = np.random.default_rng(5)
+    rows = [(k if k % 9 else None, " ".join(f"w{x}" for x in rng.zipf(1.4, rng.integers(0, 80)) % 300)) for k in range(200)] + [(7, None), (7, ""), (7, "w1 w2 w1")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    monkeypatch.setattr(P, "PARTED_BYTES", 1 << 61)
+    once = _scored(spark, docs)
+    calls, gather = [], P._gather
+
+    def seen(f, names, part_of, this):
+        calls.append((int(part_of.max()) + 1, float((part_of == this).mean())))
+        return gather(f, names, part_of, this)
+
+    monkeypatch.setattr(P, "PARTED_BYTES", 0)
+    monkeypatch.setattr(P, "_gather", seen)
+    assert _scored(spark, docs) == once and calls == [(2, 0.5), (2, 0.5)]
+
+    def moved(f, names, part_of, this):
+        run = seen(f, names, part_of, this)
+        return (lambda batches: run(b.set_column(b.schema.get_field_index("row"), "row", pc.add(b.column("row"), 1)) for b in batches)) if this else run
+
+    calls.clear()
+    monkeypatch.setattr(P, "_gather", moved)
+    assert _scored(spark, docs) == once and calls == [(2, 0.5), (2, 0.5), (1, 1.0)]
