@@ -312,7 +312,8 @@ def _links(pairs: DataFrame, sets: DataFrame, shingle: int, passed: bool = False
     if not passed:
         facts = of(left, "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
         left = materialize(_two(left, facts, n="n", **{"": "sketch"}).mapInArrow(_passes, "a long, b long"), "passes")
-    texts = of(left, "text").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(_packed, "node long, z binary")
+    # packed before the only shuffle of texts: both joins meet them as they are grouped
+    texts = of(left, "text").mapInArrow(_packed, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
     return materialize(_two(left, texts, **{"": "z"}).select("a", "b", "x", "y").mapInArrow(_verified(shingle), "a long, b long"), "links")
 
 
