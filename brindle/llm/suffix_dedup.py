@@ -47,6 +47,8 @@ BLOCK = 1 << 21
 BUCKET_BYTES = 1 << 20
 #: Distinct segments of a numpy pass over a bucket's suffixes.
 CHUNK = 12_000
+#: Segments that are cut out of texts at once.
+SPOTS = 1 << 14
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -192,13 +194,21 @@ def _texts(b: pa.RecordBatch, limit: int = 4 * BLOCK) -> Iterator[tuple[int, int
         first = last
 
 
+def _block_texts(b: pa.RecordBatch, blocks: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """What _texts gives, a block at a time: minimizers take some fifty times their text in memory."""
+    cuts = run_starts(blocks)
+    for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
+        for first, last, data, offsets in _texts(b.slice(x, y - x)):
+            yield x + first, x + last, data, offsets
+
+
 def _entries(buckets: int):
     """Texts to (bucket, block, keys, places): a block's distinct minimizer hashes for each bucket; bucket < 0: places known to be shared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             blocks, starts = b.column("block").to_numpy(), b.column("start").to_numpy()
-            for first, last, data, offsets in _texts(b):
+            for first, last, data, offsets in _block_texts(b, blocks):
                 at, h = minimizers(data, offsets)
                 doc = np.searchsorted(offsets, at, side="right") - 1 + first
                 place = (at - offsets[doc - first] + starts[doc]).astype(np.uint32)
@@ -304,11 +314,13 @@ def _segments(buckets: int):
                 records["at"] = at
                 records["left"] = np.minimum(at, REACH)
                 records["right"] = np.minimum(offsets[doc + 1] - here, LENGTH)
-                segment = padded[here[:, None] + reach + REACH]
-                segment[(reach < -records["left"][:, None].astype(int)) | (reach >= records["right"][:, None].astype(int))] = 0
-                records["segment"] = segment
-                w = words8(segment.ravel()).reshape(-1, SEGMENT)
-                h = mix64(w[:, REACH] * _M1 + w[:, REACH + 8] * _M2)
+                for x in range(0, len(at), SPOTS):  # the places of all bytes take eight times what they hold
+                    part = records[x : x + SPOTS]
+                    segment = padded[here[x : x + SPOTS, None] + reach + REACH]
+                    segment[(reach < -part["left"][:, None].astype(int)) | (reach >= part["right"][:, None].astype(int))] = 0
+                    part["segment"] = segment
+                w = np.ascontiguousarray(records["segment"][:, REACH : REACH + KMER]).view(">u8").astype(np.uint64)
+                h = mix64(w[:, 0] * _M1 + w[:, 1] * _M2)
                 bucket = (h % np.uint64(buckets)).astype(np.int32)
                 order = np.lexsort((h, bucket))
                 cuts = run_starts(bucket[order])
