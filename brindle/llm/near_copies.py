@@ -12,7 +12,8 @@ joins what a large group consists of by no more pairs than it has rows; and wher
 No pair is missed, and no pair links unverified (on sets of 64-bit shingle hashes). Before whole sets travel, a pair must pass
 its sketches: counts of members by SLOTS hash slots, modulo 16, whose differences add up to no more than the sets' difference,
 which is at most (n + m) / 9 for similar sets. Buckets are looked at in a grid of cells, whose rows carry the sketches, so that
-only pairs that pass leave a cell.
+only pairs that pass leave a cell; before their texts travel, these must pass wider sketches, which have about a slot for each
+member. What is asked of a text is asked where it lies: a bitmap of the nodes of all pairs goes there, not the texts to the pairs.
 
 Defined cases: a null text counts as empty; texts without words are one group; fewer words than a shingle make one shingle of
 all words; a null id joins its group and never names it; an empty table gives an empty result.
@@ -28,11 +29,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, bucket_cells, connected_components, materialize, mix64, pairs_in_runs, partitions, prefix_hashes, run_starts, span_hashes, text_blocks, word_bounds
+from .common import LOWER, bucket_cells, connected_components, free_shuffles, materialize, mix64, pairs_in_runs, partitions, prefix_hashes, run_starts, span_hashes, text_blocks, word_bounds
 from .simhash import linked_fingerprints, majority
 
 SEED = 42
 SLOTS = 256
+#: Slots of the wide sketches at least and at most (powers of two).
+WIDE_SLOTS = 512, 8192
+#: Bits of the bitmap of nodes that are asked for; where nodes fill it, more texts than needed pass, and none is missed.
+ASKED_BITS = 1 << 25
 CELL_CAP = 2048
 #: Members of sets that a task keeps at hand.
 HELD = 1 << 21
@@ -100,6 +105,24 @@ def least_difference(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.minimum(d, 16 - d).sum(axis=-1, dtype=np.int64)
 
 
+def wide_sketch(s: np.ndarray) -> bytes:
+    """Members of a set by hash slot, modulo 4 and four to a byte; as many slots as members, within WIDE_SLOTS."""
+    slots = min(max(WIDE_SLOTS[0], 1 << (len(s) - 1).bit_length()), WIDE_SLOTS[1])
+    c = np.bincount((s >> np.uint64(20)).astype(np.int64) & (slots - 1), minlength=slots).astype(np.uint8) & 3
+    return (c[::4] | c[1::4] << 2 | c[2::4] << 4 | c[3::4] << 6).tobytes()
+
+
+def wide_difference(x: bytes, y: bytes) -> int:
+    """What the sets of two wide sketches differ in at least. The longer sketch is folded to the slots of the shorter one."""
+    counts = []
+    for v in (x, y):
+        packed = np.frombuffer(v, np.uint8)
+        c = np.stack([packed >> k & 3 for k in (0, 2, 4, 6)], axis=1).ravel()
+        counts.append(c.reshape(-1, 4 * min(len(x), len(y))).sum(axis=0, dtype=np.uint8))
+    d = (counts[0] - counts[1]) & 3
+    return int(np.minimum(d, 4 - d).sum(dtype=np.int64))
+
+
 _SETS = (("node", "long"), ("n", "integer"), ("fp", "long"), ("sketch", "binary"), ("prefix", "binary"), ("text", "binary"))
 
 
@@ -130,6 +153,11 @@ def _sets(shingle: int, common: np.ndarray):
     return run
 
 
+def _sample(source: DataFrame) -> DataFrame:
+    """About SAMPLE_DOCS texts from all over the table: a limit would first bring as many of each partition to one task."""
+    return source.select("text").sample(min(1.0, SAMPLE_DOCS / max(1, source.count())), SEED).where(F.length("text") < 200_000)
+
+
 def _common(source: DataFrame, shingle: int) -> np.ndarray:
     """The shingles that several texts of a sample have, the most frequent last. They only decide the order."""
 
@@ -138,7 +166,7 @@ def _common(source: DataFrame, shingle: int) -> np.ndarray:
             s, c = np.unique(np.concatenate(list(block_sets(data, offsets, shingle))), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)), pa.array(c)], names=["s", "c"])
 
-    got = source.select("text").where(F.length("text") < 200_000).limit(SAMPLE_DOCS).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
+    got = _sample(source).mapInArrow(run, "s long, c long").groupBy("s").agg(F.sum("c").alias("c"))
     got = got.where("c > 1").orderBy(F.desc("c"), "s").limit(COMMON).toArrow().column("s").to_numpy()
     return got.view(np.uint64)[::-1]
 
@@ -256,6 +284,14 @@ def _passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select(["a", "b"]).filter(pa.array(_close(n, m) & (9 * least_difference(x, y) <= n.astype(np.int64) + m)))
 
 
+def _wide_passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs with sizes and wide sketches of both to those that may be similar."""
+    for b in batches:
+        apart = [wide_difference(x.as_buffer(), y.as_buffer()) for x, y in zip(b.column("x"), b.column("y"))]
+        most = b.column("xn").to_numpy().astype(np.int64) + b.column("yn").to_numpy()
+        yield b.select(["a", "b"]).filter(pa.array(9 * np.array(apart, dtype=np.int64) <= most))
+
+
 def _verified(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
@@ -282,11 +318,54 @@ def _verified(shingle: int):
     return run
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts compressed, behind their lengths."""
+def _bitmap(pairs: DataFrame) -> np.ndarray:
+    """The nodes of the pairs as bits, at their values modulo ASKED_BITS."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node")))
+    words = nodes.select(F.expr(f"cast((node & {ASKED_BITS - 1}) >> 5 as int)").alias("w"), F.expr("shiftleft(1L, cast(node & 31 as int))").alias("bit")).groupBy("w").agg(F.bit_or("bit").alias("bits")).toArrow()
+    out = np.zeros(ASKED_BITS // 32, dtype=np.uint32)
+    out[words.column("w").to_numpy()] = words.column("bits").to_numpy().astype(np.uint32)
+    return out
+
+
+def _asked(batches: Iterator[pa.RecordBatch], bitmap: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The rows of nodes of the bitmap; equal sets of a batch give one."""
     for b in batches:
-        z = [len(t.as_buffer()).to_bytes(8, "little") + pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in b.column("text")]
-        yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(z, pa.binary())], names=["node", "z"])
+        at = b.column("node").to_numpy() & (ASKED_BITS - 1)
+        hit = np.flatnonzero(bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1)
+        if len(hit):
+            _, first = np.unique(b.column("node").to_numpy()[hit], return_index=True)
+            yield b.take(pa.array(hit[np.sort(first)]))
+
+
+def _facts(bitmap: np.ndarray):
+    """mapInArrow function: (node, n, sketch) of those that are asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from _asked(batches, bitmap)
+
+    return run
+
+
+def _wide_facts(bitmap: np.ndarray, shingle: int):
+    """mapInArrow function: (node, text) to (node, n, sketch) of those that are asked for, with wide sketches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, data, offsets in text_blocks(_asked(batches, bitmap)):
+            n, wide = zip(*((len(s), wide_sketch(s)) for s in block_sets(data, offsets, shingle)))
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(n, pa.int32()), pa.array(wide, pa.binary())], names=["node", "n", "sketch"])
+
+    return run
+
+
+def _packed(bitmap: np.ndarray):
+    """mapInArrow function: (node, text) to (node, z) of those that are asked for: texts compressed, behind their lengths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in _asked(batches, bitmap):
+            z = [len(t.as_buffer()).to_bytes(8, "little") + pa.compress(t.as_buffer(), codec="zstd", asbytes=True) for t in b.column("text")]
+            yield pa.RecordBatch.from_arrays([b.column("node"), pa.array(z, pa.binary())], names=["node", "z"])
+
+    return run
 
 
 def _unpacked(value: pa.Scalar) -> bytes:
@@ -303,18 +382,19 @@ def _two(pairs: DataFrame, facts: DataFrame, **columns: str) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, shingle: int, passed: bool = False) -> DataFrame:
     """Those of the pairs (a, b) of nodes whose sets are similar. passed: their sketches have been compared."""
-
-    def of(pairs: DataFrame, *columns: str) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        return sets.select("node", *columns).join(nodes, "node", "left_semi")
-
     left = materialize(pairs.distinct(), "pairs")
-    if not passed:
-        facts = of(left, "n", "sketch").groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
-        left = materialize(_two(left, facts, n="n", **{"": "sketch"}).mapInArrow(_passes, "a long, b long"), "passes")
+    texts, bitmap = sets.select("node", "text"), _bitmap(left)
+    if passed:
+        facts, passes = texts.mapInArrow(_wide_facts(bitmap, shingle), "node long, n int, sketch binary"), _wide_passes
+    else:
+        facts, passes = sets.select("node", "n", "sketch").mapInArrow(_facts(bitmap), "node long, n int, sketch binary"), _passes
+    facts = facts.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    left = materialize(_two(left, facts, n="n", **{"": "sketch"}).mapInArrow(passes, "a long, b long"), "passes")
     # packed before the only shuffle of texts: both joins meet them as they are grouped
-    texts = of(left, "text").mapInArrow(_packed, "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
-    return materialize(_two(left, texts, **{"": "z"}).select("a", "b", "x", "y").mapInArrow(_verified(shingle), "a long, b long"), "links")
+    texts = texts.mapInArrow(_packed(_bitmap(left)), "node long, z binary").groupBy("node").agg(F.first("z").alias("z"))
+    out = materialize(_two(left, texts, **{"": "z"}).select("a", "b", "x", "y").mapInArrow(_verified(shingle), "a long, b long"), "links")
+    free_shuffles(pairs.sparkSession)
+    return out
 
 
 def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
@@ -324,6 +404,13 @@ def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.where(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
 
 
+def _different(buckets: DataFrame) -> DataFrame:
+    """The rows of buckets of three nodes or more, one bucket for each set of nodes: all shingles of a passage have the same."""
+    nodes = [F.bit_xor(F.xxhash64("node", F.lit(k))).alias(f"_h{k}") for k in (1, 2)]
+    heads = buckets.groupBy("s").agg(F.count(F.lit(1)).alias("_size"), *nodes).where("_size > 2").groupBy("_size", "_h1", "_h2").agg(F.min("s").alias("s"))
+    return buckets.select("s", "node", "n", "hub").join(heads.select("s"), "s", "left_semi")
+
+
 def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """(id_col, component_id): a row per document; the component is named by its least id."""
     n = partitions(docs.sparkSession)
@@ -343,11 +430,12 @@ def near_copy_components(docs: DataFrame, id_col: str = "doc_id", text: str = "t
     buckets = materialize(prefixes.repartition(n, "s").sortWithinPartitions("s", "node").mapInArrow(_buckets, "s long, node long, n int, hub long, met boolean"), "buckets")
     pairs = buckets.where("met").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
     links = links.union(_links(_rooted(pairs, roots), sets, shingle))
+    buckets = materialize(_different(buckets), "different")
     sketches = sets.groupBy("node").agg(F.first("sketch").alias("sketch"))
     for nearest in (True, False):
         roots = connected_components(links)
-        rows = buckets.select("s", "node", "n", "hub").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        mixed = rows.groupBy("s").agg((F.min("root") < F.max("root")).alias("_mixed"), F.count(F.lit(1)).alias("_size")).where("_mixed and _size > 2").select("s")
+        rows = buckets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+        mixed = rows.groupBy("s").agg((F.min("root") < F.max("root")).alias("_mixed")).where("_mixed").select("s")
         cells = bucket_cells(rows.join(mixed, "s", "left_semi"), ["s"], "node", CELL_CAP).join(sketches, "node")
         pairs = cells.repartition(n, "s", "cx", "cy").mapInArrow(_cross_pairs(nearest), "a long, b long")
         links = links.union(_links(pairs, sets, shingle, passed=True))
