@@ -1,14 +1,14 @@
 """Column functions over text, piece and token-id columns.
 
 Splitting, counting, wrapping and guarding are native expressions; merging, span arithmetic, decoding and NFC are Arrow
-functions that take whole batches. A null text gives null, an empty text gives no tokens.
+functions that take whole batches and work on them in slices. A null text gives null, an empty text gives no tokens.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Collection
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, ByteType, StringType, StructField, StructType
 
 from ..encoding import Encoding
+from .bpe import _offsets, _parts, row_slices
 from .grammars import java_pattern
 
 #: Below U+0300 no character changes under NFC, so only other texts are looked at.
@@ -42,6 +43,11 @@ def pretokenize(text: Column | str, grammar: str) -> Column:
     return F.regexp_extract_all(_col(text), F.lit(java_pattern(grammar)), F.lit(0))
 
 
+def _each(values: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
+    """f of each row, null for null; as many rows are Python objects at a time as make a slice."""
+    return pa.concat_arrays([pa.array([None if x is None else f(x) for x in part.to_pylist()], kind) for part in row_slices(values)])
+
+
 @F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
     return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
@@ -106,39 +112,22 @@ def _ordered(enc: Encoding, some: Collection[str] | None) -> list[str]:
     return [s for s, _ in enc.special_items if some is None or s in some]
 
 
-def _segment(piece: Column, special: Column) -> Column:
-    return F.struct(piece.alias("piece"), special.alias("special"))
-
-
-def special_segments(text: Column | str, strings: Collection[str]) -> Column:
-    """array<struct<piece, special>>: the text cut at the special strings, in order; empty ordinary segments are left out."""
-    text = _col(text)
-    pattern = _alternation(strings)
-    between, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    plain = F.transform(between, lambda s: _segment(s, F.lit(False)))
-    marked = F.transform(found, lambda s: _segment(s, F.lit(True)))
-    pairs = F.flatten(F.transform(F.arrays_zip(plain.alias("a"), marked.alias("b")), lambda z: F.array(z["a"], z["b"])))
-    return F.filter(pairs, lambda s: s.isNotNull() & (s["piece"] != ""))
-
-
 def encode_with_special(text: Column | str, enc: Encoding, allowed: Collection[str] | None = None) -> Column:
     """array<int> of ids in which the special strings (allowed, or all) become their own ids."""
     strings = _ordered(enc, allowed)
     if not strings:
         return encode(text, enc)
-    text, worker, pattern = _col(text), enc.on_workers(_session()), java_pattern(enc.grammar)
-    segments = special_segments(text, strings)
+    text, worker, special, pattern = _col(text), enc.on_workers(_session()), _alternation(strings), java_pattern(enc.grammar)
+    between, marks = F.split(text, special, -1), F.regexp_extract_all(text, F.lit(special), F.lit(0))
     if enc.nfc:  # between special tokens
-        clean = _nfc_each(F.transform(segments, lambda s: s["piece"]))
-        segments = F.zip_with(segments, clean, lambda s, c: _segment(F.when(s["special"], s["piece"]).otherwise(c), s["special"]))
-    cut = F.flatten(F.transform(segments, lambda s: F.when(s["special"], F.array(_segment(s["piece"], F.lit(True)))).otherwise(F.transform(F.regexp_extract_all(s["piece"], F.lit(pattern), F.lit(0)), lambda p: _segment(p, F.lit(False))))))
+        between = _nfc_each(between)
 
     @F.arrow_udf("array<int>")
-    def merged(pieces: pa.Array, special: pa.Array) -> pa.Array:
-        return worker().encode(pieces, special)
+    def merged(segments: pa.Array, specials: pa.Array) -> pa.Array:
+        return worker().encode_marked(segments, specials)
 
-    # named here, since Spark can't make up a name for a function over structs
-    return merged(F.transform(cut, lambda p: p["piece"]), F.transform(cut, lambda p: p["special"])).alias("ids")
+    # named here, since Spark can't make up a name for a function of a lambda
+    return merged(F.transform(between, lambda s: F.regexp_extract_all(s, F.lit(pattern), F.lit(0))), marks).alias("ids")
 
 
 def disallowed_strings(enc: Encoding, allowed_special: Collection[str] | str = (), disallowed_special: Collection[str] | str = "all") -> list[str]:
@@ -163,6 +152,9 @@ def encode_guarded(text: Column | str, enc: Encoding, allowed_special: Collectio
     return encode_with_special(safe, enc, allowed) if allowed else encode(safe, enc)
 
 
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+
+
 def token_spans(ids: Column | str, enc: Encoding, unit: str = "byte") -> Column:
     """array<struct<start, end>> of the tokens' places in the (normalized) text, in bytes or code points.
 
@@ -172,13 +164,20 @@ def token_spans(ids: Column | str, enc: Encoding, unit: str = "byte") -> Column:
         raise ValueError(f"unit must be 'byte' or 'char', not {unit!r}")
     worker = enc.on_workers(_session())
 
-    @F.arrow_udf("struct<starts:array<bigint>,ends:array<bigint>>")
-    def spans(i: pa.Array) -> pa.Array:
-        starts, ends = worker().spans(i, unit)
-        return pa.StructArray.from_arrays([starts, ends], names=["starts", "ends"])
+    @F.arrow_udf(_SPANS)
+    def spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for i in row_slices(batch):
+                starts, ends = worker().spans(i, unit)
+                yield _structs(i, start=pa.array(starts), end=pa.array(ends))
 
-    both = spans(_col(ids))
-    return F.zip_with(both["starts"], both["ends"], lambda s, e: F.struct(s.alias("start"), e.alias("end")))
+    return spans(_col(ids))
+
+
+def _structs(lists: pa.Array, **values: pa.Array) -> pa.Array:
+    """Lists as long as those of lists, of structs of these values."""
+    rows, offsets, _ = _parts(lists)
+    return pa.ListArray.from_arrays(_offsets(offsets, rows), pa.StructArray.from_arrays(list(values.values()), names=list(values)))
 
 
 def encode_with_offsets(text: Column | str, enc: Encoding, unit: str = "byte") -> Column:
@@ -187,13 +186,30 @@ def encode_with_offsets(text: Column | str, enc: Encoding, unit: str = "byte") -
         raise ValueError(f"unit must be 'byte' or 'char', not {unit!r}")
     text, worker = _col(text), enc.on_workers(_session())
 
-    @F.arrow_udf("struct<ids:array<int>,starts:array<bigint>,ends:array<bigint>>")
-    def both(pieces: pa.Array) -> pa.Array:
-        ids = worker().encode(pieces)
-        return pa.StructArray.from_arrays([ids, *worker().spans(ids, unit)], names=["ids", "starts", "ends"])
+    @F.arrow_udf(f"struct<ids:array<int>,spans:{_SPANS}>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for ids in row_slices(worker().encode(batch)):
+                starts, ends = worker().spans(ids, unit)
+                yield pa.StructArray.from_arrays([ids, _structs(ids, start=pa.array(starts), end=pa.array(ends))], names=["ids", "spans"])
+
+    return both(pretokenize(nfc(text) if enc.nfc else text, enc.grammar))
+
+
+def encode_to_rows(text: Column | str, enc: Encoding, unit: str) -> Column:
+    """array<struct<id, start, end>>: ids and spans as posexplode takes them, without an expression per token in Spark."""
+    if unit not in ("byte", "char"):
+        raise ValueError(f"unit must be 'byte' or 'char', not {unit!r}")
+    text, worker = _col(text), enc.on_workers(_session())
+
+    @F.arrow_udf("array<struct<id:int,start:bigint,end:bigint>>")
+    def rows(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            for ids in row_slices(worker().encode(batch)):
+                starts, ends = worker().spans(ids, unit)
+                yield _structs(ids, id=ids.flatten(), start=pa.array(starts), end=pa.array(ends))
 
-    got = both(pretokenize(nfc(text) if enc.nfc else text, enc.grammar))
-    return F.struct(got["ids"].alias("ids"), F.zip_with(got["starts"], got["ends"], lambda s, e: F.struct(s.alias("start"), e.alias("end"))).alias("spans"))
+    return rows(pretokenize(nfc(text) if enc.nfc else text, enc.grammar))
 
 
 # -- bytes that need not be UTF-8 -------------------------------------------------------------
@@ -283,7 +299,7 @@ def decode(ids: Column | str, enc: Encoding, errors: str = "replace", on_unknown
 
     @F.arrow_udf("string")
     def text(b: pa.Array) -> pa.Array:
-        return pa.array([None if x is None else x.decode("utf-8", errors) for x in b.to_pylist()], pa.string())
+        return _each(b, lambda x: x.decode("utf-8", errors), pa.string())
 
     return text(raw)
 
