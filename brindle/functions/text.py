@@ -50,17 +50,18 @@ def _each(values: pa.Array, f: Callable, kind: pa.DataType) -> pa.Array:
 
 @F.arrow_udf(StringType())
 def _nfc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.normalize("NFC", t) for t in texts.to_pylist()], pa.string())
+    return _each(texts, lambda t: unicodedata.normalize("NFC", t), pa.string())
 
 
 @F.arrow_udf(ArrayType(StringType()))
 def _nfc_each(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else [unicodedata.normalize("NFC", x) for x in t] for t in texts.to_pylist()], pa.list_(pa.string()))
+    rows, offsets, flat = _parts(texts)
+    return pa.ListArray.from_arrays(_offsets(offsets, rows), _each(flat, lambda t: unicodedata.normalize("NFC", t), pa.string()))
 
 
 @F.arrow_udf(BooleanType())
 def _is_nfc(texts: pa.Array) -> pa.Array:
-    return pa.array([None if t is None else unicodedata.is_normalized("NFC", t) for t in texts.to_pylist()], pa.bool_())
+    return _each(texts, lambda t: unicodedata.is_normalized("NFC", t), pa.bool_())
 
 
 def is_nfc(text: Column | str) -> Column:

@@ -49,3 +49,9 @@ def test_decoding_takes_a_slice_beside_its_result():
     ids = pa.array([np.arange(50_000, dtype=np.int32)] * 40)
     _, most, _ = traced(lambda: m.decode(ids))
     assert most < 80  # 2 million ids, 13 MB of bytes; all at once took 10 times their bytes and more
+
+
+def test_normalising_holds_a_slice_of_texts():
+    texts = pa.array(["é" * 500] * 20_000)
+    got, most, _ = traced(lambda: T._nfc.func(texts))
+    assert most < 10 and got[0].as_py() == "é" * 500
