@@ -37,6 +37,18 @@ def test_pieces_merged_together_equal_pieces_merged_alone():
         assert [x.tolist() for x in np.split(ids, np.cumsum(size)[:-1])] == [enc.merger.ids_of(p).tolist() for p in pieces]
 
 
+def test_slices_change_nothing(monkeypatch):
+    m = byte_encoding(merges=(b"ab", b"abc"), specials={"<s>": 300}).merger
+    rows = pa.array([["abc", "é"], None, [], ["x" * 200], *([["ab", "c"]] * 50)])
+    whole = m.encode(rows)
+    monkeypatch.setattr(bpe, "SLICE", 16)
+    assert m.encode(rows).equals(whole) and whole.null_count == 1
+    assert m.count(rows).to_pylist() == [None if x is None else len(x) for x in whole.to_pylist()]
+    assert m.decode(whole).to_pylist() == [None if x is None else "".join(x).encode() for x in rows.to_pylist()]
+    assert m.decode(whole.slice(1, 3)).to_pylist() == [None, b"", b"x" * 200]
+    assert [len(x) for x in bpe.row_slices(pa.array(["abc", None, "", "defg", "x"]), 4)] == [3, 1, 1]
+
+
 def test_nothing_stays_of_a_batch():
     m = Q.encoding().merger
     m.encode(pa.array([["a"]]))  # what is built once
@@ -55,3 +67,7 @@ def test_normalising_holds_a_slice_of_texts():
     texts = pa.array(["é" * 500] * 20_000)
     got, most, _ = traced(lambda: T._nfc.func(texts))
     assert most < 10 and got[0].as_py() == "é" * 500
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
