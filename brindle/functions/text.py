@@ -6,18 +6,21 @@ functions that take whole batches and work on them in slices. A null text gives
 
 from __future__ import annotations
 
+import codecs
 import re
+import threading
 import unicodedata
 from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, ByteType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType
 
 from ..encoding import Encoding
-from .bpe import _offsets, _parts, row_slices
+from .bpe import _offsets, _parts, raw_bytes, row_slices
 from .grammars import java_pattern
 
 #: Below U+0300 no character changes under NFC, so only other texts are looked at.
@@ -222,62 +225,74 @@ def encode_to_rows(text: Column | str, enc: Encoding, unit: str) -> Column:
 # -- bytes that need not be UTF-8 -------------------------------------------------------------
 
 
-def _lenient(raw: bytes) -> tuple[str, list[int]] | None:
-    """A string that classifies malformed bytes, and how many bytes stand behind each of its characters; None for UTF-8.
+_ODD = threading.local()
+
+
+def _lenient(error: UnicodeError) -> tuple[str, int]:
+    """For Python's codec: a character that classifies malformed bytes, and where to go on.
 
     A lead byte with enough bytes after it takes them unchecked; any other byte from 0x80 on is one Latin-1 character.
     """
-    try:
-        raw.decode()
-        return None
-    except UnicodeDecodeError:
-        pass
-    chars, widths, at = [], [], 0
-    while at < len(raw):
-        c = raw[at]
-        wide = 1 if c < 0xC0 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4 if c < 0xF8 else 1
-        if at + wide > len(raw):
-            wide = 1
-        point = c if wide == 1 else c & (0x7F >> wide)
-        for b in raw[at + 1 : at + wide]:
-            point = point << 6 | b & 0x3F
-        # surrogates and numbers beyond Unicode are neither letter, number nor space: a private character stands for them
-        chars.append(chr(point) if point < 0xD800 or 0xDFFF < point < 0x110000 else "\ue000")
-        widths.append(wide)
-        at += wide
-    return "".join(chars), widths
-
-
-@F.arrow_udf(StructType([StructField("text", StringType()), StructField("widths", ArrayType(ByteType()))]))
+    raw, at = error.object, error.start
+    c = raw[at]
+    wide = 1 if c < 0xC0 else 2 if c < 0xE0 else 3 if c < 0xF0 else 4 if c < 0xF8 else 1
+    if at + wide > len(raw):
+        wide = 1
+    point = c if wide == 1 else c & (0x7F >> wide)
+    for b in raw[at + 1 : at + wide]:
+        point = point << 6 | b & 0x3F
+    _ODD.found.append((at, wide))
+    # surrogates and numbers beyond Unicode are neither letter, number nor space: a private character stands for them
+    return chr(point) if point < 0xD800 or 0xDFFF < point < 0x110000 else "\ue000", at + wide
+
+
+codecs.register_error("brindle.lenient", _lenient)
+
+
+def as_text(raw: bytes) -> tuple[str, list[tuple[int, int]]]:
+    """The bytes as characters, and where malformed ones lie: (first byte, how many bytes stand behind its character)."""
+    _ODD.found = []
+    return raw.decode("utf-8", "brindle.lenient"), _ODD.found
+
+
+@F.arrow_udf(StringType())
 def _as_text(raw: pa.Array) -> pa.Array:
-    texts, widths = [], []
-    for r in raw.to_pylist():
-        odd = None if r is None else _lenient(r)
-        texts.append(None if r is None else odd[0] if odd else r.decode())
-        widths.append(odd[1] if odd else None)
-    return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(widths, pa.list_(pa.int8()))], names=["text", "widths"])
+    return _each(raw, lambda r: as_text(r)[0], pa.string())
+
+
+def cut_bytes(raw: pa.Array, pieces: pa.Array) -> pa.Array:
+    """raw (binary) cut as its texts (as_text) have been cut into pieces: list<binary>."""
+    rows, offsets, flat = _parts(pieces)
+    starts, data = raw_bytes(raw)
+    cuts = np.zeros(len(flat) + 1, dtype=np.int32)
+    cuts[0] = starts[0]
+    a = 0
+    for part in row_slices(raw):
+        z = a + len(part)
+        begins = (data[starts[a] : starts[z]] & 0xC0) != 0x80  # where characters begin
+        for at, r in zip((starts[a:z] - starts[a]).tolist(), part.to_pylist()):
+            for i, wide in as_text(r)[1] if r else ():
+                begins[at + i : at + i + wide] = False
+                begins[at + i] = True
+        places = np.append(np.flatnonzero(begins), len(begins)) + starts[a]
+        chars = np.cumsum(pc.utf8_length(flat.slice(offsets[a], offsets[z] - offsets[a])).to_numpy(), dtype=np.int64)
+        if (chars[-1] if len(chars) else 0) != len(places) - 1:
+            raise ValueError("pieces do not tile their text")
+        cuts[offsets[a] + 1 : offsets[z] + 1] = places[chars]
+        a = z
+    values = pa.Array.from_buffers(pa.binary(), len(flat), [None, pa.py_buffer(cuts), pa.py_buffer(data)])
+    return pa.ListArray.from_arrays(_offsets(offsets, rows), values)
 
 
 def encode_binary(raw: Column | str, enc: Encoding) -> Column:
     """array<int> of ids of a binary column, valid UTF-8 or not; decoding gives the same bytes again. NFC is not applied."""
-    worker, seen = enc.on_workers(_session()), _as_text(_col(raw))
+    worker = enc.on_workers(_session())
 
     @F.arrow_udf("array<int>")
-    def merged(bytes_: pa.Array, pieces: pa.Array, widths: pa.Array) -> pa.Array:
-        out = []
-        for r, p, w in zip(bytes_.to_pylist(), pieces.to_pylist(), widths.to_pylist()):
-            if p is None or w is None:
-                out.append(None if p is None else [x.encode() for x in p])
-                continue
-            ends, mine, char, at = np.cumsum(w).tolist(), [], 0, 0
-            for x in p:
-                char += len(x)
-                mine.append(r[at : ends[char - 1]])
-                at = ends[char - 1]
-            out.append(mine)
-        return worker().encode(pa.array(out, pa.list_(pa.binary())))
-
-    return merged(_col(raw), pretokenize(seen["text"], enc.grammar), seen["widths"])
+    def merged(bytes_: pa.Array, pieces: pa.Array) -> pa.Array:
+        return worker().encode(cut_bytes(bytes_, pieces))
+
+    return merged(_col(raw), pretokenize(_as_text(_col(raw)), enc.grammar))
 
 
 # -- decoding ---------------------------------------------------------------------------------
