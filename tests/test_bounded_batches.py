@@ -95,3 +95,16 @@ def test_bytes_are_cut_where_characters_begin():
     texts = [None if r is None else T.as_text(r)[0] for r in raws]
     got = T.cut_bytes(pa.array(raws, pa.binary()), pa.array([None if t is None else list(t) for t in texts], pa.list_(pa.string()))).to_pylist()
     assert got == [None if r is None else [r[a:z] for a, z in zip(plain(r), [*plain(r)[1:], len(r)])] for r in raws]
+
+
+def test_the_reference_gets_a_bounded_number_of_texts(spark):
+    enc = byte_encoding("llama3")
+
+    def reference(texts):
+        if sum(map(len, texts)) > 1 << 16:
+            raise ValueError("too much at once")
+        return [list(t.encode()) for t in texts]
+
+    texts = spark.range(2000).selectExpr("repeat('ab c', 50) AS text").coalesce(1)
+    assert importer.verify(texts, enc, reference).count() == 0
+    assert importer.verify(texts, enc, lambda texts: [[0] for _ in texts]).count() == 2000
