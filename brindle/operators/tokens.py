@@ -1,14 +1,15 @@
 """Token and piece operators over DataFrames.
 
 Per-row results (ids, counts, spans) never shuffle: a document's tokens are made where the document is read. Corpus-wide
-statistics count distinct pieces first (partial counts on the map side), so that merging and shuffling follow the number of
-distinct pieces, not of tokens. Keys named by the caller are carried through; a null text has no pieces and no tokens.
+statistics are counted where the texts are read (partial counts), so that shuffling follows the number of distinct pieces or
+ids, not of tokens. Keys named by the caller are carried through; a null text has no pieces and no tokens.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,8 +31,7 @@ def spread(df: DataFrame) -> DataFrame:
 @F.arrow_udf(StructType([StructField("starts", ArrayType(LongType())), StructField("ends", ArrayType(LongType()))]))
 def _byte_spans(pieces: pa.Array) -> pa.Array:
     import numpy as np
-    import pyarrow.compute as pc
-
+    
     from ..functions.bpe import _offsets, _parts
 
     rows, offsets, flat = _parts(pieces)
@@ -65,12 +65,17 @@ def piece_counts(df: DataFrame, text: str, grammar: str) -> DataFrame:
 
 
 def token_counts(df: DataFrame, text: str, enc: Encoding) -> DataFrame:
-    """(id, n): how often each token occurs, by the piece dictionary: only distinct pieces are merged."""
-    clean = df.select(T.nfc(text).alias(text)) if enc.nfc else df
-    pieces = piece_counts(clean, text, enc.grammar)
-    # one array column in, so a piece is an array of one
-    ids = pieces.select(T.merge_pieces(F.array("piece"), enc).alias("ids"), "n")
-    return ids.select(F.explode("ids").alias("id"), "n").groupBy("id").agg(F.sum("n").alias("n"))
+    """(id, n): how often each token occurs. Each task counts its distinct pieces batch by batch and gives a row for each id, so
+    that only these are shuffled, however many distinct pieces there are."""
+    worker = enc.on_workers(df.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = sum((worker().occurrences(b.column(0)) for b in batches), np.zeros(1, dtype=np.int64))
+        ids = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int32)), pa.array(n[ids])], names=["id", "n"])
+
+    pieces = df.select(T.pretokenize(T.nfc(text) if enc.nfc else text, enc.grammar).alias("pieces"))
+    return pieces.mapInArrow(run, "id int, n bigint").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def token_budget(df: DataFrame, by: Sequence[str], text: str, enc: Encoding, sets: str = "group") -> DataFrame:

@@ -73,6 +73,15 @@ def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_counting_returns_numbers_and_shuffles_ids(spark, sf_dir):
+    enc = Q.encoding()
+    rows = spark.createDataFrame([("Hello world",), ("",), (None,)], "t string")
+    assert [r[0] for r in rows.select(T.count_tokens("t", enc)).collect()] == [2, 0, None]
+    assert "merged(" not in plan(rows.select(T.count_tokens("t", enc)))
+    assert "hashpartitioning(piece" not in plan(ops.token_counts(rows, "t", enc))
+    assert {r.id: r.n for r in ops.token_counts(rows.union(rows), "t", enc).collect()} == {i: 2 for i in enc.merger.encode(pa.array([["Hello", " world"]]))[0].as_py()}
+
+
 def plain(raw):
     """Where the characters of any bytes begin."""
     begins, at = [], 0
