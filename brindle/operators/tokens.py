@@ -11,11 +11,13 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
 from ..encoding import Encoding
+from ..functions.bpe import _offsets, _parts, row_slices, running
 from ..functions import text as T
 from ..sources.scratch import written
 
@@ -29,15 +31,12 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 @F.arrow_udf(StructType([StructField("starts", ArrayType(LongType())), StructField("ends", ArrayType(LongType()))]))
-def _byte_spans(pieces: pa.Array) -> pa.Array:
-    import numpy as np
-    
-    from ..functions.bpe import _offsets, _parts
-
-    rows, offsets, flat = _parts(pieces)
-    ends = np.concatenate([[0], np.cumsum(pc.binary_length(flat).to_numpy(), dtype=np.int64)])
-    base, at = np.repeat(ends[offsets[:-1]], np.diff(offsets)), _offsets(offsets, rows)
-    return pa.StructArray.from_arrays([pa.ListArray.from_arrays(at, pa.array(ends[:-1] - base)), pa.ListArray.from_arrays(at, pa.array(ends[1:] - base))], names=["starts", "ends"])
+def _byte_spans(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    for batch in batches:
+        for pieces in row_slices(batch):
+            rows, offsets, flat = _parts(pieces)
+            both = running(pc.binary_length(flat).to_numpy(), offsets)
+            yield pa.StructArray.from_arrays([pa.ListArray.from_arrays(_offsets(offsets, rows), pa.array(x)) for x in both], names=["starts", "ends"])
 
 
 def piece_rows(df: DataFrame, keys: Sequence[str], text: str, grammar: str, spans: bool = False) -> DataFrame:
@@ -54,9 +53,8 @@ def token_rows(df: DataFrame, keys: Sequence[str], text: str, enc: Encoding, uni
     """(keys, pos, id[, start, end]): a row per token, pos from 0; spans in the unit asked for."""
     if unit is None:
         return df.select(*keys, F.posexplode(T.encode(text, enc)).alias("pos", "id"))
-    both = df.select(*keys, T.encode_with_offsets(text, enc, unit).alias("_t"))
-    zipped = both.select(*keys, F.posexplode(F.arrays_zip(F.col("_t.ids").alias("i"), F.col("_t.spans").alias("s"))).alias("pos", "_z"))
-    return zipped.select(*keys, "pos", F.col("_z.i").alias("id"), F.col("_z.s.start").alias("start"), F.col("_z.s.end").alias("end"))
+    rows = df.select(*keys, F.posexplode(T.encode_to_rows(text, enc, unit)).alias("pos", "_t"))
+    return rows.select(*keys, "pos", "_t.id", "_t.start", "_t.end")
 
 
 def piece_counts(df: DataFrame, text: str, grammar: str) -> DataFrame:

@@ -63,6 +63,12 @@ def test_decoding_takes_a_slice_beside_its_result():
     assert most < 80  # 2 million ids, 13 MB of bytes; all at once took 10 times their bytes and more
 
 
+def test_spans_are_given_in_slices():
+    pieces = pa.array([["ab", "c"] * 50_000] * 20)
+    out = list(ops._byte_spans.func(iter([pieces])))
+    assert len(out) > 1 and sum(map(len, out)) == 20 and pa.concat_arrays(out)[19]["ends"].as_py()[-1] == 150_000
+
+
 def test_normalising_holds_a_slice_of_texts():
     texts = pa.array(["é" * 500] * 20_000)
     got, most, _ = traced(lambda: T._nfc.func(texts))
