@@ -88,6 +88,14 @@ def test_counting_returns_numbers_and_shuffles_ids(spark, sf_dir):
     assert {r.id: r.n for r in ops.token_counts(rows.union(rows), "t", enc).collect()} == {i: 2 for i in enc.merger.encode(pa.array([["Hello", " world"]]))[0].as_py()}
 
 
+def test_no_expression_per_piece_or_token_in_spark(spark):
+    enc = Q.encoding()
+    rows = spark.createDataFrame([(1, "<|im_start|>x<|im_end|>")], "k int, t string")
+    assert "struct" not in plan(rows.select(T.encode_with_special("t", enc)))
+    tokens = plan(ops.token_rows(rows, ["k"], "t", enc, "char"))
+    assert "zip_with" not in tokens and "arrays_zip" not in tokens
+
+
 def plain(raw):
     """Where the characters of any bytes begin."""
     begins, at = [], 0
