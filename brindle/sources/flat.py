@@ -25,6 +25,8 @@ from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSource
 SCHEMA = "key bigint, ids array<int>"
 MANIFEST = "MANIFEST-"
 KINDS = ("tokens", "offsets", "keys", "known")
+#: Tokens that are written or read at once, and documents whose offsets and keys are.
+TOKENS, DOCUMENTS = 1 << 20, 1 << 16
 
 
 def _at(path: str) -> tuple[fs.FileSystem, str]:
@@ -82,7 +84,9 @@ class FlatWriter(DataSourceArrowWriter):
             for b in batches:
                 ids = b.column("ids")
                 size = pc.fill_null(pc.list_value_length(ids), 0).to_numpy(zero_copy_only=False).astype("<u8")
-                t.write(ids.flatten().to_numpy(zero_copy_only=False).astype("<u4").tobytes())
+                values = ids.flatten().to_numpy(zero_copy_only=False)
+                for a in range(0, len(values), TOKENS):
+                    t.write(values[a : a + TOKENS].astype("<u4").tobytes())
                 o.write((tokens + np.cumsum(size, dtype="<u8")).astype("<u8").tobytes())
                 k.write(b.column("key").fill_null(0).to_numpy(zero_copy_only=False).astype("<i8").tobytes())
                 known.write(b.column("key").is_valid().to_numpy(zero_copy_only=False).astype("u1").tobytes())
@@ -127,16 +131,21 @@ class FlatReader(DataSourceReader):
             return
         system, root = _at(self.path)
 
-        def part(kind: str, dtype: str) -> np.ndarray:
-            with system.open_input_stream(f"{root}/{partition.name}.{kind}") as f:
-                return np.frombuffer(f.read(), dtype)
-
-        offsets, keys, tokens = part("offsets", "<u8").astype(np.int64), part("keys", "<i8"), part("tokens", "<u4").astype(np.int32)
-        missing = part("known", "u1") == 0
-        for a in range(0, len(keys), 1000):
-            z = min(a + 1000, len(keys))
-            lists = pa.ListArray.from_arrays(pa.array((offsets[a : z + 1] - offsets[a]).astype(np.int32)), pa.array(tokens[offsets[a] : offsets[z]]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys[a:z].astype(np.int64), mask=missing[a:z]), lists], names=["key", "ids"])
+        def opened(kind: str) -> pa.NativeFile:
+            return system.open_input_file(f"{root}/{partition.name}.{kind}")
+
+        with opened("tokens") as tokens, opened("offsets") as offsets, opened("keys") as keys, opened("known") as known:
+            documents = known.size()
+            for a in range(0, documents, DOCUMENTS):
+                n = min(DOCUMENTS, documents - a)
+                at = np.frombuffer(offsets.read_at(8 * (n + 1), 8 * a), "<u8").astype(np.int64)
+                key = pa.array(np.frombuffer(keys.read_at(8 * n, 8 * a), "<i8").astype(np.int64), mask=np.frombuffer(known.read_at(n, a), "u1") == 0)
+                i = 0
+                while i < n:  # a document at least
+                    z = min(i + 1000, max(i + 1, int(np.searchsorted(at, at[i] + TOKENS, side="right")) - 1), n)
+                    values = np.frombuffer(tokens.read_at(int(4 * (at[z] - at[i])), int(4 * at[i])), "<u4").astype(np.int32)
+                    yield pa.RecordBatch.from_arrays([key[i:z], pa.ListArray.from_arrays(pa.array((at[i : z + 1] - at[i]).astype(np.int32)), pa.array(values))], names=["key", "ids"])
+                    i = z
 
 
 def write_flat(encoded: DataFrame, path: str, key: str = "doc_id", ids: str = "ids") -> None:

@@ -131,3 +131,26 @@ def test_the_reference_gets_a_bounded_number_of_texts(spark):
     texts = spark.range(2000).selectExpr("repeat('ab c', 50) AS text").coalesce(1)
     assert importer.verify(texts, enc, reference).count() == 0
     assert importer.verify(texts, enc, lambda texts: [[0] for _ in texts]).count() == 2000
+
+
+@pytest.mark.parametrize("tokens, documents", [(1 << 20, 1 << 16), (8, 3)])
+def test_flat_shards_are_read_in_ranges(tmp_path, monkeypatch, tokens, documents):
+    ids = [list(range(i % 7)) for i in range(50)] + [list(range(100))] + [[5]] * 10
+    batch = pa.table({"key": pa.array([None, *range(1, 61)], pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
+    writer = flat.FlatWriter(str(tmp_path))
+    monkeypatch.setattr(flat, "TOKENS", tokens)
+    monkeypatch.setattr(flat, "DOCUMENTS", documents)
+    writer.commit([writer.write(iter(batch.to_batches(max_chunksize=17)))])
+    reader = flat.FlatReader(str(tmp_path))
+    got = [b for p in reader.partitions() for b in reader.read(p)]
+    assert [r for b in got for r in b.to_pylist()] == batch.to_pylist()
+    assert all(len(b) == 1 or len(b.column("ids").flatten()) <= tokens for b in got)
+
+
+def test_a_flat_shard_is_not_held_whole(tmp_path):
+    ids = pa.array([np.arange(10_000, dtype=np.int32)] * 1000)
+    writer = flat.FlatWriter(str(tmp_path))
+    writer.commit([writer.write(iter([pa.RecordBatch.from_arrays([pa.array(range(1000)), ids], names=["key", "ids"])]))])
+    reader = flat.FlatReader(str(tmp_path))
+    n, most, _ = traced(lambda: sum(len(b) for b in reader.read(reader.partitions()[0])))
+    assert n == 1000 and most < 20  # 40 MB of tokens
